@@ -160,7 +160,7 @@ def repeated_lines(pages: DataFrame, least: int = 5, share: float = 0.1) -> Data
     keys = repeated_keys(pages, least, share)
     wanted = keys.groupBy("first").agg(F.collect_set("lk").alias("lks"))  # at most the lines of one page each
     src = pages.select(site_of("url").alias("site"), "page_id", "markdown_ir")
-    hits = src.join(wanted, src.page_id == wanted.first).where("site is not null").select("site", "markdown_ir", "lks")
+    hits = src.join(wanted, src["page_id"] == wanted["first"]).where("site is not null").select("site", "markdown_ir", "lks")
 
     def rows(sites, texts, lks):
         for s, t, want in zip(sites, texts, lks):
@@ -189,7 +189,7 @@ def without_repeated(pages: DataFrame, least: int = 5, share: float = 0.1) -> Da
 
     by_page = map_arrow(maps, documents, "p long, lk long").groupBy("p").agg(F.collect_set("lk").alias("lks"))
     src = pages.select("page_id", site_of("url").alias("site"), "markdown_ir").where("page_id is not null").dropDuplicates(["page_id", "site", "markdown_ir"])
-    both = src.join(by_page, src.page_id == by_page.p, "left").select("page_id", "site", "markdown_ir", "lks")
+    both = src.join(by_page, src["page_id"] == by_page["p"], "left").select("page_id", "site", "markdown_ir", "lks")
 
     def rows(ids, sites, texts, lks):
         for i, s, t, want in zip(ids, sites, texts, lks):
