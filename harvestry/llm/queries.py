@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, repeated, residue, stuffing
+from . import furniture, repeated, residue, seen, stuffing
 from .text import read
 
 
@@ -36,5 +36,13 @@ def p4_response_body(spark: SparkSession, d: str) -> DataFrame:
     return furniture.response_bodies(read(spark, d, "responses"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen.seen_before(read(spark, d, "queue_items"), read(spark, d, "crawl_tasks"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return seen.wrong_answers(read(spark, d, "queue_items"), read(spark, d, "crawl_tasks"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}

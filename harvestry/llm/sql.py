@@ -13,3 +13,17 @@ l AS (SELECT DISTINCT site, page_id, lower(trim(regexp_replace(line, '[ \\t]+',
 n AS (SELECT site, line, count(*) AS n FROM l WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]') GROUP BY site, line)
 SELECT n.site AS site, n.line AS line FROM n JOIN size USING (site) WHERE n >= 5 AND n >= 0.1 * size
 """
+
+_u = r"regexp_replace(regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '(?s)#.*', '')"
+_host = r"lower(regexp_replace(regexp_extract(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^([^/?]*)', 1), '^.*@', ''))"
+_key = rf"""CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u ELSE
+ lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(u, '://([^/?]*@)', 1)
+ || CASE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN regexp_replace({_host}, ':(?:80)?$', '') WHEN 'https' THEN regexp_replace({_host}, ':(?:443)?$', '') ELSE {_host} END
+ || regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?]*', '') END"""
+
+SQL["p7_found"] = f"""
+WITH q AS (SELECT DISTINCT {_key} AS key FROM (SELECT {_u} AS u FROM queue_items WHERE url IS NOT NULL AND method = 'GET')),
+t AS (SELECT task_id, min(arrived_at) AS arrived_at, min({_key}) AS key FROM (SELECT task_id, arrived_at, {_u} AS u FROM crawl_tasks WHERE url IS NOT NULL AND task_id IS NOT NULL) GROUP BY task_id),
+r AS (SELECT task_id, key, row_number() OVER (PARTITION BY key ORDER BY arrived_at NULLS FIRST, task_id) AS rn FROM t)
+SELECT task_id FROM r WHERE rn > 1 OR key IN (SELECT key FROM q)
+"""
