@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, repeated, residue, seen, stuffing
+from . import furniture, neardup, repeated, residue, seen, stuffing
 from .text import read
 
 
@@ -36,6 +36,14 @@ def p4_response_body(spark: SparkSession, d: str) -> DataFrame:
     return furniture.response_bodies(read(spark, d, "responses"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*neardup.similar(read(spark, d, "page_ir"), "page_id", "markdown_ir", 3, 0.6, 100))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(read(spark, d, "page_ir"), "page_id", "markdown_ir", 3, 0.6, 100)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(read(spark, d, "queue_items"), read(spark, d, "crawl_tasks"))
 
