@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, HOMELINK, TITLE, furniture, is_fence, is_notice, line_class
-from .text import map_arrow, without_code
+from .text import map_arrow, saved, without_code
 
 _F = r"[A-Za-z][A-Za-z0-9]*(?:[ ._-][A-Za-z0-9]+){0,3}"
 # Shapes of unfilled placeholders.
@@ -137,7 +137,8 @@ def template_residue(pages: DataFrame) -> DataFrame:
                     yield i, v, key
 
     found = map_arrow(pages.select("page_id", "url", "title", "markdown_ir"), rows, "page_id long, verdict int, body string")
-    found = found.select("page_id", "verdict", F.xxhash64("body").alias("body")).distinct()
+    # Written once and used twice: the pages are judged in one pass.
+    found = saved(found.select("page_id", "verdict", F.xxhash64("body").alias("body")).distinct())
     shared = found.groupBy("body").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("body").alias("b"))
-    doubtful = found.where("verdict = 1").join(shared, F.col("body") == F.col("b"), "left_semi").select("page_id")
-    return found.where("verdict = 2").select("page_id").union(doubtful).distinct()
+    both = found.join(shared, F.col("body") == F.col("b"), "left")
+    return both.where("verdict = 2 or b is not null").select("page_id").distinct()
