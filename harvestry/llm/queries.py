@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, neardup, repeated, residue, seen, stuffing
+from . import furniture, neardup, repeated, residue, seen, sentences, stuffing
 from .text import read
 
 
@@ -52,5 +52,9 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.wrong_answers(read(spark, d, "queue_items"), read(spark, d, "crawl_tasks"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(read(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
