@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, neardup, repeated, residue, seen, sentences, stuffing
+from . import furniture, markup, neardup, repeated, residue, seen, sentences, stuffing
 from .text import read
 
 
@@ -36,6 +36,18 @@ def p4_response_body(spark: SparkSession, d: str) -> DataFrame:
     return furniture.response_bodies(read(spark, d, "responses"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(read(spark, d, "page_ir"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_pages(read(spark, d, "page_ir"))
+
+
+def p5_response_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_responses(read(spark, d, "responses"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.all_pairs(*neardup.similar(read(spark, d, "page_ir"), "page_id", "markdown_ir", 3, 0.6, 100))
 
