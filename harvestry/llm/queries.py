@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, markup, neardup, repeated, residue, seen, sentences, stuffing
+from . import furniture, markup, mixing, neardup, packing, repeated, residue, seen, sentences, stuffing
 from .text import read
 
 
@@ -64,6 +64,22 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.wrong_answers(read(spark, d, "queue_items"), read(spark, d, "crawl_tasks"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(read(spark, d, "documents"), read(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d), read(spark, d, "pack_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), read(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents"))
 
