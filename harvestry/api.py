@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .functions import urls as U
 from .operators import analyze, dsl, extract, filters, frontier, pages
-from .plans.lineage import saved
+from .plans.lineage import saved, where_once
 
 
 class OptionError(ValueError):
@@ -92,7 +92,10 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
     base = corpus.withColumn("_url", U.normalize("url", keep_fragment=False, keep_query=not o.ignore_query)).where("_url is not null")
     base = base.groupBy("_url").agg(F.min(F.struct(F.col("url"), F.col("body"))).alias("r")).select(F.col("_url").alias("source"), "r.body")
     facts = pages.page_facts(base, ["source"], parts=("links",), scripts=o.scrape_scripts)
-    links = pages.link_rows(facts, ["source"], "source").where("url <> ''").select("source", "ord", U.normalize("url", keep_fragment=False, keep_query=not o.ignore_query).alias("url")).where("url is not null")
+    links = pages.link_rows(facts, ["source"], "source")
+    if o.ignore_query:
+        links = links.withColumn("url", F.regexp_replace("url", r"\?.*$", ""))
+    links = where_once(links, F.col("url") != "").select("source", "ord", "url")
     if o.path_climb:
         up = links.select("source", F.col("ord") + 100_000, F.explode(extract.climb("url")))
         links = links.union(up)

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..plans.lineage import where_once
 
 PARTS = {
     "title": "string",
@@ -68,9 +69,12 @@ def page_links(facts: DataFrame, keys: list[str], base: str | Column, same_host:
     hrefs = facts.select(*keys, b.alias("_base"), F.posexplode(F.filter("links", lambda l: (l["tag"] == "a") & (l["attribute"] == "href"))).alias("ord", "l"))
     raw = F.trim(F.col("l.raw"))
     rows = hrefs.where(~raw.startswith("#") & ~raw.startswith("javascript:") & ~raw.startswith("mailto:"))
-    rows = U.joined(rows, "url", "_base", raw, keep_fragment=keep_fragment).where(U.scheme("url").isin("http", "https"))
+    rows = U.joined(rows, "url", "_base", raw, keep_fragment=keep_fragment)
+    keep = U.scheme("url").isin("http", "https")
     if same_host:
-        rows = rows.where(U.host("url") == U.host("_base"))
+        keep = keep & (U.host("url") == U.host("_base"))
     if drop_base:
-        rows = rows.where(F.col("url") != U.normalize("_base", keep_fragment=False))
+        rows = rows.withColumn("_self", U.normalize("_base", keep_fragment=False))
+        keep = keep & (F.col("url") != F.col("_self"))
+    rows = where_once(rows, keep)
     return rows.groupBy(*keys, "url").agg(F.min("ord").alias("ord")).select(*keys, "ord", "url")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -16,3 +17,9 @@ def saved(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) that is not pushed under df's own columns, whose expressions would then be run once for each time the condition
+    names them.  The optimizer moves no filter under a column that is not deterministic."""
+    return df.withColumn("_once", F.monotonically_increasing_id()).where((F.col("_once") >= 0) & condition).drop("_once")

@@ -204,7 +204,9 @@ def known_files(spark: SparkSession, d: str) -> DataFrame:
 def url_join(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
     refs = {"absolute": "/a/b", "scheme_relative": "//other.test/x", "relative": "next.html?p=2", "fragment": "#top", "query_only": "?z=1", "dots": "/a/./b/../../up#x", "encoded": "https://X.test:443/über"}
-    return r.select("response_id", *[U.join("url", F.lit(v)).alias(k) for k, v in refs.items()])
+    for k, v in refs.items():
+        r = U.joined(r, k, "url", F.lit(v))
+    return r.select("response_id", *refs)
 
 
 @query(f"SELECT item_id, regexp_matches(lower(url), 'logout|log-out|signout|disconnect|abmelden') AS logout, regexp_matches(lower({_PATH}), 'jquery|angular|bootstrap|vue|react|lodash|moment|d3|three|socket\\.io|backbone|underscore|modernizr|polyfill') AS library, regexp_matches(lower({_PATH}), '(\\.js|\\.css|\\.json|\\.xml|\\.txt)$') AS static FROM {T.ITEMS}")
