@@ -120,7 +120,7 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
         out = filters.host_cap(out.withColumn("_host", U.host("url")), "_host", ["depth", "url"], o.max_domain_pages).drop("_host")
     out = out.where(filters.output_filter("url", o.match_regex, o.filter_regex))
     if o.match_condition:
-        out = out.where(dsl.compile_condition(o.match_condition, out.schema))
+        out = out.where(dsl.compile_filter(o.match_condition, out.schema))
     if o.filter_condition:
         out = out.where(~dsl.compile_condition(o.filter_condition, out.schema))
     if o.tech_detect:

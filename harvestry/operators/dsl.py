@@ -67,6 +67,7 @@ class Value:
     kind: str
     col: Column
     literal: object = None
+    loose: bool = False
 
 
 def _kind(t: T.DataType) -> str:
@@ -84,8 +85,9 @@ def _kind(t: T.DataType) -> str:
 
 
 class _Compiler:
-    def __init__(self, tokens, schema: T.StructType):
-        self.t, self.i, self.schema = tokens, 0, schema
+    def __init__(self, tokens, schema: T.StructType, loose: bool = False):
+        # loose: null may stand for false, which a filter takes alike; never under a negation or in an argument
+        self.t, self.i, self.schema, self.loose = tokens, 0, schema, loose
 
     def peek(self):
         return self.t[self.i] if self.i < len(self.t) else (None, None)
@@ -107,25 +109,28 @@ class _Compiler:
     def either(self) -> Value:
         v = self.both()
         while self.take("||"):
-            v = Value("bool", truth(v) | truth(self.both()))
+            v = Value("bool", truth(v) | truth(self.both()), loose=self.loose)
         return v
 
     def both(self) -> Value:
         v = self.negated()
         while self.take("&&"):
-            v = Value("bool", truth(v) & truth(self.negated()))
+            v = Value("bool", truth(v) & truth(self.negated()), loose=self.loose)
         return v
 
     def negated(self) -> Value:
         if self.take("!"):
-            return Value("bool", ~truth(self.negated()))
+            loose, self.loose = self.loose, False
+            v = Value("bool", ~truth(self.negated()))
+            self.loose = loose
+            return v
         return self.compared()
 
     def compared(self) -> Value:
         a = self.atom()
         for op in OPS:
             if self.take(op):
-                return Value("bool", compare(op, a, self.atom()))
+                return Value("bool", compare(op, a, self.atom(), self.loose), loose=self.loose)
         return a
 
     def atom(self) -> Value:
@@ -145,6 +150,7 @@ class _Compiler:
         if kind == "name":
             if self.take("("):
                 args = []
+                loose, self.loose = self.loose, False
                 if not self.take(")"):
                     while True:
                         args.append(self.either())
@@ -152,6 +158,7 @@ class _Compiler:
                             break
                         if not self.take(","):
                             raise ConditionError("missing , or )")
+                self.loose = loose
                 return call(v, args)
             if v in ("true", "false"):
                 return Value("bool", F.lit(v == "true"), v == "true")
@@ -190,7 +197,7 @@ def truth(v: Value) -> Column:
     if v.kind == "null":
         return F.lit(False)
     if v.kind == "bool":
-        return F.coalesce(v.col, F.lit(False))
+        return v.col if v.loose else F.coalesce(v.col, F.lit(False))
     if v.kind == "number":
         return F.coalesce(v.col != 0, F.lit(False))
     if v.kind == "string":
@@ -200,15 +207,20 @@ def truth(v: Value) -> Column:
     return v.col.isNotNull()
 
 
-def compare(op: str, a: Value, b: Value) -> Column:
+def _number(v: Value) -> Column:
+    """Whole literals stay whole, so that a comparison with a field needs no cast and reaches the scan."""
+    return F.lit(int(v.literal)) if isinstance(v.literal, float) and v.literal.is_integer() and abs(v.literal) < 2**31 else v.col
+
+
+def compare(op: str, a: Value, b: Value, loose: bool = False) -> Column:
     if a.kind == b.kind and a.kind in ("number", "string", "bool"):
-        x, y = (a.col.cast("double"), b.col.cast("double")) if a.kind == "number" else (a.col, b.col)
+        x, y = (_number(a), _number(b)) if a.kind == "number" else (a.col, b.col)
         if op == "==":
-            return x.eqNullSafe(y)
+            return x == y if loose and (a.literal is not None or b.literal is not None) else x.eqNullSafe(y)
         if op == "!=":
             return ~x.eqNullSafe(y)
         test = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
-        return F.coalesce(test, F.lit(False))
+        return test if loose else F.coalesce(test, F.lit(False))
     both_null = (a.col.isNull() & b.col.isNull()) if "null" in (a.kind, b.kind) else F.lit(False)
     return both_null if op == "==" else ~both_null if op == "!=" else F.lit(False)
 
@@ -258,3 +270,8 @@ def call(name: str, args: list[Value]) -> Value:
 def compile_condition(text: str, schema: T.StructType) -> Column:
     """The condition as a boolean column over rows of the schema; ConditionError if the text is none."""
     return _Compiler(lex(text), schema).whole()
+
+
+def compile_filter(text: str, schema: T.StructType) -> Column:
+    """The condition for where(): the same rows, but comparisons are left plain, so that they reach the scan."""
+    return _Compiler(lex(text), schema, loose=True).whole()
