@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import saved  # noqa: F401 - used by the operators
+
 CODE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\Z)|(?<!`)(`+)(?!`)[^\n]*?[^`\n]\1(?!`)", re.S | re.M)
 
 
@@ -43,15 +45,3 @@ def site_of(url: str | Column) -> Column:
     host = F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df cut off its lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names (one of our own only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
