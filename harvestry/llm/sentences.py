@@ -27,7 +27,8 @@ from .text import map_arrow
 STERM = "!?‼‽⁇⁈⁉。．！？｡؟۔।॥၊။።፧፨᙮។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫։՜՞𑁇𑁈"
 WIDE = frozenset("。．！？｡؟۔।॥။።፧፨᙮។៕᠃᠉։՜՞")
 _event = re.compile(rf"[.…{STERM}]+|[\"“”„«»「『《(（【〈]")
-_close = re.compile(r"[\"”’»«“」』》)）】〉\]]*")
+# Marks that close.  Those that open as well count only where a blank or nothing follows; pairs are taken as wholes before.
+_close = re.compile(r"(?:[”’»」』》)）】〉\]]|[\"](?=\s|$))*")
 CLOSER = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "(": ")", "（": "）", "”": "”"}
 PAREN = frozenset("(（【")
 TITLE_MARKS = frozenset("《〈")
@@ -211,8 +212,6 @@ def _prose(t: str, base: int) -> Iterator[tuple[int, int]]:
         at = j
         if ok:
             e = _close.match(t, j).end()
-            if e > j and e < n and not t[e].isspace() and t[j] in '"“«„' :
-                e = j  # what looks like a closing mark opens the next sentence
             yield base + start, base + e
             start = at = skip(e)
     if start < n:

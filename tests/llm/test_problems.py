@@ -379,6 +379,7 @@ def test_tokens(spark):
         ("ระบบพบ 912 หน้า โปรแกรม Lee ทำให้ช้า คิวยังว่างตั้งแต่ปี 2006 ทีมงานบอกว่า “หนึ่ง สอง” จบ", ["ระบบพบ 912 หน้า", "โปรแกรม Lee ทำให้ช้า", "คิวยังว่างตั้งแต่ปี 2006", "ทีมงานบอกว่า “หนึ่ง สอง”", "จบ"]),
         ("A head\n\n- one. two.\n- three\n1. four\nfive\n\nThe end\nof it. Done.", ["A head", "- one. two.", "- three", "1. four\nfive", "The end\nof it.", "Done."]),
         ("It rained.Then it stopped. See https://x.test/a.b?c=1.2 first. A file index.v6.html is there.", ["It rained.", "Then it stopped.", "See https://x.test/a.b?c=1.2 first.", "A file index.v6.html is there."]),
+        ("Il faut 3 minutes.« Le club attend », dit Lee. Fin.", ["Il faut 3 minutes.", "« Le club attend », dit Lee.", "Fin."]),
         ("No end", ["No end"]),
         ("", []),
         (None, []),
