@@ -152,3 +152,74 @@ def process(corpus: DataFrame, on_page: Callable | None = None) -> DataFrame:
 
 def health(spark: SparkSession) -> dict:
     return {"version": __version__, "spark": spark.version, "master": spark.sparkContext.master}
+
+
+class Browser:
+    """Fluent set-up of the page pipeline over a corpus: only what concerns data, no rendering."""
+
+    def __init__(self):
+        self._start: list[str] = []
+        self._depth, self._pages, self._exporter, self._on_page, self._folder = 2, 0, None, None, None
+
+    @classmethod
+    def builder(cls) -> Browser:
+        return cls()
+
+    def start_url(self, url: str) -> Browser:
+        self._start.append(url)
+        return self
+
+    def max_depth(self, depth: int) -> Browser:
+        self._depth = depth
+        return self
+
+    def max_pages(self, pages_: int) -> Browser:
+        self._pages = pages_
+        return self
+
+    def output_dir(self, path: str) -> Browser:
+        self._folder = path
+        return self
+
+    def exporter(self, write: Callable[[DataFrame], None]) -> Browser:
+        """write(pages): called with (url, title, markdown_ir)."""
+        self._exporter = write
+        return self
+
+    def on_page(self, call: Callable[[str, str, str], None]) -> Browser:
+        self._on_page = call
+        return self
+
+    def build(self) -> Browser:
+        if not self._start:
+            raise OptionError("a start address is required")
+        if self._depth <= 0:
+            raise OptionError("a depth is required")
+        return self
+
+    def run(self, spark: SparkSession, corpus: DataFrame) -> DataFrame:
+        """Summary (pages_processed, total_ir_bytes) of the pages reached; exports on the way."""
+        reached = crawl(spark, corpus, Options(urls=self._start, max_depth=self._depth))
+        if self._pages:
+            from pyspark.sql.window import Window
+
+            # first pages of the whole crawl: a level holds its own first ones, then the levels are put together
+            per = F.row_number().over(Window.partitionBy("depth").orderBy("url"))
+            reached = reached.withColumn("_n", per).where(F.col("_n") <= self._pages).orderBy("depth", "url").limit(self._pages).drop("_n")
+        done = saved(process(reached, self._on_page))
+        if self._exporter:
+            self._exporter(done)
+        if self._folder:
+            from .operators import output
+
+            done.select(U.export_filename("url").alias("file"), output.markdown_page("title", "markdown_ir").alias("value")).write.mode("overwrite").partitionBy("file").text(self._folder)
+        return frontier.ir_summary(done)
+
+
+def site_map(spark: SparkSession, corpus: DataFrame, urls: list[str], max_depth: int = 2, max_pages: int = 1000) -> DataFrame:
+    """(seed, url, parent_url, depth, dfs_order) over the same-host links of a corpus (url, body)."""
+    base = corpus.select(U.normalize("url", keep_fragment=False).alias("source"), "body").where("source is not null").groupBy("source").agg(F.min("body").alias("body"))
+    facts = pages.page_facts(base, ["source"], parts=("links",))
+    links = pages.page_links(facts, ["source"], "source")
+    seeds = spark.createDataFrame([(u,) for u in urls], "url string").select(U.normalize(U.with_scheme("url"), keep_fragment=False).alias("url"))
+    return frontier.site_tree(seeds, links, max_depth, max_pages, base.select(F.col("source").alias("url")))

@@ -91,6 +91,8 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
     else:
         part = part.withColumn("ok", F.lit(True))
 
+    anything = fetched is None
+
     def tree(pdf):
         import pandas as pd
 
@@ -109,7 +111,7 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
                 continue
             visited.add(url)
             attempts += 1
-            if not ok.get(url, fetched is None):
+            if not ok.get(url, anything):
                 continue
             rows.append((seed, url, parent, depth, len(rows)))
             if depth < max_depth:

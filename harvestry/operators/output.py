@@ -12,14 +12,14 @@ from ..functions import urls as U
 from .analyze import BUILTIN
 
 
-def field_values(u: str | Column) -> Column:
-    """array<struct<field,value>> of the 14 fields in their order; a field without value has no entry."""
+def field_arrays(u: str | Column) -> dict[str, Column]:
+    """The 14 fields of an address in their order, each an array of its values."""
     u = U.col(u)
     pairs, p, r = U.query_pairs(U.query(u)), U.path(u), U.root(u)
     some = lambda c, when: F.when(when, F.array(c)).otherwise(F.array().cast("array<string>"))
     file, folder = U.file_base(p), U.directory(p)
     yes = F.lit(True)
-    values = {
+    return {
         "url": some(u, yes),
         "path": some(p, yes),
         "fqdn": some(U.host(u), yes),
@@ -35,11 +35,16 @@ def field_values(u: str | Column) -> Column:
         "dir": some(folder, folder != ""),
         "udir": some(F.concat(r, folder), folder != ""),
     }
+
+
+def field_values(u: str | Column, names: list[str] | None = None) -> Column:
+    """array<struct<field,value>> of the named fields (all by default) in their order; a field without value has no entry."""
+
     # One function a name: a lambda with two arguments would be given the index.
     def named(n: str):
         return lambda x: F.struct(F.lit(n).alias("field"), x.alias("value"))
 
-    entries = [F.transform(v, named(n)) for n, v in values.items()]
+    entries = [F.transform(v, named(n)) for n, v in field_arrays(u).items() if names is None or n in names]
     return F.when((U.scheme(u) != "") & (U.host(u) != ""), F.concat(*entries))
 
 
@@ -83,23 +88,20 @@ def screen_line(url: str | Column, method: str | Column, body: str | Column, tag
     return F.concat_ws(" ", part(tag), part(method), U.text(url), part(body), F.concat(F.lit("[depth:"), U.col(depth).cast("string"), F.lit("]")))
 
 
-def field_lines(values: Column, names: list[str], verbose: bool = False) -> Column:
-    """One value a line for the named fields of field_values."""
-    kept = F.filter(values, lambda x: x["field"].isin(names))
+def field_lines(u: str | Column, names: list[str], verbose: bool = False) -> Column:
+    """One value a line for the named fields."""
+    kept = field_values(u, check_field_names(names))
     return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("["), x["field"], F.lit("] "), x["value"]) if verbose else x["value"]), "\n")
 
 
-def _is_field(name: str):
-    return lambda x: x["field"] == name
-
-
-def template(text: str, values: Column, document: Column | None = None, custom: Column | None = None) -> Column:
-    """{{field}} from field_values (last of several), {{name}} of custom fields joined by commas, {{.a.b}} from the JSON document.
+def template(text: str, u: str | Column, document: Column | None = None, custom: Column | None = None) -> Column:
+    """{{field}} of the address (the last of several values), {{name}} of custom fields joined by commas, {{.a.b}} from the JSON document.
 
     A name without value makes the row null; a path without value is empty.
     """
     cells: list[Column] = []
-    at = 0
+    fields, at = field_arrays(u), 0
+    is_address = (U.scheme(u) != "") & (U.host(u) != "")
     for m in re.finditer(r"\{\{\s*(\.?)([A-Za-z0-9_.-]+)\s*\}\}", text):
         cells.append(F.lit(text[at : m.start()]))
         at = m.end()
@@ -107,8 +109,7 @@ def template(text: str, values: Column, document: Column | None = None, custom:
         if dot:
             cells.append(F.coalesce(F.get_json_object(document, "$." + name), F.lit("")) if document is not None else F.lit(""))
         elif name in BUILTIN:
-            mine = F.transform(F.filter(values, _is_field(name)), lambda x: x["value"])
-            cells.append(F.try_element_at(mine, F.lit(-1)))
+            cells.append(F.when(is_address, F.try_element_at(fields[name], F.lit(-1))))
         else:
             found = F.try_element_at(custom, F.lit(name)) if custom is not None else F.lit(None).cast("array<string>")
             cells.append(F.array_join(found, ","))

@@ -241,7 +241,7 @@ def output_lines(spark: SparkSession, d: str) -> DataFrame:
     doc = F.to_json(F.struct(F.struct("status_code").alias("response")))
     return r.select(
         "response_id",
-        output.template("[{{fqdn}}] {{url}} -> {{ path }} {{.response.status_code}}", output.field_values("url"), doc).alias("line"),
+        output.template("[{{fqdn}}] {{url}} -> {{ path }} {{.response.status_code}}", "url", doc).alias("line"),
         output.screen_line("url", F.lit("GET"), F.lit(""), F.lit(""), F.coalesce("depth", F.lit(0)), verbose=True).alias("screen"),
         output.raw_response("status_code", None, "body").alias("response"),
         output.raw_request(F.lit("GET"), "url", F.lit("")).alias("request"),

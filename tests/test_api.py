@@ -95,3 +95,29 @@ def test_stream_session(spark, tmp_path):
     assert sum(seen) == 3 and s.snapshot()["phase"] == "finished"
     s.cancel()
     assert s.snapshot()["phase"] == "cancelled"
+
+
+def test_browser(spark, site, tmp_path):
+    seen = []
+    done = api.Browser.builder().start_url("https://site.test/").max_depth(2).exporter(lambda df: seen.append(df.count())).output_dir(str(tmp_path / "md")).build().run(spark, site).first()
+    assert done.pages_processed == seen[0] == 6
+    assert api.Browser.builder().start_url("site.test").max_pages(3).build().run(spark, site).first().pages_processed == 3
+    with pytest.raises(api.OptionError):
+        api.Browser.builder().build()
+
+
+def test_site_map(spark, site):
+    rows = {r.url.removeprefix("https://site.test"): r.parent_url for r in api.site_map(spark, site, ["site.test"], 2).collect()}
+    assert rows["/contact"].endswith("/about") and rows["/"] is None and "/logo.png" not in rows
+
+
+def test_command_line(spark, site, tmp_path, capsys):
+    from harvestry import cli
+
+    assert cli.main(["fields"]) == 0 and "fqdn" in capsys.readouterr().out
+    site.write.parquet(str(tmp_path / "c"))
+    (tmp_path / "conf").write_text("max-domain-pages: 2 # few\n")
+    cli.main(["crawl", "--corpus", str(tmp_path / "c"), "-u", "https://site.test/", "--field", "path", "--config", str(tmp_path / "conf")], spark)
+    assert len(capsys.readouterr().out.split()) == 2
+    cli.main(["map", "--corpus", str(tmp_path / "c"), "-u", "https://site.test/", "-d", "1"], spark)
+    assert '"children"' in capsys.readouterr().out

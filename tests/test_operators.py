@@ -209,7 +209,7 @@ def test_crawl_and_tree(spark):
 
 def test_output(spark):
     df = spark.createDataFrame([("https://a.x.test/p/f.js?b=1&a=2", "GET", "", 0, {"k": "v"}, ["t"]), ("no address", "GET", "x", 2, {}, [])], "url string, method string, body string, depth int, m map<string,string>, l array<string>")
-    rows = df.select(output.json_line(df, ("m.k",)).alias("j"), output.template("{{file}}|{{qpath}}|{{.x}}", output.field_values("url")).alias("t"), output.screen_line("url", "method", "body", F.lit(None).cast("string"), "depth", True).alias("s")).collect()
+    rows = df.select(output.json_line(df, ("m.k",)).alias("j"), output.template("{{file}}|{{qpath}}|{{.x}}", "url").alias("t"), output.screen_line("url", "method", "body", F.lit(None).cast("string"), "depth", True).alias("s")).collect()
     assert rows[0].j == '{"l":["t"],"m":{"k":"v"},"method":"GET","url":"https://a.x.test/p/f.js?b=1&a=2"}'
     assert rows[0].t == "f.js|/p/f.js?a=2&b=1|" and rows[1].t is None
     assert rows[1].s == "[GET] no address [x] [depth:2]"
@@ -228,3 +228,8 @@ def test_page_facts_edges(spark):
 def test_exclusions(spark):
     df = spark.createDataFrame([("http://10.1.2.3/",), ("http://8.8.8.8/",), ("http://x.test:8080/",), ("http://[fe80::1]/",), ("http://bad.test/",)], "u string")
     assert [r[0] for r in df.select(filters.not_excluded("u", ["private-ips", "8080", r"bad\."])).collect()] == [False, True, False, False, False]
+
+
+def test_field_lines(spark):
+    assert value(spark, output.field_lines("t", ["fqdn", "key"], verbose=True), "https://a.x.test/?q=1&r=2") == "[fqdn] a.x.test\n[key] q\n[key] r"
+    assert value(spark, output.field_lines("t", ["file"]), "https://a.x.test/") == ""
