@@ -84,7 +84,8 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
             break
         seen = seen.union(level)
     part = seen.join(edges, seen.url == edges.source).select("seed", "source", "ord", "target")
-    part = part.union(reach.select("seed", F.col("url").alias("source"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("target")))
+    # every page once more without a link, so that one without links is known too
+    part = part.union(seen.select("seed", F.col("url").alias("source"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("target")))
     have = fetched.select(F.col("url").alias("source"), F.lit(True).alias("ok")) if fetched is not None else None
     if have is not None:
         part = part.join(have, "source", "left").select("seed", "source", "ord", "target", F.coalesce("ok", F.lit(False)).alias("ok"))
