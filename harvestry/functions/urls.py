@@ -173,6 +173,13 @@ def registrable_domain(h: str | Column, suffixes: frozenset[str] | set[str] = SU
     return F.when(h.rlike(r"^[0-9.]+$") | h.contains(":"), h).when(two.isin(*sorted(suffixes)), three).otherwise(two)
 
 
+def load_suffixes(path: str) -> frozenset[str]:
+    """Public suffixes of two labels from a list in the usual format, for registrable_domain; wildcard and exception rules are passed over."""
+    with open(path, encoding="utf-8") as f:
+        rules = (x.strip() for x in f)
+        return frozenset(x for x in rules if x and not x.startswith(("//", "*", "!")) and x.count(".") == 1)
+
+
 def encode_component(c: str | Column) -> Column:
     """Every byte but letters and digits as %XX."""
     out = F.regexp_replace(F.url_encode(col(c)), r"\+", "%20")

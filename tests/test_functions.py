@@ -57,6 +57,12 @@ def test_registrable_domain(spark, host, out):
     assert one(spark, U.registrable_domain("h"), h=host) == out
 
 
+def test_suffix_list(spark, tmp_path):
+    (tmp_path / "s").write_text("// list\ntest\na.test\n*.b.test\n!c.b.test\nx.y.test\n")
+    found = U.load_suffixes(str(tmp_path / "s"))
+    assert found == {"a.test"} and one(spark, U.registrable_domain("h", found), h="w.v.a.test") == "v.a.test"
+
+
 @pytest.mark.parametrize("p,file,folder,ext", [("/a/b.tar.gz", "b.tar.gz", "/a/", ".gz"), ("/a", "", "", ""), ("/", "", "", ""), ("/a/b/", "", "/a/b/", ""), ("/.htaccess", ".htaccess", "", ""), ("/x.JS", "x.JS", "", ".js")])
 def test_path_parts(spark, p, file, folder, ext):
     r = spark.createDataFrame([(p,)], "p string").select(U.file_base("p"), U.directory("p"), U.extension("p")).first()
