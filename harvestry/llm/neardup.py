@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_arrow, saved
+from .text import map_arrow, maybe_among, saved
 
 ROWS, BANDS, SLOTS = 5, 48, 64
 _word = re.compile(r"[^\W_]+")
@@ -116,7 +116,7 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
 
     left = saved(map_arrow(both.select("a", "b", "sa", "sb"), likely, "a long, b long"))
     wanted = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id").dropDuplicates(["id"])
+    texts = maybe_among(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", wanted).join(wanted, "id").dropDuplicates(["id"])
     full = left.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def exact(a, b, ta, tb):

@@ -231,6 +231,16 @@ def test_pairs_against_all_pairs(spark):
     assert groups == {i: find(i) for i in root}
 
 
+@pytest.mark.parametrize("bits", [15, 22])
+def test_bitmap_thins(spark, bits):
+    from harvestry.llm.text import maybe_among
+
+    df, wanted = spark.range(20_000), spark.range(0, 20_000, 97)
+    got = {r.id for r in maybe_among(df, "id", wanted, bits).collect()}
+    assert {r.id for r in wanted.collect()} <= got and len(got) < (400 if bits == 15 else 210)
+    assert maybe_among(df, "id", wanted.limit(0), bits).count() == 0
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "a long, b long")
