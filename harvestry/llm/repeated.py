@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_arrow, site_of
+from .text import map_arrow, saved, site_of
 
 ARRAY, RUNS, BITS = 0, 1, 2
 _blanks = re.compile(r"[ \t]+")
@@ -149,8 +149,8 @@ def line_bitmaps(pages: DataFrame) -> DataFrame:
 def repeated_keys(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
     """(sk, lk, n, first) of the lines on at least `least` documents and `share` of the site's documents."""
     counts = line_bitmaps(pages).groupBy("sk", "lk").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    # One pass over the counts: the site's size comes from its own row (lk 0), not from a second scan.
-    kept = counts.where((F.col("n") >= least) | (F.col("lk") == 0))
+    # Written once and used twice: the site's size comes from its own row (lk 0), not from a second pass.
+    kept = saved(counts.where((F.col("n") >= least) | (F.col("lk") == 0)))
     sizes = kept.where("lk = 0").select("sk", F.col("n").alias("size"))
     return kept.where("lk <> 0").join(sizes, "sk").where(F.col("n") >= F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9))).select("sk", "lk", "n", "first")
 
