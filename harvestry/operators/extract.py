@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 # Patterns of addresses in page bodies and in scripts.
-_FILES = "aspx?|action|cfm|cgi|do|pl|css|x?html?|js(?:p|on)?|pdf|php5?|py|rss"
 BODY_ENDPOINT = (
-    r"(?:((?:\.{1,2}/[A-Za-z0-9\-_/\\?&@\.?=%]+)|(https?://[A-Za-z0-9_\-\.]+([\.]{0,2})?/[A-Za-z0-9\-_/\\?&@\.?=%]+)"
-    rf"|(/[A-Za-z0-9\-_/\\?&@\.%]+\.(?:{_FILES}))|([A-Za-z0-9\-_?&@\.%]+/[A-Za-z0-9/\\\-_?&@\.%]+\.(?:{_FILES}))))"
+    r"(?:("
+    r"(?:\.{1,2}/[A-Za-z0-9\-_/\\?&@\.?=%]+)"
+    r"|(https?://[A-Za-z0-9_\-\.]+([\.]{0,2})?/[A-Za-z0-9\-_/\\?&@\.?=%]+)"
+    r"|(/[A-Za-z0-9\-_/\\?&@\.%]+\.(?:aspx?|action|cfm|cgi|do|pl|css|x?html?|js(?:p|on)?|pdf|php5?|py|rss))"
+    r"|([A-Za-z0-9\-_?&@\.%]+/[A-Za-z0-9/\\\-_?&@\.%]+\.(?:aspx?|action|cfm|cgi|do|pl|css|x?html?|js(?:p|on)?|pdf|php5?|py|rss))"
+    r"))"
 )
 SCRIPT_ENDPOINT = (
-    r"""(?:"|'|\s)\s*((?:https?://[A-Za-z0-9_\-.]+(?::\d{1,5})?(?:\.{1,2})?/[A-Za-z0-9/\-_.%]+(?:(?:\?|#)[^"'\s]*)?)"""
+    r"""(?:"|'|\s)\s*("""
+    r"""(?:https?://[A-Za-z0-9_\-.]+(?::\d{1,5})?(?:\.{1,2})?/[A-Za-z0-9/\-_.%]+(?:(?:\?|#)[^"'\s]*)?)"""
     r"""|(?:\.{1,2}/)?[a-zA-Z0-9\-_/\\%]+\.(?:aspx?|js(?:on|p)?|html|php5?|action|do)(?:(?:\?|#)[^"'\s]*)?"""
     r"""|(?:\.{0,2}/)[a-zA-Z0-9\-_/\\%]+(?:/|\\)[a-zA-Z0-9\-_]{3,}(?:(?:\?|#)[^"'\s]*)?"""
-    r"""|(?:\.{0,2})[a-zA-Z0-9\-_/\\%]{3,}/)\s*(?:"|'|\s)"""
+    r"""|(?:\.{0,2})[a-zA-Z0-9\-_/\\%]{3,}/"""
+    r""")\s*(?:"|'|\s)"""
 )
 
 

@@ -156,3 +156,13 @@ def stream_unique(spark: SparkSession, d: str) -> DataFrame:
 def stream_throttle(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d).select((F.col("user_id") % 8).cast("string").alias("host"), (F.col("event_type") == "error").alias("hit"), "ts")
     return _finish(spark, S.throttle(s, "host", "hit", "ts"), "update")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS rows FROM s GROUP BY user_id, s"""
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    out = _finish(spark, S.sessions(_stream(spark, d), "ts", "30 minutes", ["user_id"], late="3650 days"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

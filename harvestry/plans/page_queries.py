@@ -325,3 +325,48 @@ def input_lines(spark: SparkSession, d: str) -> DataFrame:
 def body_cap(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
     return r.select("response_id", F.when(corpus.cap_body("body", 1000) == U.text("body"), "whole").otherwise("cut").alias("kind"))
+
+
+_TYPE = "lower(coalesce(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, ''))"
+
+
+@query(f"SELECT response_id FROM {T.RESPONSES} WHERE (ends_with(lower({_PATH}), '.js') OR ends_with(lower({_PATH}), '.css') OR contains({_TYPE}, '/javascript') OR contains({_TYPE}, '/html')) AND NOT regexp_matches(lower({_PATH}), 'jquery|angular|bootstrap|vue|react|lodash|moment|d3|three|socket\\.io|backbone|underscore|modernizr|polyfill')")
+def script_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Script and style bodies; HTML answers stand in for scripts by their header, because the tables have none."""
+    r = T.responses(spark, d)
+    kind = F.create_map(F.lit("Content-Type"), F.replace(F.coalesce(extract.header("headers", "content-type"), F.lit("")), F.lit("/html"), F.lit("/javascript")))
+    return r.where(extract.is_script("url", kind)).select("response_id")
+
+
+@query("SELECT n_nationkey, unnest(['/p/' || n_nationkey, 'https://x.test/' || lower(n_name)]) AS target FROM nation")
+def onclick_links(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("string")
+    code = F.concat(F.lit("go('/p/"), k, F.lit("'); go('/p/"), k, F.lit("'); open(\"https://x.test/"), F.lower("n_name"), F.lit("\") + 'none'"))
+    return T.read(spark, d, "nation").select("n_nationkey", F.explode(extract.onclick_targets(code)).alias("target"))
+
+
+@query(f"SELECT response_id, regexp_extract(list_filter(map_entries(headers), lambda e: e.key = 'server')[1].value, '^(\\S+)', 1) AS server FROM {T.RESPONSES} WHERE headers['server'] IS NOT NULL")
+def header_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = analyze.custom_fields([analyze.CustomField("server", [r"(?m)^server: (\S+)"], "header", 1)], "body", "headers")
+    return T.responses(spark, d).select("response_id", F.explode(F.try_element_at(found, F.lit("server"))).alias("server"))
+
+
+@query(f"SELECT DISTINCT {_S} || '_' || replace(({_ROOT})[length({_S}) + 4:], ':', '_') || '_fqdn.txt' AS file, {_H} AS line FROM {T.RESPONSES}")
+def field_store(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the per-host field files, each once."""
+    x = T.responses(spark, d).select("url", F.explode(output.field_values("url", ["fqdn"])).alias("v"))
+    return x.select(output.field_store_path("url", F.col("v.field")).alias("file"), F.col("v.value").alias("line")).distinct()
+
+
+@query(f"SELECT response_id, '{{\"timestamp\":\"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') || '\",\"endpoint\":\"' || url || '\",\"source\":\"' || coalesce(source, '') || '\",\"error\":\"status ' || status_code || '\"}}' AS line FROM {T.RESPONSES} WHERE status_code >= 400 AND fetched_at IS NOT NULL AND NOT contains(url, chr(9)) AND NOT contains(url, chr(10))")
+def error_log(spark: SparkSession, d: str) -> DataFrame:
+    r = T.responses(spark, d).where("status_code >= 400 and fetched_at is not null and not contains(url, '\t') and not contains(url, '\n')")
+    return r.select("response_id", output.event_error("fetched_at", "url", F.coalesce("source", F.lit("")), F.concat(F.lit("status "), F.col("status_code").cast("string"))).alias("line"))
+
+
+@query()
+def link_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All links of a page, and whether they stay on its host."""
+    f = pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",))
+    x = pages.page_links(f, ["response_id", "page"], "page", same_host=False, drop_base=False)
+    return x.select("response_id", "ord", "url", (U.authority("url") == U.authority("page")).alias("internal"))
