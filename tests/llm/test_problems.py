@@ -164,6 +164,7 @@ def test_furniture():
         (r"costs $5 in summer and $8 in winter, C:\new\text.txt", []),
         ("`<b>` and\n```\n[[x]]\n```", []),
         ("{{ name }} and **bold** [a](b)", []),
+        ("${product} was $8 and ${city} was $", []),
         (r"<b>x</b> [[y]] \textbf{z}", ["html", "wiki", "latex"]),
         (None, []),
         ("", []),
