@@ -12,6 +12,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.template_residue(read(spark, d, "page_ir"))
 
 
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return residue.evidence(read(spark, d, "page_ir"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.keyword_pages(read(spark, d, "page_ir"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, HOMELINK, TITLE, furniture, is_fence, is_notice, line_class
-from .text import map_arrow, saved, without_code
+from .text import map_arrow, saved, site_of, without_code
 
 _F = r"[A-Za-z][A-Za-z0-9]*(?:[ ._-][A-Za-z0-9]+){0,3}"
 # Shapes of unfilled placeholders.
@@ -86,39 +86,44 @@ def filler(line: str) -> bool:
     return bool(SAMPLE.search(line)) or len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
 
 
-def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int, str]:
-    """(2 case, 1 doubtful, 0 none; the low-information body with figures levelled, which hosts' evidence is gathered on)."""
+def terms_met(url: str | None, title: str | None, text: str) -> tuple[int, int]:
+    """How many terms of the address slug, and of the title, the body takes up."""
+    body = set(_w.findall(text.lower()))
+    slug = {w for w in _w.findall((url or "").rstrip("/").rpartition("/")[2].lower()) if len(w) > 4 and not w.isdigit()}
+    name = {w for w in _w.findall((title or "").lower()) if len(w) > 4 and not w.isdigit()}
+    return len(slug & body), len(name & body)
+
+
+def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int, str, str]:
+    """(2 case, 1 doubtful, 0 none; the low-information body with figures levelled, on which hosts' evidence is gathered; reason)."""
     if has_placeholder(title, markdown):
-        return 2, ""
+        return 2, "", "placeholder"
     if not markdown:
-        return 0, ""
+        return 0, "", ""
     heads, rest = core(markdown)
     if any(is_fence(x) for x in rest):
-        return 0, ""
+        return 0, "", ""
     text = " ".join(rest)
     if not rest:
         # nothing but headings: an error page if one of them says so
-        return (2, "") if any(ERROR.search(h) for h in heads) else (0, "")
+        return (2, "", "error") if any(ERROR.search(h) for h in heads) else (0, "", "")
     if all(filler(x) for x in rest):
-        return 2, ""
+        return 2, "", "filler"
+    key = _digits.sub("0", text.lower())
     if all(is_notice(x) for x in rest):
-        return 2, ""
+        return 2, key, "notice"
     if len(rest) > 6 or len(text) > 420:
-        return 0, ""
-    hits = sum(bool(ERROR.search(x)) or is_notice(x) for x in rest)
-    heading = any(ERROR.search(h) for h in heads)
-    key = _digits.sub("0", text.lower())
-    if hits == len(rest):
-        # Address and title against the body: an answer that names neither is no article on them.
-        terms = set(_w.findall(text.lower()))
-        own = {w for w in _w.findall(f"{title or ''} {(url or '').rpartition('/')[2]}".lower()) if len(w) > 4 and not w.isdigit()}
-        met = own & terms
-        return (2, key) if len(rest) <= 3 and len(text) < 240 or not met else (1, key)
-    if hits and len(rest) <= 3 and len(text) < 200 and all(ERROR.search(x) or is_notice(x) or _server.fullmatch(x) or len(x) < 90 for x in rest):
-        return (2, key) if all(ERROR.search(x) or is_notice(x) or _server.fullmatch(x) for x in rest) else (1, key)
-    if heading and len(text) < 200:
-        return 2, key
-    return 0, key if len(text) < 160 else ""
+        return 0, "", ""
+    error = [bool(ERROR.search(x)) or is_notice(x) for x in rest]
+    if all(error) or any(error) and all(e or _server.fullmatch(x) for e, x in zip(error, rest)):
+        # A short message is a case; a longer one only if it takes up nothing of its address and title.
+        short = len(rest) <= 3 and len(text) < 240
+        return (2 if short or not any(terms_met(url, title, text)) else 1), key, "error"
+    if any(error) and len(rest) <= 3 and len(text) < 200 and all(e or len(x) < 90 for e, x in zip(error, rest)):
+        return 1, key, "error"
+    if any(ERROR.search(h) for h in heads) and len(text) < 200:
+        return 2, key, "error"
+    return 0, key if len(text) < 160 else "", ""
 
 
 def template_residue(pages: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def template_residue(pages: DataFrame) -> DataFrame:
     def rows(ids, urls, titles, texts):
         for i, u, t, x in zip(ids, urls, titles, texts):
             if i is not None:
-                v, key = judge(u, t, x)
+                v, key, _ = judge(u, t, x)
                 if v:
                     yield i, v, key
 
@@ -142,3 +147,25 @@ def template_residue(pages: DataFrame) -> DataFrame:
     shared = found.groupBy("body").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("body").alias("b"))
     both = found.join(shared, F.col("body") == F.col("b"), "left")
     return both.where("verdict = 2 or b is not null").select("page_id").distinct()
+
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """(page_id, reason, verdict, slug_terms, title_terms, same_body_pages, same_body_hosts): what speaks against each suspect.
+
+    slug_terms and title_terms: how many of them the body takes up; same_body_*: on how many pages and hosts the same
+    levelled body stands (0 for placeholders and filler, whose bodies differ).
+    """
+
+    def rows(ids, urls, titles, texts, sites):
+        for i, u, t, x, s in zip(ids, urls, titles, texts, sites):
+            if i is not None:
+                v, key, why = judge(u, t, x)
+                if v:
+                    yield (i, s, why, v, *terms_met(u, t, key), key)
+
+    src = pages.select("page_id", "url", "title", "markdown_ir", site_of("url").alias("site"))
+    found = map_arrow(src, rows, "page_id long, site string, reason string, verdict int, slug_terms int, title_terms int, body string")
+    found = saved(found.withColumn("body", F.when(F.col("body") != "", F.xxhash64("body"))).distinct())
+    same = found.where("body is not null").groupBy("body").agg(F.countDistinct("page_id").alias("same_body_pages"), F.countDistinct("site").alias("same_body_hosts"))
+    out = found.join(same, "body", "left").select("page_id", "reason", "verdict", "slug_terms", "title_terms", F.coalesce("same_body_pages", F.lit(0)).alias("same_body_pages"), F.coalesce("same_body_hosts", F.lit(0)).alias("same_body_hosts"))
+    return out.distinct()
