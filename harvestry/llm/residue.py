@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLANKS, HOMELINK, TITLE, furniture, is_fence, is_notice, line_class
+from .blocks import BLANKS, GOOD, HOMELINK, TITLE, furniture, is_fence, is_notice, line_class
 from .text import map_arrow, saved, site_of, without_code
 
 _F = r"[A-Za-z][A-Za-z0-9]*(?:[ ._-][A-Za-z0-9]+){0,3}"
@@ -94,11 +94,26 @@ def terms_met(url: str | None, title: str | None, text: str) -> tuple[int, int]:
     return len(slug & body), len(name & body)
 
 
+def speaks(markdown: str) -> bool:
+    """Whether lines that are own content whatever stands around them come to over 420 characters and are not all filler.
+
+    Such a page cannot be a case by its body, so that most pages are done without the second pass over their blocks.
+    """
+    size, real = 0, False
+    for x in markdown.split("\n"):
+        if len(x) > 60 and line_class(x) == GOOD:
+            size += len(BLANKS.sub(" ", x).strip())
+            real = real or not filler(x)
+            if real and size > 420:
+                return True
+    return False
+
+
 def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int, str, str]:
     """(2 case, 1 doubtful, 0 none; the low-information body with figures levelled, on which hosts' evidence is gathered; reason)."""
     if has_placeholder(title, markdown):
         return 2, "", "placeholder"
-    if not markdown:
+    if not markdown or speaks(markdown):
         return 0, "", ""
     heads, rest = core(markdown)
     if any(is_fence(x) for x in rest):
