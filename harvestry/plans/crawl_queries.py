@@ -112,12 +112,12 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
 def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
     what = F.when(F.col("status_code") >= 400, "failed").when(U.is_redirect("status_code"), "redirect").when(U.text("body") == "", "skipped").otherwise("result")
-    return frontier.summary(r.select(what.alias("disposition")))
+    return frontier.summary(T.once(r.select("response_id", what.alias("disposition"))))
 
 
 @query(f"SELECT root_hostname, count(*) AS pages, count(DISTINCT url) AS urls FROM {T.PAGES} GROUP BY root_hostname")
 def host_counts(spark: SparkSession, d: str) -> DataFrame:
-    return T.pages(spark, d).groupBy("root_hostname").agg(F.count("*").alias("pages"), F.countDistinct("url").alias("urls"))
+    return T.once(T.pages(spark, d).select("page_id", "root_hostname", "url")).groupBy("root_hostname").agg(F.count("*").alias("pages"), F.countDistinct("url").alias("urls"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

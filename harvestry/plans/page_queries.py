@@ -57,7 +57,7 @@ def _all(text: str, pattern: str, group: int) -> str:
 @query("\nUNION ALL ".join(f"SELECT response_id, {i} AS place, {_quote(n)} AS type, unnest({_all('b', _quote(p), 0)}[1:10]) AS match FROM {_R}" for i, (n, p) in enumerate(analyze.SECRETS)))
 def secrets(spark: SparkSession, d: str) -> DataFrame:
     rank = F.create_map(*[x for i, (n, _) in enumerate(analyze.SECRETS) for x in (F.lit(n), F.lit(i))])
-    x = T.responses(spark, d).select("response_id", F.explode(analyze.secrets(marked("response_id", "body"))).alias("s"))
+    x = T.each(T.responses(spark, d), "response_id", analyze.secrets(marked("response_id", "body")), "s")
     return x.select("response_id", F.element_at(rank, F.col("s.type")).alias("place"), "s.type", "s.match")
 
 
@@ -72,7 +72,7 @@ def _tech_sql() -> str:
 
 @query(_tech_sql())
 def technologies(spark: SparkSession, d: str) -> DataFrame:
-    return T.responses(spark, d).select("response_id", F.explode(analyze.technologies("headers", marked("response_id", "body"))).alias("technology"))
+    return T.each(T.responses(spark, d), "response_id", analyze.technologies("headers", marked("response_id", "body")), "technology")
 
 
 _HINTS = ", ".join(f"{{'h': '{h}', 'k': '{k}'}}" for h, k in analyze.ENDPOINT_HINTS)
@@ -80,7 +80,7 @@ _HINTS = ", ".join(f"{{'h': '{h}', 'k': '{k}'}}" for h, k in analyze.ENDPOINT_HI
 
 @query(f"WITH t AS (SELECT response_id, unnest(regexp_split_to_array(b, '[^\\x21-\\x7e]+')) AS p FROM {_R}), h AS (SELECT unnest([{_HINTS}]) AS x) SELECT DISTINCT response_id, x.k AS type, p AS path FROM t, h WHERE contains(p, x.h) AND length(p) < 200")
 def endpoint_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return T.responses(spark, d).select("response_id", F.explode(analyze.endpoints(marked("response_id", "body"))).alias("e")).select("response_id", "e.type", "e.path")
+    return T.each(T.responses(spark, d), "response_id", analyze.endpoints(marked("response_id", "body")), "e").select("response_id", "e.type", "e.path")
 
 
 @query(
@@ -91,25 +91,25 @@ nullif(coalesce(nullif(regexp_extract(b, 'data-sitekey="([^"'']+)["'']', 1), '')
 )
 def page_types(spark: SparkSession, d: str) -> DataFrame:
     b = marked("response_id", "body")
-    return T.responses(spark, d).select("response_id", filters.page_type("status_code", b).alias("page_type"), analyze.captcha_kind(b).alias("captcha"), analyze.sitekey(b).alias("sitekey"))
+    return T.once(T.responses(spark, d).select("response_id", filters.page_type("status_code", b).alias("page_type"), analyze.captcha_kind(b).alias("captcha"), analyze.sitekey(b).alias("sitekey")))
 
 
 @query(f"SELECT doc_id, i::INTEGER AS place, e AS email FROM (SELECT doc_id, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {_all('coalesce(text, chr(32))', _quote(analyze.EMAIL), 0)} AS x FROM {T.DOCUMENTS}))")
 def emails(spark: SparkSession, d: str) -> DataFrame:
     found = analyze.custom_fields(analyze.DEFAULT_FIELDS, "text")
-    x = T.documents(spark, d).select("doc_id", F.posexplode(F.try_element_at(found, F.lit("email"))).alias("i", "email"))
+    x = T.each(T.documents(spark, d), "doc_id", F.try_element_at(found, F.lit("email")), "i", "email")
     return x.select("doc_id", (F.col("i") + 1).alias("place"), "email")
 
 
 @query(f"SELECT item_id, e AS endpoint FROM (SELECT item_id, unnest(list_distinct({_all(chr(39) + chr(34) + chr(39) + ' || url || ' + chr(39) + chr(34) + ' x' + chr(39), _RE_BODY, 1)})) AS e FROM {T.ITEMS})")
 def body_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return T.items(spark, d).select("item_id", F.explode(extract.body_endpoints(F.concat(F.lit('"'), F.col("url"), F.lit('" x')))).alias("endpoint"))
+    return T.each(T.items(spark, d), "item_id", extract.body_endpoints(F.concat(F.lit('"'), F.col("url"), F.lit('" x'))), "endpoint")
 
 
 @query(f"SELECT item_id, e AS endpoint FROM (SELECT item_id, unnest(list_distinct({_all(chr(39) + 'f(' + chr(34) + chr(39) + ' || url || ' + chr(39) + chr(34) + '); g(' + chr(34) + '/api/v' + chr(39) + ' || item_id || ' + chr(39) + '/list.json' + chr(34) + ')' + chr(39), _RE_SCRIPT, 1)})) AS e FROM {T.ITEMS})")
 def script_endpoints(spark: SparkSession, d: str) -> DataFrame:
     js = F.concat(F.lit('f("'), F.col("url"), F.lit('"); g("/api/v'), F.col("item_id").cast("string"), F.lit('/list.json")'))
-    return T.items(spark, d).select("item_id", F.explode(extract.script_endpoints(js)).alias("endpoint"))
+    return T.each(T.items(spark, d), "item_id", extract.script_endpoints(js), "endpoint")
 
 
 @query(
@@ -150,7 +150,7 @@ def srcset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT response_id FROM (SELECT response_id, row_number() OVER (PARTITION BY md5(coalesce(body, '')) ORDER BY response_id) AS rn FROM {T.RESPONSES}) WHERE rn = 1")
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
-    x = T.responses(spark, d).select("response_id", dedup.content_key("body").alias("k"))
+    x = T.once(T.responses(spark, d).select("response_id", dedup.content_key("body").alias("k")))
     return dedup.first_by(x, ["k"], ["response_id"]).select("response_id")
 
 
@@ -163,7 +163,7 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{Nl}}\\p
 
 @query(f"WITH v AS (SELECT response_id, {_VISIBLE} AS t FROM {T.RESPONSES}) SELECT response_id, md5(t) AS text, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS words, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END END AS lines FROM v")
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
-    x = T.responses(spark, d).select("response_id", dedup.visible_text("body").alias("t"))
+    x = T.once(T.responses(spark, d).select("response_id", dedup.visible_text("body").alias("t")))
     return x.select("response_id", F.md5(F.encode("t", "UTF-8")).alias("text"), extract.words("t").cast("long").alias("words"), extract.lines("t").cast("long").alias("lines"))
 
 
@@ -173,7 +173,7 @@ def fnv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
-    return T.documents(spark, d).select("doc_id", dedup.simhash(dedup.tokens(dedup.visible_text("text"))).alias("h"))
+    return T.once(T.documents(spark, d).select("doc_id", dedup.simhash(dedup.tokens(dedup.visible_text("text"))).alias("h")))
 
 
 @query()
@@ -195,7 +195,7 @@ _W = f"(SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coa
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return T.documents(spark, d).select("doc_id", dedup.tokens("text").alias("w"))
+    return T.once(T.documents(spark, d).select("doc_id", dedup.tokens("text").alias("w")))
 
 
 @query()
@@ -227,7 +227,7 @@ def conditions(spark: SparkSession, d: str) -> DataFrame:
         "e": "response.status_code != 'x'",
         "f": "matches(url, 'item=[0-9]+') || upper(source) == ''",
     }
-    return r.select("response_id", *[dsl.compile_condition(t, r.schema).alias(k) for k, t in texts.items()])
+    return T.once(r.select("response_id", *[dsl.compile_condition(t, r.schema).alias(k) for k, t in texts.items()]))
 
 
 @query(
@@ -239,7 +239,7 @@ replace(({_ROOT})[length({_S}) + 4:], ':', '_') || '/' || md5(url) || '.txt' AS
 def output_lines(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
     doc = F.to_json(F.struct(F.struct("status_code").alias("response")))
-    return r.select(
+    lines = r.select(
         "response_id",
         output.template("[{{fqdn}}] {{url}} -> {{ path }} {{.response.status_code}}", "url", doc).alias("line"),
         output.screen_line("url", F.lit("GET"), F.lit(""), F.lit(""), F.coalesce("depth", F.lit(0)), verbose=True).alias("screen"),
@@ -248,6 +248,7 @@ def output_lines(spark: SparkSession, d: str) -> DataFrame:
         output.store_path("url").alias("path"),
         U.export_filename("url").alias("export"),
     )
+    return T.once(lines)
 
 
 @query(
@@ -255,43 +256,44 @@ def output_lines(spark: SparkSession, d: str) -> DataFrame:
 ELSE CASE WHEN depth = 0 THEN json_object('body', body, 'method', method, 'url', url) ELSE json_object('body', body, 'depth', depth, 'method', method, 'url', url) END END)::VARCHAR AS line FROM {T.ITEMS}"""
 )
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
-    x = T.items(spark, d).select("item_id", "url", "method", "body", "depth", "priority")
+    x = T.once(T.items(spark, d).select("item_id", "url", "method", "body", "depth", "priority"))
     return x.select("item_id", output.json_line(x, ("item_id", "priority")).alias("line"))
 
 
 @query()
 def page_facts(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(T.responses(spark, d), ["response_id"])
-    return f.select("response_id", "title", F.octet_length("markdown_ir").alias("ir_bytes"), F.size("links").alias("links"), F.size("forms").alias("forms"))
+    f = pages.page_facts(T.responses(spark, d), ["response_id"], parts=("title", "markdown_ir", "links", "forms"))
+    return T.once(f.select("response_id", "title", F.octet_length("markdown_ir").alias("ir_bytes"), F.size("links").alias("links"), F.size("forms").alias("forms")))
 
 
 @query(f"SELECT response_id, CASE WHEN t = '' THEN 'Untitled Page' ELSE t END AS title FROM (SELECT response_id, trim(replace(replace(replace(regexp_extract(coalesce(body, ''), '<title>([^<]*)', 1), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS t FROM {T.RESPONSES} WHERE contains(coalesce(body, ''), '</title>'))")
 def titles(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d).where(F.coalesce("body", F.lit("")).contains("</title>"))
-    return pages.page_facts(r, ["response_id"], parts=("title",))
+    return T.once(pages.page_facts(r, ["response_id"], parts=("title",)))
 
 
 @query()
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(T.responses(spark, d), ["response_id", "url"], parts=("links",))
+    f = T.once(pages.page_facts(T.responses(spark, d), ["response_id", "url"], parts=("links",)))
     return pages.link_rows(f, ["response_id"], "url")
 
 
 @query()
 def same_host_links(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",))
+    f = T.once(pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",)))
     return pages.page_links(f, ["response_id"], "page")
 
 
 @query()
 def markdown_ir(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(T.responses(spark, d), ["response_id"], parts=("title", "markdown_ir"))
+    f = T.once(pages.page_facts(T.responses(spark, d), ["response_id"], parts=("title", "markdown_ir")))
     return f.select("response_id", output.markdown_page("title", "markdown_ir").alias("page"))
 
 
 @query(f"SELECT count(*) AS pages_processed, coalesce(sum(strlen(markdown_ir)), 0)::BIGINT AS total_ir_bytes FROM {T.PAGES}")
 def ir_summary(spark: SparkSession, d: str) -> DataFrame:
-    return frontier.ir_summary(T.pages(spark, d))
+    sizes = T.once(T.pages(spark, d).select("page_id", F.octet_length("markdown_ir").alias("bytes")))
+    return sizes.agg(F.count("*").alias("pages_processed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_ir_bytes"))
 
 
 @query(
@@ -324,7 +326,7 @@ def input_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT response_id, CASE WHEN strlen(coalesce(body, '')) <= 1000 THEN 'whole' ELSE 'cut' END AS kind FROM {T.RESPONSES}")
 def body_cap(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
-    return r.select("response_id", F.when(corpus.cap_body("body", 1000) == U.text("body"), "whole").otherwise("cut").alias("kind"))
+    return T.once(r.select("response_id", F.when(corpus.cap_body("body", 1000) == U.text("body"), "whole").otherwise("cut").alias("kind")))
 
 
 _TYPE = "lower(coalesce(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, ''))"
@@ -335,7 +337,7 @@ def script_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Script and style bodies; HTML answers stand in for scripts by their header, because the tables have none."""
     r = T.responses(spark, d)
     kind = F.create_map(F.lit("Content-Type"), F.replace(F.coalesce(extract.header("headers", "content-type"), F.lit("")), F.lit("/html"), F.lit("/javascript")))
-    return r.where(extract.is_script("url", kind)).select("response_id")
+    return T.once(r.where(extract.is_script("url", kind)).select("response_id"))
 
 
 @query("SELECT n_nationkey, unnest(['/p/' || n_nationkey, 'https://x.test/' || lower(n_name)]) AS target FROM nation")
@@ -348,25 +350,25 @@ def onclick_links(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT response_id, regexp_extract(list_filter(map_entries(headers), lambda e: e.key = 'server')[1].value, '^(\\S+)', 1) AS server FROM {T.RESPONSES} WHERE headers['server'] IS NOT NULL")
 def header_fields(spark: SparkSession, d: str) -> DataFrame:
     found = analyze.custom_fields([analyze.CustomField("server", [r"(?m)^server: (\S+)"], "header", 1)], "body", "headers")
-    return T.responses(spark, d).select("response_id", F.explode(F.try_element_at(found, F.lit("server"))).alias("server"))
+    return T.each(T.responses(spark, d), "response_id", F.try_element_at(found, F.lit("server")), "server")
 
 
 @query(f"SELECT DISTINCT {_S} || '_' || replace(({_ROOT})[length({_S}) + 4:], ':', '_') || '_fqdn.txt' AS file, {_H} AS line FROM {T.RESPONSES}")
 def field_store(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the per-host field files, each once."""
-    x = T.responses(spark, d).select("url", F.explode(output.field_values("url", ["fqdn"])).alias("v"))
+    x = T.each(T.responses(spark, d), "url", output.field_values("url", ["fqdn"]), "v")
     return x.select(output.field_store_path("url", F.col("v.field")).alias("file"), F.col("v.value").alias("line")).distinct()
 
 
 @query(f"SELECT response_id, '{{\"timestamp\":\"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') || '\",\"endpoint\":\"' || url || '\",\"source\":\"' || coalesce(source, '') || '\",\"error\":\"status ' || status_code || '\"}}' AS line FROM {T.RESPONSES} WHERE status_code >= 400 AND fetched_at IS NOT NULL AND NOT contains(url, chr(9)) AND NOT contains(url, chr(10))")
 def error_log(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d).where("status_code >= 400 and fetched_at is not null and not contains(url, '\t') and not contains(url, '\n')")
-    return r.select("response_id", output.event_error("fetched_at", "url", F.coalesce("source", F.lit("")), F.concat(F.lit("status "), F.col("status_code").cast("string"))).alias("line"))
+    return T.once(r.select("response_id", output.event_error("fetched_at", "url", F.coalesce("source", F.lit("")), F.concat(F.lit("status "), F.col("status_code").cast("string"))).alias("line")))
 
 
 @query()
 def link_labels(spark: SparkSession, d: str) -> DataFrame:
     """All links of a page, and whether they stay on its host."""
-    f = pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",))
+    f = T.once(pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",)))
     x = pages.page_links(f, ["response_id", "page"], "page", same_host=False, drop_base=False)
     return x.select("response_id", "ord", "url", (U.authority("url") == U.authority("page")).alias("internal"))

@@ -48,7 +48,7 @@ def _rdn(h: str) -> str:
 @query(f"SELECT response_id, {_S} AS scheme, {_H} AS host, {_P} AS port, {_PATH} AS path, {_QUERY} AS query, regexp_extract({_T}, '#(.*)$', 1) AS fragment, {_NORM} AS normal FROM {T.RESPONSES}")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
-    return r.select("response_id", U.scheme("url").alias("scheme"), U.host("url").alias("host"), U.port("url").alias("port"), U.path("url").alias("path"), U.query("url").alias("query"), U.fragment("url").alias("fragment"), U.normalize("url", keep_fragment=False).alias("normal"))
+    return T.once(r.select("response_id", U.scheme("url").alias("scheme"), U.host("url").alias("host"), U.port("url").alias("port"), U.path("url").alias("path"), U.query("url").alias("query"), U.fragment("url").alias("fragment"), U.normalize("url", keep_fragment=False).alias("normal")))
 
 
 @query(
@@ -65,19 +65,19 @@ UNION ALL SELECT response_id, 'kv', unnest(list_transform(pairs, lambda x: {_K}
 UNION ALL SELECT response_id, 'dir', dd FROM r WHERE length(dd) > 1 UNION ALL SELECT response_id, 'udir', {_ROOT} || dd FROM r WHERE length(dd) > 1"""
 )
 def url_fields(spark: SparkSession, d: str) -> DataFrame:
-    return T.responses(spark, d).select("response_id", F.explode(output.field_values("url")).alias("x")).select("response_id", "x.field", "x.value")
+    return T.each(T.responses(spark, d), "response_id", output.field_values("url"), "x").select("response_id", "x.field", "x.value")
 
 
 @query(f"SELECT item_id, {_rdn(_H)} AS rdn, {_FILE} AS last, CASE WHEN contains({_FILE}, '.') THEN {_FILE} ELSE '' END AS file, lower(regexp_extract({_FILE}, '^.+(\\.[^.]*)$', 1)) AS ext, {_H} || CASE WHEN ({_P}) = '' THEN '' ELSE '_' || ({_P}) END AS store_host, md5(url) AS hash FROM {T.ITEMS}")
 def url_names(spark: SparkSession, d: str) -> DataFrame:
     p = U.path("url")
     last = F.substring_index(F.regexp_replace(p, "/+$", ""), "/", -1)
-    return T.items(spark, d).select("item_id", U.registrable_domain(U.host("url")).alias("rdn"), last.alias("last"), U.file_base(p).alias("file"), U.extension(p).alias("ext"), U.response_host("url").alias("store_host"), U.response_hash("url").alias("hash"))
+    return T.once(T.items(spark, d).select("item_id", U.registrable_domain(U.host("url")).alias("rdn"), last.alias("last"), U.file_base(p).alias("file"), U.extension(p).alias("ext"), U.response_host("url").alias("store_host"), U.response_hash("url").alias("hash")))
 
 
 @query(f"SELECT item_id, CASE WHEN upper(method) = 'POST' THEN {_NORM} || ':' || coalesce(body, '') ELSE {_NORM} END AS visited, CASE method WHEN 'GET' THEN url WHEN 'POST' THEN url || ':' || coalesce(body, '') ELSE '' END AS request FROM {T.ITEMS}")
 def request_keys(spark: SparkSession, d: str) -> DataFrame:
-    return T.items(spark, d).select("item_id", U.visited_key("url", "method", "body").alias("visited"), U.request_url("url", "method", "body").alias("request"))
+    return T.once(T.items(spark, d).select("item_id", U.visited_key("url", "method", "body").alias("visited"), U.request_url("url", "method", "body").alias("request")))
 
 
 _DENY = ", ".join(f"'{e}'" for e in filters.DENIED_EXTENSIONS)
@@ -87,7 +87,7 @@ _EXT = f"lower(regexp_extract({_FILE}, '^.+(\\.[^.]*)$', 1))"
 @query(f"SELECT item_id, {_EXT} NOT IN ({_DENY}) AS by_default, {_EXT} IN ('.html', '') AS listed, {_EXT} NOT IN ('.html') AS denied FROM {T.ITEMS}")
 def extension_filter(spark: SparkSession, d: str) -> DataFrame:
     p = U.path("url")
-    return T.items(spark, d).select("item_id", filters.extension_allowed(p).alias("by_default"), filters.extension_allowed(p, ["html", "none"]).alias("listed"), filters.extension_allowed(p, deny=["HTML"], defaults=False).alias("denied"))
+    return T.once(T.items(spark, d).select("item_id", filters.extension_allowed(p).alias("by_default"), filters.extension_allowed(p, ["html", "none"]).alias("listed"), filters.extension_allowed(p, deny=["HTML"], defaults=False).alias("denied")))
 
 
 @query(
@@ -96,7 +96,7 @@ SELECT item_id, (h = {_rdn("seed")} OR ends_with(h, '.' || {_rdn("seed")})) AS r
 regexp_matches(h, '^(?:docs|shop)\\.') AS pattern, NOT regexp_matches(url, '/help/') AND (regexp_matches(url, 'id=') OR regexp_matches(url, '\\.html$')) AS address FROM r, s"""
 )
 def scopes(spark: SparkSession, d: str) -> DataFrame:
-    r = T.items(spark, d).select("item_id", "url", U.host("url").alias("h"))
+    r = T.once(T.items(spark, d).select("item_id", "url", U.host("url").alias("h")))
     seed = r.agg(F.min_by("h", "item_id").alias("seed"))  # one row
     x = r.join(F.broadcast(seed), F.lit(True))
     return x.select(
@@ -126,12 +126,12 @@ def exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT item_id, url FROM (SELECT *, row_number() OVER (PARTITION BY {_H} ORDER BY item_id) AS rn FROM {T.ITEMS}) WHERE rn <= 5")
 def host_page_cap(spark: SparkSession, d: str) -> DataFrame:
-    return filters.host_cap(T.items(spark, d).select("item_id", "url", U.host("url").alias("h")), "h", ["item_id"], 5).drop("h")
+    return filters.host_cap(T.once(T.items(spark, d).select("item_id", "url", U.host("url").alias("h"))), "h", ["item_id"], 5).drop("h")
 
 
 @query(f"SELECT min(item_id) AS item_id FROM (SELECT item_id, {_ROOT} || ({_PATH}) AS k FROM {T.ITEMS}) GROUP BY k")
 def ignore_query_dedup(spark: SparkSession, d: str) -> DataFrame:
-    x = T.items(spark, d).select("item_id", U.normalize("url", keep_fragment=False, keep_query=False).alias("k"))
+    x = T.once(T.items(spark, d).select("item_id", U.normalize("url", keep_fragment=False, keep_query=False).alias("k")))
     return dedup.first_by(x, ["k"], ["item_id"]).select("item_id")
 
 
@@ -151,7 +151,7 @@ SELECT item_id, s AS segment, {_SEG} AS shape FROM x"""
 def segment_shapes(spark: SparkSession, d: str) -> DataFrame:
     m, i = F.md5("url"), F.col("item_id")
     cells = [m, F.substring(m, 1, 24), F.substring(m, 1, 9), F.concat(m, F.md5(F.coalesce("body", F.lit("")))), i.cast("string"), F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")), (F.lit(1700000000) + i).cast("string"), (F.lit(1700000000000) + i).cast("string"), F.regexp_replace(m, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.substring(m, 1, 5)]
-    x = T.items(spark, d).select("item_id", F.explode(F.array(*cells)).alias("segment"))
+    x = T.each(T.items(spark, d), "item_id", F.array(*cells), "segment")
     return x.select("item_id", "segment", U.normalize_segment(F.col("segment")).alias("shape"))
 
 
@@ -165,7 +165,7 @@ def _finger(segs: str) -> str:
 
 @query(f"SELECT item_id, {_finger(_SHAPES)} AS fingerprint FROM {T.ITEMS}")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return T.items(spark, d).select("item_id", U.fingerprint("url").alias("fingerprint"))
+    return T.once(T.items(spark, d).select("item_id", U.fingerprint("url").alias("fingerprint")))
 
 
 def _trie_sql(threshold: int, levels: int = 8) -> str:
@@ -180,7 +180,7 @@ l{i + 1} AS (SELECT item_id, url, l.h, l.s, CASE WHEN len(l.s) > {i} THEN list_a
 @query(_trie_sql(3))
 def filter_similar(spark: SparkSession, d: str) -> DataFrame:
     """First request of each shape of address, with paths levelled by the host's tree."""
-    r = T.items(spark, d).select("item_id", "url")
+    r = T.once(T.items(spark, d).select("item_id", "url"))
     shaped = r.select("item_id", U.host("url").alias("h"), F.transform(U.segments("url"), U.normalize_segment).alias("s"))
     t = dedup.trie_paths(shaped, "item_id", "h", "s", 3)
     x = r.join(t, "item_id").select("item_id", U.fingerprint("url", F.col("segments")).alias("fingerprint"))
@@ -189,12 +189,12 @@ def filter_similar(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH r AS (SELECT response_id, {_ROOT} AS root, {_SEGS} AS s FROM {T.RESPONSES}) SELECT response_id, i::INTEGER AS place, root || '/' || array_to_string(s[1:i], '/') || '/' AS folder FROM (SELECT *, unnest(generate_series(1, len(s) - 1)) AS i FROM r)")
 def path_climb(spark: SparkSession, d: str) -> DataFrame:
-    return T.responses(spark, d).select("response_id", F.posexplode(extract.climb("url")).alias("i", "folder")).select("response_id", (F.col("i") + 1).alias("place"), "folder")
+    return T.each(T.responses(spark, d), "response_id", extract.climb("url"), "i", "folder").select("response_id", (F.col("i") + 1).alias("place"), "folder")
 
 
 @query(f"SELECT response_id, unnest([{_ROOT} || '/robots.txt', {_ROOT} || '/sitemap.xml']) AS url FROM {T.RESPONSES}")
 def known_files(spark: SparkSession, d: str) -> DataFrame:
-    return T.responses(spark, d).select("response_id", F.explode(extract.known_files("url")).alias("url"))
+    return T.each(T.responses(spark, d), "response_id", extract.known_files("url"), "url")
 
 
 @query(
@@ -206,13 +206,13 @@ def url_join(spark: SparkSession, d: str) -> DataFrame:
     refs = {"absolute": "/a/b", "scheme_relative": "//other.test/x", "relative": "next.html?p=2", "fragment": "#top", "query_only": "?z=1", "dots": "/a/./b/../../up#x", "encoded": "https://X.test:443/über"}
     for k, v in refs.items():
         r = U.joined(r, k, "url", F.lit(v))
-    return r.select("response_id", *refs)
+    return T.once(r.select("response_id", *refs))
 
 
 @query(f"SELECT item_id, regexp_matches(lower(url), 'logout|log-out|signout|disconnect|abmelden') AS logout, regexp_matches(lower({_PATH}), 'jquery|angular|bootstrap|vue|react|lodash|moment|d3|three|socket\\.io|backbone|underscore|modernizr|polyfill') AS library, regexp_matches(lower({_PATH}), '(\\.js|\\.css|\\.json|\\.xml|\\.txt)$') AS static FROM {T.ITEMS}")
 def url_flags(spark: SparkSession, d: str) -> DataFrame:
     p = U.path("url")
-    return T.items(spark, d).select("item_id", U.is_logout("url").alias("logout"), U.is_js_library(p).alias("library"), U.is_static(p).alias("static"))
+    return T.once(T.items(spark, d).select("item_id", U.is_logout("url").alias("logout"), U.is_js_library(p).alias("library"), U.is_static(p).alias("static")))
 
 
 @query("SELECT c_custkey, date '1970-01-01' + (c_custkey * 3)::INTEGER AS day, CASE c_custkey % 5 WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 5400::DOUBLE WHEN 2 THEN 0.25::DOUBLE WHEN 3 THEN 1.5::DOUBLE ELSE NULL END AS seconds, CASE WHEN c_custkey % 2 = 0 THEN 'https://' || lower(c_name) ELSE 'http://' || lower(c_name) END AS url, 'ws://' || lower(c_name) || ':9222' AS ws FROM customer")
