@@ -12,31 +12,32 @@ from ..functions import urls as U
 from .analyze import BUILTIN
 
 
-def field_arrays(u: str | Column) -> dict[str, Column]:
-    """The 14 fields of an address in their order, each an array of its values."""
+def single_fields(u: str | Column) -> dict[str, Column]:
+    """The fields of an address that have one value, null where they have none."""
     u = U.col(u)
-    pairs, p, r = U.query_pairs(U.query(u)), U.path(u), U.root(u)
-    some = lambda c, when: F.when(when, F.array(c)).otherwise(F.array().cast("array<string>"))
-    file, folder = U.file_base(p), U.directory(p)
-    yes = F.lit(True)
+    q, p, r = U.query(u), U.path(u), U.root(u)
+    file, folder, pairs = U.file_base(p), U.directory(p), q.rlike("[^&]")
     return {
-        "url": some(u, yes),
-        "path": some(p, yes),
-        "fqdn": some(U.host(u), yes),
-        "rdn": some(U.registrable_domain(U.host(u)), yes),
-        "rurl": some(r, yes),
-        "qurl": some(u, F.size(pairs) > 0),
-        "qpath": some(U.sorted_query_path(u), F.size(pairs) > 0),
-        "file": some(file, file != ""),
-        "ufile": some(u, file != ""),
-        "key": F.transform(pairs, lambda x: x["k"]),
-        "value": F.transform(pairs, lambda x: x["v"]),
-        "kv": F.transform(pairs, lambda x: F.concat(x["k"], F.lit("="), x["v"])),
-        "dir": some(folder, folder != ""),
-        "udir": some(F.concat(r, folder), folder != ""),
+        "url": u,
+        "path": p,
+        "fqdn": U.host(u),
+        "rdn": U.registrable_domain(U.host(u)),
+        "rurl": r,
+        "qurl": F.when(pairs, u),
+        "qpath": F.when(pairs, U.sorted_query_path(u)),
+        "file": F.nullif(file, F.lit("")),
+        "ufile": F.when(file != "", u),
+        "dir": F.nullif(folder, F.lit("")),
+        "udir": F.when(folder != "", F.concat(r, folder)),
     }
 
 
+def many_fields(u: str | Column) -> dict[str, Column]:
+    """The fields of an address that have a value for each pair of its query."""
+    pairs = U.query_pairs(U.query(u))
+    return {"key": F.transform(pairs, lambda x: x["k"]), "value": F.transform(pairs, lambda x: x["v"]), "kv": F.transform(pairs, lambda x: F.concat(x["k"], F.lit("="), x["v"]))}
+
+
 def field_values(u: str | Column, names: list[str] | None = None) -> Column:
     """array<struct<field,value>> of the named fields (all by default) in their order; a field without value has no entry."""
 
@@ -44,7 +45,11 @@ def field_values(u: str | Column, names: list[str] | None = None) -> Column:
     def named(n: str):
         return lambda x: F.struct(F.lit(n).alias("field"), x.alias("value"))
 
-    entries = [F.transform(v, named(n)) for n, v in field_arrays(u).items() if names is None or n in names]
+    one, many = single_fields(u), many_fields(u)
+    entries = []
+    for n in BUILTIN:
+        if names is None or n in names:
+            entries.append(F.transform(many[n], named(n)) if n in many else F.filter(F.array(F.struct(F.lit(n).alias("field"), one[n].alias("value"))), lambda x: x["value"].isNotNull()))
     return F.when((U.scheme(u) != "") & (U.host(u) != ""), F.concat(*entries))
 
 
@@ -100,8 +105,7 @@ def template(text: str, u: str | Column, document: Column | None = None, custom:
     A name without value makes the row null; a path without value is empty.
     """
     cells: list[Column] = []
-    fields, at = field_arrays(u), 0
-    is_address = (U.scheme(u) != "") & (U.host(u) != "")
+    one, many, at, of_address = single_fields(u), many_fields(u), 0, False
     for m in re.finditer(r"\{\{\s*(\.?)([A-Za-z0-9_.-]+)\s*\}\}", text):
         cells.append(F.lit(text[at : m.start()]))
         at = m.end()
@@ -109,12 +113,14 @@ def template(text: str, u: str | Column, document: Column | None = None, custom:
         if dot:
             cells.append(F.coalesce(F.get_json_object(document, "$." + name), F.lit("")) if document is not None else F.lit(""))
         elif name in BUILTIN:
-            cells.append(F.when(is_address, F.try_element_at(fields[name], F.lit(-1))))
+            of_address = True
+            cells.append(one[name] if name in one else F.try_element_at(many[name], F.lit(-1)))
         else:
             found = F.try_element_at(custom, F.lit(name)) if custom is not None else F.lit(None).cast("array<string>")
             cells.append(F.array_join(found, ","))
     cells.append(F.lit(text[at:]))
-    return F.concat(*cells)
+    whole = F.concat(*cells)
+    return F.when((U.scheme(u) != "") & (U.host(u) != ""), whole) if of_address else whole
 
 
 def raw_request(method: str | Column, u: str | Column, body: str | Column, headers: str | Column | None = None) -> Column:
