@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_arrow, saved, site_of
+from .text import map_arrow, maybe_among, saved, site_of
 
 ARRAY, RUNS, BITS = 0, 1, 2
 _blanks = re.compile(r"[ \t]+")
@@ -159,7 +159,8 @@ def repeated_lines(pages: DataFrame, least: int = 5, share: float = 0.1) -> Data
     """(site, line, documents).  The text of a line is read again from one of its documents."""
     keys = repeated_keys(pages, least, share)
     wanted = keys.groupBy("first").agg(F.collect_set("lk").alias("lks"))  # at most the lines of one page each
-    src = pages.select(site_of("url").alias("site"), "page_id", "markdown_ir")
+    src = pages.select(site_of("url").alias("site"), F.col("page_id").cast("long").alias("page_id"), "markdown_ir")
+    src = maybe_among(src, "page_id", wanted.select(F.col("first").alias("id")))
     hits = src.join(wanted, src["page_id"] == wanted["first"]).where("site is not null").select("site", "markdown_ir", "lks")
 
     def rows(sites, texts, lks):
