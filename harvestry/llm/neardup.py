@@ -100,7 +100,9 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
     representatives, a < b, of at least the threshold."""
     sk = saved(sketches(docs, key, text, size, least_words))
     reps = sk.groupBy("same").agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select("same", "r.*")
-    members = sk.select("id", "same").distinct().join(reps.select("same", F.col("id").alias("rep")), "same").select("id", "rep")
+    # the least id again, without the sketches that go with it
+    light = sk.select("id", "same").distinct()
+    members = light.join(light.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
     bands = reps.select(F.explode("bands").alias("k"), F.col("id").alias("a"))
     met = bands.join(bands.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
     sig = sk.select("id", "sig").dropDuplicates(["id"])
