@@ -42,8 +42,7 @@ BLOCK = 128
 
 def key_of(url: Column) -> Column:
     """The url as a key: trimmed, without fragment, scheme and host in lower case, default port left out."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), "#.*$", "")
-    u = F.regexp_replace(u, r"(?s)#.*", "")
+    u = F.regexp_replace(url, r"(?s)^[\s\p{Z}]+|#.*|[\s\p{Z}]+$", "")
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     authority = F.regexp_extract(rest, r"^([^/?]*)", 1)
