@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions import urls as U
-from .operators import analyze, dsl, extract, filters, frontier, pages
+from .operators import analyze, dedup, dsl, extract, filters, frontier, pages
 from .plans.lineage import saved, where_once
 
 
@@ -53,6 +53,7 @@ class Options:
     headless: bool = False
     hybrid: bool = False
     strategy: str = "breadth-first"
+    content_dedup: bool = True
 
     def validate(self) -> Options:
         if self.max_depth <= 0 and self.duration_s <= 0:
@@ -89,13 +90,19 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
     seeds = spark.createDataFrame([(i, u) for i, u in enumerate(o.urls)], "ord long, url string").select(U.normalize(U.with_scheme(F.trim("url")), keep_fragment=False, keep_query=not o.ignore_query).alias("url"))
     if o.exclude:
         seeds = seeds.where(filters.not_excluded("url", o.exclude))
+    given = [c for c in ("body", "status_code", "headers") if c in corpus.columns]
     base = corpus.withColumn("_url", U.normalize("url", keep_fragment=False, keep_query=not o.ignore_query)).where("_url is not null")
-    base = base.groupBy("_url").agg(F.min(F.struct(F.col("url"), F.col("body"))).alias("r")).select(F.col("_url").alias("source"), "r.body")
-    facts = pages.page_facts(base, ["source"], parts=("links",), scripts=o.scrape_scripts)
-    links = pages.link_rows(facts, ["source"], "source")
+    # of several rows with one address the first by (address as written, body)
+    base = base.groupBy("_url").agg(F.min_by(F.struct(*given), F.struct("url", "body")).alias("r")).select(F.col("_url").alias("source"), "r.*")
+    follow = base.where(~F.coalesce(U.is_redirect("status_code"), F.lit(False))) if "status_code" in given else base
+    facts = pages.page_facts(follow, ["source"], parts=("links",), scripts=o.scrape_scripts)
+    links = pages.link_rows(facts, ["source"], "source").select("source", "ord", "url")
+    if "headers" in given:
+        found = extract.header_links(follow, "source", follow=not o.disable_redirects)
+        links = links.union(U.joined(found, "url", "source", "raw").select("source", F.lit(-1).alias("ord"), "url"))
     if o.ignore_query:
         links = links.withColumn("url", F.regexp_replace("url", r"\?.*$", ""))
-    links = where_once(links, F.col("url") != "").select("source", "ord", "url")
+    links = where_once(links, F.col("url") != "")
     if o.path_climb:
         up = links.select("source", F.col("ord") + 100_000, F.explode(extract.climb("url")))
         links = links.union(up)
@@ -114,7 +121,8 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
         if len(hosts) > 10_000:
             raise OptionError("over 10000 seed hosts")
         test = test & U.any_of([filters.in_scope(U.host("url"), F.lit(h), o.scope) for h in hosts])
-    got = frontier.crawl(seeds, links, o.max_depth, test)
+    content = base.select(F.col("source").alias("url"), dedup.content_key("body").alias("content")).where("body <> ''") if o.content_dedup else None
+    got = frontier.crawl(seeds, links, o.max_depth, test, content)
     out = got.visited.join(base.withColumnRenamed("source", "url"), "url")
     if o.max_domain_pages:
         out = filters.host_cap(out.withColumn("_host", U.host("url")), "_host", ["depth", "url"], o.max_domain_pages).drop("_host")

@@ -19,14 +19,31 @@ class Crawl:
     levels: int
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Column | None = None, max_rounds: int = 10_000) -> Crawl:
+def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Column | None = None, content: DataFrame | None = None, max_rounds: int = 10_000) -> Crawl:
     """Breadth first from seeds (url) over links (source, ord, url).
 
     A level is one join of the frontier with the links and one anti join with what was visited; each level is written to
     the checkpoint folder, so that a lost executor costs a level, not the crawl.  A page belongs to the first link to it:
-    least depth, then parent, then place on the page.  Uniqueness is consumed before `allowed` is asked.
+    least depth, then parent, then place on the page.  Uniqueness is consumed before `allowed` is asked.  With content
+    (url, content), a page whose content was met before is passed over, and so are its links.
     """
+    met = None
+
+    def fresh(new: DataFrame) -> DataFrame:
+        """Pages of a level whose content is new: the first address of each, none of content met on levels before."""
+        nonlocal met
+        with_key = new.join(content, "url", "left")
+        keyed = with_key.where("content is not null")
+        first = keyed.groupBy("content").agg(F.min("url").alias("url"))
+        if met is not None:
+            first = first.join(met, "content", "left_anti")
+        first = saved(first)
+        met = first.select("content") if met is None else met.union(first.select("content"))
+        return saved(with_key.where("content is null").drop("content").union(keyed.join(first.select("url"), "url", "left_semi").drop("content")))
+
     level = saved(seeds.select("url").where("url is not null").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
+    if content is not None:
+        level = fresh(level)
     visited, known, n = level, level.select("url"), 0
     edges = links.select(F.col("source").alias("parent"), "ord", F.col("url").alias("to")).where("`to` is not null and `to` <> ''")
     for n in range(1, max_rounds + 1):
@@ -39,6 +56,8 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Colum
             break
         known = known.union(new.select("url"))
         level = new.where(allowed) if allowed is not None else new
+        if content is not None:
+            level = fresh(level)
         visited = visited.union(level)
     return Crawl(visited, n)
 

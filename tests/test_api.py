@@ -34,7 +34,16 @@ def paths(df):
 
 def test_crawl(spark, site):
     got = paths(api.crawl(spark, site, api.Options(urls=["site.test"], max_depth=3)))
-    assert got == {"/", "/about", "/contact", "/page?a=1", "/page?a=2", "/a/b/c"}
+    assert got == {"/", "/about", "/contact", "/page?a=1", "/a/b/c"}
+    both = paths(api.crawl(spark, site, api.Options(urls=["site.test"], max_depth=3, content_dedup=False)))
+    assert both == got | {"/page?a=2"}
+
+
+def test_redirects_and_headers(spark):
+    rows = [("https://a.test/", 200, {"Link": "</h>; rel=x"}, "<a href=/r>r</a>"), ("https://a.test/r", 302, {"location": "/to"}, "<a href=/lost>x</a>"), ("https://a.test/h", 200, None, "h"), ("https://a.test/to", 200, None, "t"), ("https://a.test/lost", 200, None, "l")]
+    df = spark.createDataFrame(rows, "url string, status_code int, headers map<string,string>, body string")
+    got = {r.url.removeprefix("https://a.test") for r in api.crawl(spark, df, api.Options(urls=["a.test"])).collect()}
+    assert got == {"/", "/r", "/h"}
 
 
 def test_crawl_depth(spark, site):
@@ -48,7 +57,7 @@ def test_known_files_and_climb(spark, site):
 
 def test_caps_and_filters(spark, site):
     assert api.crawl(spark, site, api.Options(urls=["https://site.test/"], max_domain_pages=2)).count() == 2
-    assert paths(api.crawl(spark, site, api.Options(urls=["https://site.test/"], match_condition="contains(url, 'page')"))) == {"/page?a=1", "/page?a=2"}
+    assert paths(api.crawl(spark, site, api.Options(urls=["https://site.test/"], match_condition="contains(url, 'page')"))) == {"/page?a=1"}
 
 
 def test_options():
@@ -100,7 +109,7 @@ def test_stream_session(spark, tmp_path):
 def test_browser(spark, site, tmp_path):
     seen = []
     done = api.Browser.builder().start_url("https://site.test/").max_depth(2).exporter(lambda df: seen.append(df.count())).output_dir(str(tmp_path / "md")).build().run(spark, site).first()
-    assert done.pages_processed == seen[0] == 6
+    assert done.pages_processed == seen[0] == 5
     assert api.Browser.builder().start_url("site.test").max_pages(3).build().run(spark, site).first().pages_processed == 3
     with pytest.raises(api.OptionError):
         api.Browser.builder().build()
