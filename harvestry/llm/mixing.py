@@ -25,6 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .text import saved
 from .tokens import VOCABULARY, token_sizes
@@ -135,9 +136,9 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, fill:
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, documents, most_copies, tokens, actual_share) of a mix."""
     per = mix.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    whole = per.agg(F.sum("tokens").alias("whole"))  # one row
     t = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    out = t.join(per, "source", "left").join(whole, F.lit(True), "left")
+    # as many rows as sources
+    out = t.join(per, "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy()))
     return out.select(
         "source",
         "target_share",

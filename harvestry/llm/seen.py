@@ -238,8 +238,11 @@ def wrong_answers(items: DataFrame, tasks: DataFrame, fp_bits: int = 24, epochs:
         .agg(F.max("old").alias("old"), F.min("old").alias("task"))
         .agg(F.sum(F.when(F.col("task") == 0, 1).otherwise(0)).alias("task_keys"), F.sum(F.when(F.col("old") == 0, 1).otherwise(0)).alias("new_in_truth"))
     )
-    # Both sides are one row.
-    return truth.join(new, F.lit(True)).select(
+    # Both sides are one row each.
+    none = F.lit(None).cast("long")
+    both = truth.select("task_keys", "new_in_truth", none.alias("new_by_sets")).union(new.select(none, none, "new_by_sets"))
+    both = both.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("task_keys", "new_in_truth", "new_by_sets")])
+    return both.select(
         "task_keys",
         "new_in_truth",
         "new_by_sets",
