@@ -30,9 +30,9 @@ def _site(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("c_custkey")
     u = lambda x: F.concat(F.lit("https://site.test/p/"), x.cast("string"))
     t = T.read(spark, d, "customer")
-    last = t.agg(F.max("c_custkey").alias("m"))  # one row
-    e = t.join(F.broadcast(last), F.lit(True)).select(u(k).alias("source"), "m", F.posexplode(F.array(k * 2 + 1, k * 2 + 2, k, k * 2 + 1, F.lit(-1).cast("long"))).alias("ord", "to"))
-    e = e.where("`to` <= m").select("source", "ord", F.when(F.col("to") < 0, "https://other.test/").otherwise(u(F.col("to"))).alias("url"))
+    m = t.agg(F.max("c_custkey")).first()[0]
+    e = t.select(u(k).alias("source"), F.posexplode(F.array(k * 2 + 1, k * 2 + 2, k, k * 2 + 1, F.lit(-1).cast("long"))).alias("ord", "to"))
+    e = e.where(F.col("to") <= m).select("source", "ord", F.when(F.col("to") < 0, "https://other.test/").otherwise(u(F.col("to"))).alias("url"))
     return spark.createDataFrame([("https://site.test/p/0",)], "url string"), e
 
 

@@ -97,14 +97,13 @@ regexp_matches(h, '^(?:docs|shop)\\.') AS pattern, NOT regexp_matches(url, '/hel
 )
 def scopes(spark: SparkSession, d: str) -> DataFrame:
     r = T.once(T.items(spark, d).select("item_id", "url", U.host("url").alias("h")))
-    seed = r.agg(F.min_by("h", "item_id").alias("seed"))  # one row
-    x = r.join(F.broadcast(seed), F.lit(True))
-    return x.select(
+    seed = F.lit(r.agg(F.min_by("h", "item_id")).first()[0])  # the first item's host
+    return r.select(
         "item_id",
-        filters.in_scope("h", "seed", "rdn").alias("rdn"),
-        filters.in_scope("h", "seed", "dn").alias("dn"),
-        filters.in_scope("h", "seed", "fqdn").alias("fqdn"),
-        filters.in_scope("h", "seed", r"^(?:docs|shop)\.").alias("pattern"),
+        filters.in_scope("h", seed, "rdn").alias("rdn"),
+        filters.in_scope("h", seed, "dn").alias("dn"),
+        filters.in_scope("h", seed, "fqdn").alias("fqdn"),
+        filters.in_scope("h", seed, r"^(?:docs|shop)\.").alias("pattern"),
         filters.url_in_scope("url", ["id=", r"\.html$"], ["/help/"]).alias("address"),
     )
 
