@@ -195,9 +195,15 @@ def test_common_lines():
 def test_differencing(spark):
     top, foot = "Menu of the site", "Legal note of the site"
     rows = [(i, f"https://a.test/n/{i}", f"{top}\nown words {i}\nmore own {i}\nand own {i}\n{foot}") for i in range(300)]
+    assert [t for _, t, _ in markup._neighbours(iter([]))] == []
     df = spark.createDataFrame(rows, "page_id long, url string, markdown_ir string")
     got = {r.page_id: r.clean_text for r in markup.clean_pages(df).collect()}
     assert got == {i: f"own words {i}\nmore own {i}\nand own {i}" for i in range(300)}
+    # the cuts between tasks change nothing
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    assert got == {r.page_id: r.clean_text for r in markup.clean_pages(df.repartition(7)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", old)
     # a page without a neighbour keeps its lines
     assert markup.clean_pages(df.where("page_id = 7")).first().clean_text == rows[7][2]
 
