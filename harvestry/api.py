@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions import urls as U
-from .operators import analyze, dedup, dsl, extract, filters, frontier, pages
+from .operators import analyze, cycles, dedup, dsl, extract, filters, frontier, pages
 from .plans.lineage import saved, where_once
 
 
@@ -112,7 +112,7 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
         maps = extra.select("source", F.lit(0), F.explode(extract.sitemap_links("body")).alias("raw")).select("source", F.lit(0), U.join("source", "raw"))
         links = links.union(robots).union(maps).where("url <> ''")
         seeds = seeds.union(seeds.select(F.explode(extract.known_files("url"))))
-    links = saved(links)
+    links = saved(cycles.without_cycles(saved(links)))
     roots = seeds.select(U.host("url").alias("h")).distinct()
     test = filters.extension_allowed(U.path("url"), o.extension_match, o.extension_filter) & filters.url_in_scope("url", o.in_scope, o.out_scope)
     if not o.no_scope and o.scope in ("rdn", "fqdn", "dn"):

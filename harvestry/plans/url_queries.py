@@ -229,3 +229,14 @@ def timestamps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(url_encode(p_name || ' / é-_.~*'), '-', '%2D', 'g'), '_', '%5F', 'g'), '\\.', '%2E', 'g').replace('~', '%7E').replace('*', '%2A') AS encoded FROM part")
 def encode_component(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "part").select("p_partkey", U.encode_component(F.concat("p_name", F.lit(" / é-_.~*"))).alias("encoded"))
+
+
+@query(f"SELECT item_id, url FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN url || '/' || repeat('step-' || lpad((item_id % 100)::VARCHAR, 6, '0') || '/', 12) ELSE url || repeat('ab/', 15) END AS url, item_id % 3 = 0 AS long FROM (SELECT DISTINCT ON (item_id) item_id, url FROM {T.ITEMS})) WHERE NOT long")
+def cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses with an endless path behind them; those that repeat a long unit go."""
+    from ..operators import cycles as C
+
+    k = F.col("item_id")
+    long = F.concat(F.col("url"), F.lit("/"), F.repeat(F.concat(F.lit("step-"), F.lpad((k % 100).cast("string"), 6, "0"), F.lit("/")), 12))
+    x = T.items(spark, d).select("item_id", F.when(k % 3 == 0, long).otherwise(F.concat("url", F.repeat(F.lit("ab/"), 15))).alias("url"))
+    return C.without_cycles(T.once(x))

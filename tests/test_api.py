@@ -39,6 +39,12 @@ def test_crawl(spark, site):
     assert both == got | {"/page?a=2"}
 
 
+def test_cycles_are_not_followed(spark):
+    trap = "https://a.test/" + "abcdefghij/" * 12
+    df = spark.createDataFrame([("https://a.test/", f'<a href="{trap}">x</a><a href=/y>y</a>'), (trap, "t"), ("https://a.test/y", "y")], "url string, body string")
+    assert {r.url for r in api.crawl(spark, df, api.Options(urls=["a.test"])).collect()} == {"https://a.test/", "https://a.test/y"}
+
+
 def test_redirects_and_headers(spark):
     rows = [("https://a.test/", 200, {"Link": "</h>; rel=x"}, "<a href=/r>r</a>"), ("https://a.test/r", 302, {"location": "/to"}, "<a href=/lost>x</a>"), ("https://a.test/h", 200, None, "h"), ("https://a.test/to", 200, None, "t"), ("https://a.test/lost", 200, None, "l")]
     df = spark.createDataFrame(rows, "url string, status_code int, headers map<string,string>, body string")

@@ -233,3 +233,36 @@ def test_exclusions(spark):
 def test_field_lines(spark):
     assert value(spark, output.field_lines("t", ["fqdn", "key"], verbose=True), "https://a.x.test/?q=1&r=2") == "[fqdn] a.x.test\n[key] q\n[key] r"
     assert value(spark, output.field_lines("t", ["file"]), "https://a.x.test/") == ""
+
+
+@pytest.mark.parametrize("text,unit,times", [("abcabcabcabc", "abc", 4), ("abcdef", None, 0), ("aaaa", "a", 4), ("", None, 0), ("xyxyzzz", "z", 3), ("ababxcdcd", "ab", 2)])
+def test_repetition(text, unit, times):
+    from harvestry.operators import cycles
+
+    assert cycles.best_repetition(text) == ((unit, times) if unit else None)
+
+
+def test_repetition_against_scan():
+    from harvestry.operators import cycles
+
+    rng = random.Random(1)
+    for _ in range(300):
+        s = "".join(rng.choice("ab/") for _ in range(rng.randrange(14)))
+        want = None
+        for size in range(1, len(s) // 2 + 1):
+            for at in range(len(s) - 2 * size + 1):
+                n = 1
+                while s[at + n * size : at + (n + 1) * size] == s[at : at + size]:
+                    n += 1
+                if n > 1 and (want is None or n > want[1] or n == want[1] and size > len(want[0])):
+                    want = (s[at : at + size], n)
+        assert cycles.best_repetition(s) == want, s
+
+
+def test_cycles(spark):
+    from harvestry.operators import cycles
+
+    base = "https://example.com/"
+    rows = [(base + "page",), (base + "abcdefghij/" * 12,), (base + "ab/" * 15,), (None,), (base + "a" * 2_097_200,), (base + "abcdefghij/" * 9,), (base + "abcdefghij/" * 11 + "x" * 30,)]
+    got = [r.url for r in cycles.without_cycles(spark.createDataFrame(rows, "url string")).collect()]
+    assert sorted(x or "" for x in got) == sorted(["", rows[0][0], rows[2][0], rows[5][0], rows[6][0]])
