@@ -266,3 +266,19 @@ def test_cycles(spark):
     rows = [(base + "page",), (base + "abcdefghij/" * 12,), (base + "ab/" * 15,), (None,), (base + "a" * 2_097_200,), (base + "abcdefghij/" * 9,), (base + "abcdefghij/" * 11 + "x" * 30,)]
     got = [r.url for r in cycles.without_cycles(spark.createDataFrame(rows, "url string")).collect()]
     assert sorted(x or "" for x in got) == sorted(["", rows[0][0], rows[2][0], rows[5][0], rows[6][0]])
+
+
+def test_simhash_against_votes(spark):
+    rng = random.Random(2)
+    lists = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (0, 4, 5, 6, 40, 200)]
+    for words in lists:
+        votes = [0] * 64
+        for i in range(len(words) - 2):
+            h = dedup._fnv(" ".join(words[i : i + 3]).encode())
+            for b in range(64):
+                votes[b] += 1 if h >> b & 1 else -1
+        want = sum(1 << b for b in range(64) if votes[b] > 0) if len(words) >= 5 else 0
+        assert dedup.simhash_of(words) == (want - (1 << 64) if want >= 1 << 63 else want)
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)] + [(99, None)], "id int, w array<string>")
+    got = {r.id: r.h for r in df.select("id", dedup.simhash("w").alias("h")).collect()}
+    assert got == {**{i: dedup.simhash_of(w) for i, w in enumerate(lists)}, 99: 0}
