@@ -70,6 +70,27 @@ def ipv4_number(host: Column) -> Column:
     return F.when(host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), n)
 
 
+def ipv6_digits(host: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 literal (brackets or not); null for anything else."""
+    h = F.regexp_replace(F.lower(host), r"^\[|\]$", "")
+    part = lambda c: F.filter(F.split(c, ":"), lambda x: x != "")
+    left, right = part(F.substring_index(h, "::", 1)), F.when(h.contains("::"), part(F.regexp_replace(h, r"^.*?::", ""))).otherwise(F.array().cast("array<string>"))
+    gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+    groups = F.transform(F.concat(left, F.array_repeat(F.lit("0"), gap), right), lambda x: F.lpad(x, 4, "0"))
+    return F.when(h.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & (F.size(groups) == 8), F.array_join(groups, ""))
+
+
+def in_ipv6(host: Column, net: ipaddress.IPv6Network) -> Column:
+    """Whether the host is an IPv6 literal of the range: whole digits by prefix, the digit the range ends in by its values."""
+    digits, whole, rest = ipv6_digits(host), net.prefixlen // 4, net.prefixlen % 4
+    text = f"{int(net.network_address):032x}"
+    test = digits.startswith(text[:whole]) if whole else digits.isNotNull()
+    if rest:
+        low = int(text[whole], 16)
+        test = test & F.substring(digits, whole + 1, 1).isin([f"{low + i:x}" for i in range(1 << (4 - rest))])
+    return F.coalesce(test, F.lit(False))
+
+
 def not_excluded(url: str | Column, entries: Iterable[str]) -> Column:
     """Deny list of inputs: ranges, addresses, ports, patterns, "private-ips"; "cdn" does nothing."""
     import re
@@ -102,10 +123,7 @@ def not_excluded(url: str | Column, entries: Iterable[str]) -> Column:
     n = ipv4_number(h)
     tests = [u.rlike(p) for p in patterns]
     tests += [F.coalesce(n.between(int(x.network_address), int(x.broadcast_address)), F.lit(False)) for x in ranges]
-    # IPv6 literals: prefixes that end on a group are compared as text of the expanded address
-    tests += [F.regexp_replace(h, r"^\[|\]$", "") == str(x.network_address) for x in six if x.prefixlen == 128]
-    tests += [F.regexp_replace(h, r"^\[", "").rlike(r"^f[cd][0-9a-f]{2}:") for x in six if str(x) == "fc00::/7"]
-    tests += [F.regexp_replace(h, r"^\[", "").rlike(r"^fe[89ab][0-9a-f]:") for x in six if str(x) == "fe80::/10"]
+    tests += [in_ipv6(h, x) for x in six]
     explicit = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1)
     tests += [explicit == p for p in ports]
     tests += [h == x for x in hosts]

@@ -282,3 +282,14 @@ def test_simhash_against_votes(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)] + [(99, None)], "id int, w array<string>")
     got = {r.id: r.h for r in df.select("id", dedup.simhash("w").alias("h")).collect()}
     assert got == {**{i: dedup.simhash_of(w) for i, w in enumerate(lists)}, 99: 0}
+
+
+@pytest.mark.parametrize("net", ["fe80::/10", "fc00::/7", "::1/128", "2001:db8::/32", "::/0", "2001:db8:ff00::/41"])
+def test_ipv6_ranges(spark, net):
+    import ipaddress
+
+    n = ipaddress.ip_network(net)
+    hosts = ["::1", "fe80::1", "febf::a", "fec0::1", "fd12:3456::1", "2001:db8::1", "2001:db9::1", "2001:db8:ff7f::2", "2001:db8:ff80::2", "1:2:3:4:5:6:7:8", "::"]
+    df = spark.createDataFrame([(f"[{h}]",) for h in hosts] + [("x.test",), ("10.0.0.1",)], "h string")
+    got = [r[0] for r in df.select(filters.in_ipv6(F.col("h"), n)).collect()]
+    assert got == [ipaddress.ip_address(h) in n for h in hosts] + [False, False]
