@@ -208,6 +208,21 @@ def test_differencing(spark):
     assert markup.clean_pages(df.where("page_id = 7")).first().clean_text == rows[7][2]
 
 
+def test_differencing_keeps_own_content():
+    """Fences, headings, delimiters and paragraphs that two pages share stay; their furniture goes."""
+    same = ["## What happened next", "```", "<b>shared</b>", "```", "$$", "x^2 + y", "$$", "The ferry did not leave the harbour before noon because of the storm.", "<!--", "Menu", "-->"]
+    pages = ["\n".join(["[Home](/) | Search", *(f"Own sentence {k} of page {i}." for k in range(9)), *same, "Back to top"]) for i in range(2)]
+    kept = [pages[0].split("\n")[j] for j in markup.own_lines(*pages)]
+    assert [x for x in kept if not x.startswith("Own")] == same
+    # the mask of the whole text: no code shows as markup, no formula is cut
+    u = markup._uncoded(pages[0])
+    assert len(u.split("\n")) == len(pages[0].split("\n"))
+    assert markup._kinds("\n".join(u.split("\n")[j] for j in markup.own_lines(*pages, u))) == ["html", "latex"]
+    code = ["\n".join([*(f"Own {k} of {i}." for k in range(5)), "```", f"<b>{i}</b>", "```"]) for i in range(2)]
+    u = markup._uncoded(code[0])
+    assert markup._kinds("\n".join(u.split("\n")[j] for j in markup.own_lines(*code, u))) == []
+
+
 # 6
 def test_pairs_against_all_pairs(spark):
     rng = random.Random(9)
