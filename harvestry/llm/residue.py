@@ -2,8 +2,9 @@
 
 Method: a page's address slug, title and body terms are compared; a body that
 says little, is made of error, filler or notice terms and does not answer to its
-address, is a suspect; the evidence of its host and of others (the same
-low-information body under several addresses) decides the doubtful ones.
+address, is a suspect; the evidence of all hosts (the same low-information body
+under several addresses it does not answer to) decides the doubtful ones, and
+those whose wording no list has.
 Placeholder detectors work on the title and on the text outside code.
 
 Defined cases: null title or url counts as empty; an empty or null body is no
@@ -54,6 +55,9 @@ ERROR = re.compile(
     re.I,
 )
 _server = re.compile(r"[\w.-]+/\d[\d.]*|[\w ]*\d{3}[\w ]*")
+# Shapes of stack frames.
+_frame = re.compile(r"(?:#\d+ |at [\w.$<>]+\(|File \"[^\"]+\", line \d+|in /\S+ on line \d+|(?:[\w-]*/)+[\w.-]+[:(]\d+\)?)")
+_sentence = re.compile(r"(?<=[.!?。！？])\s*")
 _w = re.compile(r"[^\W_]+")
 _digits = re.compile(r"\d+")
 
@@ -86,16 +90,26 @@ def filler(line: str) -> bool:
     return bool(SAMPLE.search(line)) or len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
 
 
+def _terms(url: str | None, title: str | None) -> tuple[set[str], set[str]]:
+    slug = {w for w in _w.findall((url or "").rstrip("/").rpartition("/")[2].lower()) if len(w) > 4 and not w.isdigit()}
+    return slug, {w for w in _w.findall((title or "").lower()) if len(w) > 4 and not w.isdigit()}
+
+
 def terms_met(url: str | None, title: str | None, text: str) -> tuple[int, int]:
     """How many terms of the address slug, and of the title, the body takes up."""
     body = set(_w.findall(text.lower()))
-    slug = {w for w in _w.findall((url or "").rstrip("/").rpartition("/")[2].lower()) if len(w) > 4 and not w.isdigit()}
-    name = {w for w in _w.findall((title or "").lower()) if len(w) > 4 and not w.isdigit()}
+    slug, name = _terms(url, title)
     return len(slug & body), len(name & body)
 
 
+def said(rest: list[str]) -> float:
+    """Share of the text that its error sentences, notices and stack frames have."""
+    parts = [y for x in rest for y in ([x] if is_notice(x) or _frame.match(x) else _sentence.split(x))]
+    return sum(len(y) for y in parts if ERROR.search(y) or _frame.match(y) or is_notice(y)) / max(1, sum(map(len, parts)))
+
+
 def speaks(markdown: str) -> bool:
-    """Whether lines that are own content whatever stands around them come to over 420 characters and are not all filler.
+    """Whether lines that are own content whatever stands around them come to over 420 characters and are not all filler or errors.
 
     Such a page cannot be a case by its body, so that most pages are done without the second pass over their blocks.
     """
@@ -103,7 +117,7 @@ def speaks(markdown: str) -> bool:
     for x in markdown.split("\n"):
         if len(x) > 60 and line_class(x) == GOOD:
             size += len(BLANKS.sub(" ", x).strip())
-            real = real or not filler(x)
+            real = real or not (filler(x) or (ERROR.search(x) or _frame.match(x)) and said([x]) >= 0.8)
             if real and size > 420:
                 return True
     return False
@@ -128,6 +142,9 @@ def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int
     if all(is_notice(x) for x in rest):
         return 2, key, "notice"
     if len(rest) > 6 or len(text) > 420:
+        # a longer message: nearly all of it says so; doubtful if it takes up something of its address and title
+        if any(ERROR.search(x) for x in rest) and said(rest) >= 0.8:
+            return (1 if any(terms_met(url, title, text)) else 2), key, "error"
         return 0, "", ""
     error = [bool(ERROR.search(x)) or is_notice(x) for x in rest]
     if all(error) or any(error) and all(e or _server.fullmatch(x) for e, x in zip(error, rest)):
@@ -141,46 +158,62 @@ def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int
     return 0, key if len(text) < 160 else "", ""
 
 
-def template_residue(pages: DataFrame) -> DataFrame:
-    """page_id of every page that shows residue instead of content.
+def _suspects(pages: DataFrame) -> DataFrame:
+    """Pages with a verdict or a low-information body, as a 64-bit hash: written once, since they are used twice.
 
-    A doubtful page (verdict 1) is a case if the same levelled body stands on two
-    or more pages.  Only doubtful and case bodies meet in a shuffle, as 64-bit
-    hashes, and they are counted with a partial aggregate first.
+    name is the page's slug and title; off tells that they have terms and the body takes up none.
     """
 
-    def rows(ids, urls, titles, texts):
-        for i, u, t, x in zip(ids, urls, titles, texts):
+    def rows(ids, urls, titles, texts, sites):
+        for i, u, t, x, s in zip(ids, urls, titles, texts, sites):
             if i is not None:
-                v, key, _ = judge(u, t, x)
-                if v:
-                    yield i, v, key
+                v, key, why = judge(u, t, x)
+                if v or key:
+                    slug, name = terms_met(u, t, key)
+                    off = bool(key) and not slug and not name and any(_terms(u, t))
+                    yield i, s, why, v, slug, name, key, f"{(u or '').rstrip('/').rpartition('/')[2]} {t or ''}", off
+
+    src = pages.select("page_id", "url", "title", "markdown_ir", site_of("url").alias("site"))
+    found = map_arrow(src, rows, "page_id long, site string, reason string, verdict int, slug_terms int, title_terms int, body string, name string, off boolean")
+    return saved(found.withColumn("body", F.when(F.col("body") != "", F.xxhash64("body"))).withColumn("name", F.xxhash64("name")).distinct())
+
 
-    found = map_arrow(pages.select("page_id", "url", "title", "markdown_ir"), rows, "page_id long, verdict int, body string")
-    # Written once and used twice: the pages are judged in one pass.
-    found = saved(found.select("page_id", "verdict", F.xxhash64("body").alias("body")).distinct())
-    shared = found.groupBy("body").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("body").alias("b"))
-    both = found.join(shared, F.col("body") == F.col("b"), "left")
-    return both.where("verdict = 2 or b is not null").select("page_id").distinct()
+def _standing(found: DataFrame) -> DataFrame:
+    """(body, pages, hosts, names, strays): where a body stands; names are different slugs and titles, strays those it does not answer to.
+
+    Counted per (body, site, name) first, so that a body on most pages of a host is spread over its names.
+    """
+    part = found.where("body is not null").groupBy("body", "site", "name").agg(F.countDistinct("page_id").alias("n"), F.min("off").alias("off"))
+    return part.groupBy("body").agg(F.sum("n").alias("pages"), F.countDistinct("site").alias("hosts"), F.countDistinct("name").alias("names"), F.countDistinct(F.when(F.col("off"), F.col("name"))).alias("strays"))
+
+
+#: A body of no listed wording is a host's message if it stands under so many names it does not answer to; each further host is worth a name.
+_message = "names + hosts >= 6 and strays >= 3 and strays >= 0.9 * names"
+
+
+def template_residue(pages: DataFrame) -> DataFrame:
+    """page_id of every page that shows residue instead of content.
+
+    A doubtful page (verdict 1) is a case if the same levelled body stands on two
+    or more pages; a page with any other low-information body (verdict 0) if that
+    body stands, over all hosts, under many slugs and titles and answers to hardly
+    any.  Only suspects and low-information bodies meet in a shuffle, as hashes,
+    and they are counted with a partial aggregate first.
+    """
+    found = _suspects(pages)
+    both = found.select("page_id", "verdict", "body").join(_standing(found), "body", "left")
+    return both.where(f"verdict = 2 or verdict = 1 and pages >= 2 or {_message}").select("page_id").distinct()
 
 
 def evidence(pages: DataFrame) -> DataFrame:
     """(page_id, reason, verdict, slug_terms, title_terms, same_body_pages, same_body_hosts): what speaks against each suspect.
 
     slug_terms and title_terms: how many of them the body takes up; same_body_*: on how many pages and hosts the same
-    levelled body stands (0 for placeholders and filler, whose bodies differ).
+    levelled body stands (0 for placeholders and filler, whose bodies differ).  A page that only where its body stands
+    speaks against has the verdict 0 and the reason "message".
     """
-
-    def rows(ids, urls, titles, texts, sites):
-        for i, u, t, x, s in zip(ids, urls, titles, texts, sites):
-            if i is not None:
-                v, key, why = judge(u, t, x)
-                if v:
-                    yield (i, s, why, v, *terms_met(u, t, key), key)
-
-    src = pages.select("page_id", "url", "title", "markdown_ir", site_of("url").alias("site"))
-    found = map_arrow(src, rows, "page_id long, site string, reason string, verdict int, slug_terms int, title_terms int, body string")
-    found = saved(found.withColumn("body", F.when(F.col("body") != "", F.xxhash64("body"))).distinct())
-    same = found.where("body is not null").groupBy("body").agg(F.countDistinct("page_id").alias("same_body_pages"), F.countDistinct("site").alias("same_body_hosts"))
-    out = found.join(same, "body", "left").select("page_id", "reason", "verdict", "slug_terms", "title_terms", F.coalesce("same_body_pages", F.lit(0)).alias("same_body_pages"), F.coalesce("same_body_hosts", F.lit(0)).alias("same_body_hosts"))
+    found = _suspects(pages)
+    both = found.join(_standing(found), "body", "left").where(f"verdict > 0 or {_message}")
+    reason = F.when(F.col("verdict") == 0, F.lit("message")).otherwise(F.col("reason")).alias("reason")
+    out = both.select("page_id", reason, "verdict", "slug_terms", "title_terms", F.coalesce("pages", F.lit(0)).alias("same_body_pages"), F.coalesce("hosts", F.lit(0)).alias("same_body_hosts"))
     return out.distinct()

@@ -88,6 +88,27 @@ def test_shared_doubtful_body(spark):
 
 
 # 2
+def test_host_evidence(spark):
+    """A short body of no listed wording is a case under many addresses it does not answer to, on one host or several."""
+    odd = "The hamsters are on strike today."
+    one = [(i, f"https://a.test/{w}", w.title(), odd) for i, w in enumerate(["ferries", "harbour", "weather", "archive-list", "lantern"])]
+    many = [(10 + i, f"https://{h}.test/{w}", w.title(), "Nobody is minding the shop.") for i, (h, w) in enumerate(zip("bcd", ["bridges", "markets", "gardens"]))]
+    mirror = [(20 + i, f"https://m{i}.test/tunnels", "Tunnels", "Short but real text.") for i in range(8)]
+    answers = [(30 + i, f"https://e.test/{w}", w.title(), "All about ferries, harbour, weather, lantern and gardens.") for i, w in enumerate(["ferries", "harbour", "weather", "lantern", "gardens"])]
+    few = [(40 + i, f"https://f.test/{w}", w.title(), "Rarely seen twice.") for i, w in enumerate(["ferries", "harbour"])]
+    df = spark.createDataFrame(one + many + mirror + answers + few, "page_id long, url string, title string, markdown_ir string")
+    assert ids(residue.template_residue(df)) == [0, 1, 2, 3, 4, 10, 11, 12]
+    got = {r.page_id: (r.reason, r.same_body_pages, r.same_body_hosts) for r in residue.evidence(df).collect()}
+    assert got == {i: ("message", 5, 1) for i in range(5)} | {i: ("message", 3, 3) for i in (10, 11, 12)}
+
+
+def test_long_error():
+    trace = "Fatal error: Uncaught RuntimeException: database connection failed while loading the page.\n" + "\n".join(f"#{i} /var/www/site/lib/loader/module_{i}.php({i}7): Loader->open()" for i in range(9))
+    assert residue.judge("https://a.test/harbour", "Harbour", trace)[0] == 2
+    story = "The keeper saw the words page not found on the board and walked on along the quay to the house. Then it rained for days and the ferry stayed where it was, and nobody came to look for it. " * 3
+    assert residue.judge("https://a.test/harbour", "Harbour", story)[0] == 0
+
+
 def test_stuffing():
     assert stuffing.stuffed("u", "t", "# x\n" + "cheap boots / buy boots / boots sale / lamp deals / review lamp / " * 8)
     assert stuffing.stuffed("u", "t", "\n".join(f"* bicycle Model{i}" for i in range(20)))
