@@ -224,8 +224,8 @@ class Browser:
         return frontier.ir_summary(done)
 
 
-def site_map(spark: SparkSession, corpus: DataFrame, urls: list[str], max_depth: int = 2, max_pages: int = 1000) -> DataFrame:
-    """(seed, url, parent_url, depth, dfs_order) over the same-host links of a corpus (url, body)."""
+def site_map(spark: SparkSession, corpus: DataFrame, urls: list[str], max_depth: int = 2, max_pages: int = 0) -> DataFrame:
+    """(seed, url, parent_url, depth, dfs_order) over the same-host links of a corpus (url, body); max_pages a seed, 0 for all."""
     base = corpus.select(U.normalize("url", keep_fragment=False).alias("source"), "body").where("source is not null").groupBy("source").agg(F.min("body").alias("body"))
     facts = pages.page_facts(base, ["source"], parts=("links",))
     links = pages.page_links(facts, ["source"], "source")

@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-d", "--depth", type=int, default=3)
         c.add_argument("--config", help='file of "flag: value" lines')
         c.add_argument("-o", "--output", help="folder for the lines")
+        if name == "map":
+            c.add_argument("--max-pages", type=int, default=0, help="pages a seed; 0 is no limit")
         if name == "crawl":
             c.add_argument("--scope", default="rdn")
             c.add_argument("--no-scope", action="store_true")
@@ -69,8 +71,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "map":
         from .sources.sinks import nested_tree
 
-        tree = api.site_map(spark, pages, [x for u in a.url for x in u.split(",")], a.depth)
-        print(nested_tree([r.asDict() for r in tree.collect()]))  # at most max_pages a seed
+        tree = api.site_map(spark, pages, [x for u in a.url for x in u.split(",")], a.depth, a.max_pages)
+        print(nested_tree([r.asDict() for r in tree.collect()]))  # the map is one text, whole in memory
         return 0
     rows = api.crawl(spark, pages, options(a))
     if a.template:

@@ -87,12 +87,12 @@ def priority_order(items: DataFrame, strategy: str = "breadth-first") -> list[Co
     return [F.col("depth"), F.col("ord")] if strategy == "breadth-first" else [F.col("ord").desc()]
 
 
-def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int = 1000, fetched: DataFrame | None = None) -> DataFrame:
+def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int = 0, fetched: DataFrame | None = None) -> DataFrame:
     """(seed, url, parent_url, depth, dfs_order): depth-first site maps, one a seed.
 
     Depth first is sequential in one seed's pages, and a deep path can claim a page before a short one does; so each
     seed's part of the graph (the pages within max_depth of it) goes to one task, and seeds run side by side.  max_pages
-    bounds what a task does: attempts count, as does a page that could not be fetched.
+    bounds the attempts of a seed, pages that could not be fetched among them; 0 is no limit.
     """
     reach = saved(seeds.select(F.col("url").alias("seed"), "url").distinct())
     edges = links.select(F.col("source"), "ord", F.col("url").alias("target")).where("target is not null and target <> ''")
@@ -127,7 +127,7 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
         todo = [(seed, None, 0)]
         while todo:
             url, parent, depth = todo.pop()
-            if url in visited or attempts >= max_pages:
+            if url in visited or 0 < max_pages <= attempts:
                 continue
             visited.add(url)
             attempts += 1

@@ -126,6 +126,18 @@ def test_site_map(spark, site):
     assert rows["/contact"].endswith("/about") and rows["/"] is None and "/logo.png" not in rows
 
 
+def test_site_map_of_many_pages(spark, tmp_path, capsys):
+    from harvestry import cli
+
+    pages = [("https://big.test/", "".join(f'<a href="/p/{i}">{i}</a>' for i in range(1200)))] + [(f"https://big.test/p/{i}", "page") for i in range(1200)]
+    df = spark.createDataFrame(pages, "url string, body string")
+    assert api.site_map(spark, df, ["big.test"], 1).count() == 1201
+    df.write.parquet(str(tmp_path / "big"))
+    for more, n in (([], 1201), (["--max-pages", "7"], 7)):
+        cli.main(["map", "--corpus", str(tmp_path / "big"), "-u", "https://big.test/", "-d", "1", *more], spark)
+        assert capsys.readouterr().out.count('"children"') == n
+
+
 def test_command_line(spark, site, tmp_path, capsys):
     from harvestry import cli
 
