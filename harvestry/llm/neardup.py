@@ -150,14 +150,14 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.union(within).select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b), root the least id of its component: alternating large-star and small-star.
 
     Each round is written to the checkpoint folder; it ends when a round changes no edge.
     """
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -96,24 +96,59 @@ def close_hashes(df: DataFrame, key: str, value: str, distance: int = 3) -> Data
     return a.join(b, "band").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance)).select("a", "b", hamming("va", "vb").alias("distance")).distinct()
 
 
-def first_come(ids: DataFrame, key: str, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+#: So many open pairs are settled by one task, in their order; more are thinned by rounds first.
+ONE_TASK = 100_000
+
+
+def _settle(frames):
+    """(n) of the rows dropped among all pairs (a, b) of one task: each row after all its earlier neighbours."""
+    pairs = pd.concat([*frames, pd.DataFrame({"a": [], "b": []}, dtype=object)])
+    later: dict = {}
+    waits: dict = {}
+    for a, b in zip(pairs["a"], pairs["b"]):
+        later.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+    todo = [a for a in later if a not in waits]
+    dropped: set = set()
+    done = 0
+    while todo:
+        x = todo.pop()
+        for y in later.get(x, ()):
+            done += 1
+            if x not in dropped:
+                dropped.add(y)
+            waits[y] -= 1
+            if not waits[y]:
+                todo.append(y)
+    if done < len(pairs):
+        raise ValueError("pairs go in a circle")
+    yield pd.DataFrame({"n": list(dropped)}, dtype=pairs["b"].dtype if len(dropped) else object)
+
+
+def first_come(ids: DataFrame, key: str, pairs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(key) of the representatives a first-come filter keeps: a row is kept if no kept earlier row is its neighbour.
 
-    Rounds instead of a scan: a row is kept when all its earlier neighbours are dropped, dropped when one is kept.  pairs:
-    (a, b), a the earlier.  The number of rounds is the longest chain of neighbours, not of rows.
+    Rounds instead of a scan: a round keeps the rows with no earlier neighbour left and drops their neighbours, until no
+    pair is open; it settles at least the earliest open row.  The number of rounds is the longest chain of neighbours, not
+    of rows, so what is open is settled in order by one task as soon as it is no more than one_task pairs.  pairs: (a, b),
+    a the earlier; pairs that go in a circle are an error.
     """
-    p = saved(pairs.select("a", "b").distinct())
-    nodes = p.select(F.col("a").alias("n")).union(p.select(F.col("b").alias("n"))).distinct()
-    state = saved(nodes.join(p.select(F.col("b").alias("n")).distinct(), "n", "left_semi").select("n", F.lit(None).cast("boolean").alias("kept")).union(nodes.join(p.select(F.col("b").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("kept"))))
-    for _ in range(rounds):
-        seen = p.join(state.select(F.col("n").alias("a"), "kept"), "a").groupBy("b").agg(F.max(F.col("kept") == True).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))  # noqa: E712
-        seen = seen.select(F.col("b").alias("n"), F.coalesce("hit", F.lit(False)).alias("hit"), "open")
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), F.lit(False)).when(~F.col("open"), F.lit(True))
-        state = saved(state.join(seen, "n", "left").select("n", new.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    dropped = state.where("not kept").select(F.col("n").alias(key))
-    return ids.select(key).distinct().join(dropped, key, "left_anti")
+    p = saved(pairs.select("a", "b").where("a <> b").distinct())
+    kind = p.schema["b"].dataType.simpleString()
+    dropped, rounds, left = p.select(F.col("b").alias("n")).limit(0), 0, p.count()
+    while left > one_task:
+        first = p.select("a").distinct().join(p.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = saved(p.join(first, "a", "left_semi").select(F.col("b").alias("n")).distinct())
+        p = saved(p.join(gone.select(F.col("n").alias("a")), "a", "left_anti").join(gone.select(F.col("n").alias("b")), "b", "left_anti").select("a", "b"))
+        before, left, rounds = left, p.count(), rounds + 1
+        if left == before:
+            raise ValueError("pairs go in a circle")
+        dropped = dropped.union(gone)
+        if rounds % 20 == 0:
+            dropped = saved(dropped)
+    if left:
+        dropped = dropped.union(saved(p.repartition(1).mapInPandas(_settle, f"n {kind}")))
+    return ids.select(key).distinct().join(dropped.select(F.col("n").alias(key)), key, "left_anti")
 
 
 def simhash_filter(df: DataFrame, key: str, value: str, distance: int = 3) -> DataFrame:

@@ -116,6 +116,33 @@ def _words(rng, n):
     return [f"w{rng.randrange(400)}" for _ in range(n)]
 
 
+def test_first_come_of_a_long_chain(spark):
+    """Each version is like the one before only: every other one is kept, however many there are."""
+    n = 450
+    for kind, of in (("long", int), ("string", lambda i: f"{i:04d}")):
+        rows = spark.createDataFrame([(of(i),) for i in range(n)], f"id {kind}")
+        pairs = spark.createDataFrame([(of(i), of(i + 1)) for i in range(n - 1)], f"a {kind}, b {kind}")
+        assert sorted(r.id for r in dedup.first_come(rows, "id", pairs).collect()) == [of(i) for i in range(0, n, 2)]
+
+
+@pytest.mark.parametrize("one_task", [0, 25, 1000])
+def test_first_come_against_scan(spark, one_task):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})
+    kept: set[int] = set()
+    for b in range(60):
+        if not any(x in kept for x, y in pairs if y == b):
+            kept.add(b)
+    p = spark.createDataFrame(pairs + [(3, 3)], "a long, b long")
+    assert {r.id for r in dedup.first_come(spark.range(60), "id", p, one_task).collect()} == kept
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_first_come_of_a_circle(spark, one_task):
+    with pytest.raises(Exception, match="circle"):
+        dedup.first_come(spark.range(3), "id", spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "a long, b long"), one_task).count()
+
+
 def test_simhash_filter_against_scan(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(25)]
