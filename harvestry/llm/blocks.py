@@ -120,6 +120,14 @@ _cue_line = re.compile(r"(?:%s)(?:[ ·|]+(?:%s))*" % (_cue.pattern, _cue.pattern
 _notice_line = re.compile(r"(?:%s)(?:\s+(?:%s))*" % (_notice.pattern, _notice.pattern))
 
 
+def inner_links(low: str) -> int:
+    """How many links into the site itself a line without its marker has, if it has no other links and no words beside them."""
+    links = LINK.findall(low) if "](" in low and low[0] not in "!|" else []
+    if not all(u.startswith("/") and not u.startswith("//") and "go?" not in u for _, u in links):
+        return 0
+    return 0 if not links or _word.search(LINK.sub("", low)) else len(links)
+
+
 def _classify(raw: str) -> int:
     s = BLANKS.sub(" ", raw).strip()
     if not s:
@@ -127,7 +135,8 @@ def _classify(raw: str) -> int:
     if s.startswith("```"):
         return FENCE
     if len(s) > 420:
-        return GOOD
+        low = s.lower()
+        return BAD if inner_links(low) >= 3 or all(p in _nav for p in _seps.split(low) if p) else GOOD
     low = s.lower()
     level = len(low) - len(low.lstrip("#"))
     head = 0 < level <= 6 and low[level : level + 1] == " "
@@ -157,6 +166,8 @@ def _classify(raw: str) -> int:
         return BAD
     if _cue_line.fullmatch(text):
         return BAD
+    if links and inner_links(low) >= 3:
+        return BAD
     if links and whole:
         return ITEM if _slug.search(links[0][1]) and not low.startswith("!") else SHORT
     words = _word.findall(text)
@@ -197,32 +208,34 @@ def furniture(lines: list[str]) -> list[bool]:
     n = len(lines)
     kind = [line_class(x) for x in lines]
     label = [0] * n  # 1 furniture, 2 content, 0 undecided
-    code, related = False, 0
+    code, related = False, False
     for i, k in enumerate(kind):
         if code or k == FENCE:
             label[i] = 2
             if k == FENCE:
                 code = not code
-                related = 0
+                related = False
             continue
         if k == BLANK:
             continue
         if k == RELATED_HEAD:
-            label[i], related = 1, 8
+            label[i], related = 1, True
         elif k == ITEM and related:
-            label[i], related = 1, related - 1
+            label[i] = 1
         elif k == ITEM:
             label[i] = 2
-            related = 0
+            related = False
         elif k == NOTICE:
-            label[i], related = 3, 0
+            label[i], related = 3, False
         elif k == BAD:
-            label[i], related = 1, 0
+            label[i], related = 1, False
         elif k == SHORT:
-            related = 0
+            related = False
         else:
-            label[i], related = 2, 0
-    # Second pass: a run of one or two undecided short blocks takes the label both decided neighbours share.
+            label[i], related = 2, False
+    # Second pass: a run of undecided short blocks takes the label both decided neighbours share.  Longer runs and links into
+    # the site are furniture only beside own content; where there is none, they are the page's own, whatever they are worth.
+    own = any(x == 2 and kind[i] not in (TITLE, HOMELINK) for i, x in enumerate(label))
     i = 0
     while i < n:
         if label[i] or kind[i] == BLANK:
@@ -236,7 +249,7 @@ def furniture(lines: list[str]) -> list[bool]:
             j += 1
         before = next((label[k] for k in range(i - 1, -1, -1) if label[k]), 1)
         after = label[j] if j < n else 1
-        bad = len(run) <= 2 and before == 1 and after == 1 and not any(_keeps.match(lines[k]) for k in run)
+        bad = before == 1 and after == 1 and (own or len(run) <= 2) and not any(_keeps.match(lines[k]) and not (own and inner_links(_marker.sub("", lines[k].strip(), count=1).lower() or " ")) for k in run)
         for k in run:
             label[k] = 1 if bad else 2
         i = j

@@ -170,6 +170,21 @@ def test_furniture():
     assert [x for x, b in zip(lines, blocks.furniture(lines)) if not b] == ["# Day", "The boat left the pier at dawn."]
 
 
+def test_furniture_of_links():
+    """Menus of unknown labels, long related lists and long lines of links are furniture; a page's own list of links is not."""
+    text = ["The boat left the pier at dawn and came back late.", "The crew went home on foot, since no bus was there."]
+    menu = ["[Quayside](/quay)", "* [Pilots](/pilots)", "[Tidebook](/tide)", "[Moorings](/moor)"]
+    plain = ["Quayside", "Pilots", "Tidebook", "Moorings"]
+    related = ["## Related pages", *(f"[The mill of the town](/mill-{i})" for i in range(12))]
+    wide = " | ".join(f"[Harbour label {i}](/harbour/label/{i})" for i in range(20))
+    for more in (menu, plain):
+        lines = ["* Search", *more, "* About us", *text, *related, "12 comments", wide, "[Alpha](/a) | [Beta](/b) | [Gamma](/c)"]
+        assert [x for x, b in zip(lines, blocks.furniture(lines)) if not b] == text
+    for mine in (plain, menu, ["[cheap boots](/go?id=1)", "[boots](https://x.test/1)", "* #boots"]):
+        lines = ["* Search", *mine, "12 comments"]
+        assert [x for x, b in zip(lines, blocks.furniture(lines)) if not b] == mine
+
+
 # 5
 @pytest.mark.parametrize(
     "text,kinds",
