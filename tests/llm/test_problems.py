@@ -120,6 +120,14 @@ def test_stuffing():
     assert stuffing.recurrence([]) == (0.0, 0.0, 1.0)
 
 
+@pytest.mark.parametrize("size", [20, 30, 150])
+def test_stuffing_of_a_long_list(size):
+    """More repetition does not hide a list: any number of distinct terms, over and over on one line."""
+    once = " ".join(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(size))
+    for times in (2, 3, 12):
+        assert stuffing.stuffed("u", "t", "# x\n" + " ".join([once] * times))
+
+
 # 3
 @pytest.mark.parametrize("n,span", [(1, 10), (3, 10), (200, 60000), (5000, 65536), (5000, 5000), (40000, 65536)])
 def test_bitmap_round_trip(n, span):
