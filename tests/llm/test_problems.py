@@ -236,6 +236,22 @@ def test_common_lines():
         assert len(markup.common(a, b)) == t[0][0]
 
 
+def test_common_lines_of_long_pages():
+    """Lines that come back on long pages are aligned like those of short ones."""
+    a = [f"line {i % 50}" for i in range(2500)]
+    b = ["first", *a[:1200], "between", *a[1200:], "last"]
+    c = ["start", *a, "end"]
+    assert markup.common(c, b) == set(range(1, 2501))
+    rng = random.Random(5)
+    x, y = [[rng.choice("abcdefgh") for _ in range(2200)] for _ in range(2)]
+    t = [0] * (len(y) + 1)
+    for v in x:
+        left = 0
+        for j, w in enumerate(y):
+            left, t[j + 1] = t[j + 1], left + 1 if v == w else max(t[j], t[j + 1])
+    assert len(markup.common(x, y)) == t[-1]
+
+
 def test_differencing(spark):
     top, foot = "Menu of the site", "Legal note of the site"
     rows = [(i, f"https://a.test/n/{i}", f"{top}\nown words {i}\nmore own {i}\nand own {i}\n{foot}") for i in range(300)]
