@@ -234,6 +234,28 @@ def test_crawl_and_tree(spark):
     assert frontier.site_tree(seeds.where("url is not null"), links, 2, max_pages=2).count() == 2
 
 
+def test_crawl_to_the_fixpoint(spark, data):
+    """Without a depth limit a crawl takes the whole table: a tree of all customers."""
+    from harvestry.plans import crawl_queries
+
+    seeds, links = crawl_queries._site(spark, data)
+    edges: dict[str, list[str]] = {}
+    for r in links.collect():
+        edges.setdefault(r.source, []).append(r.url)
+    level = ["https://site.test/p/0"]
+    depth = {level[0]: 0}
+    while level:
+        new = {}
+        for u in level:
+            for v in edges.get(u, []):
+                if v.startswith("https://site.test/") and v not in depth:
+                    new.setdefault(v, depth[u] + 1)
+        depth |= new
+        level = list(new)
+    got = frontier.crawl(seeds, links, 0, F.col("url").startswith("https://site.test/")).visited
+    assert {r.url: r.depth for r in got.collect()} == depth and max(depth.values()) > 6
+
+
 def test_output(spark):
     df = spark.createDataFrame([("https://a.x.test/p/f.js?b=1&a=2", "GET", "", 0, {"k": "v"}, ["t"]), ("no address", "GET", "x", 2, {}, [])], "url string, method string, body string, depth int, m map<string,string>, l array<string>")
     rows = df.select(output.json_line(df, ("m.k",)).alias("j"), output.template("{{file}}|{{qpath}}|{{.x}}", "url").alias("t"), output.screen_line("url", "method", "body", F.lit(None).cast("string"), "depth", True).alias("s")).collect()
