@@ -1,95 +1,47 @@
-"""Line classifier of a Markdown page: own content or the site's furniture.
+"""Two-pass block rules for Markdown pages: own content or the site's furniture.
 
-Two passes.  The first decides each block (a line) by itself: length, stop-word
-density, link density, sentence end and furniture cues.  The second gives an
-undecided short block the label of its nearest decided neighbours.  A line's
-first-pass class depends on the line alone and is cached, because furniture
+A block is a line.  The first pass describes it by its length, stop-word density,
+link density, sentence end and terms, and decides it where these speak clearly:
+long blocks with many stop words and few links are content, blocks of links into
+the site are furniture, and terms that stand in furniture add to either side.  The
+second pass gives each ambiguous block the label of its nearest decided
+neighbours, over runs of any length; headings take the label of what they head.
+
+No furniture phrases are listed.  What terms and shapes weigh is learned by
+`learn` from the pages themselves: blocks outside the stretch of long text, and
+blocks that come back under several titles, are furniture, the others are not,
+and the weights are the log-odds, refined in a few rounds.  The fit takes a bounded
+sample (`draw`); the rules made of it are put to every line of every page.  Without
+pages to learn from, `Rules()` has the weights of general web vocabulary and of
+shapes only.
+
+A block's description depends on the line alone and is cached, because furniture
 lines come back on every page of a site.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .messages import hit, notice
 
-# Navigation labels of web sites, by language.
-NAV = {
-    "en": "search|about us|about|sign in|log in|imprint|archive|newsroom|jobs|events|gallery|contact|contact us|home|members|downloads|map|site map|shop|help|menu|faq|blog|news|careers|press|support|account|register",
-    "de": "suche|über uns|anmelden|impressum|archiv|presse|termine|galerie|kontakt|startseite|laden|karte|hilfe|menü|warenkorb|konto",
-    "fr": "recherche|à propos|connexion|archives|agenda|galerie|contact|accueil|boutique|plan|aide|menu|presse|emplois|compte",
-    "es": "buscar|quiénes somos|entrar|archivo|agenda|galería|contacto|inicio|tienda|mapa|ayuda|menú|prensa|empleo|cuenta",
-    "ja": "検索|会社案内|ログイン|記録庫|催し|写真|お問い合わせ|ホーム|売店|ヘルプ|メニュー|地図|採用|会員",
+# Words of web furniture in general use, by language; a prior that learned weights replace.
+VOCABULARY = {
+    "en": "recommended related popular about account advertisement archive careers comments contact cookie cookies copyright downloads facebook faq follow guest help home imprint instagram jobs linkedin login logout map members menu newsletter newsroom press privacy register reply reserved search share shop sign sitemap sponsored subscribe subscription terms twitter unsubscribe visitors youtube",
+    "de": "abonnieren agb anmelden anzeige archiv barrierefreiheit cookies datenschutz facebook gast hilfe impressum karte kommentare kontakt konto menü newsletter nutzungsbedingungen presse rundbrief schlagwörter startseite suche teilen termine vorbehalten warenkorb",
+    "fr": "abonnez accueil agenda aide archives boutique commentaires compte confidentialité connexion contact cookies facebook inscription lettre mentions newsletter partager plan presse publicité recherche réservés suivez",
+    "es": "accesibilidad acerca agenda anuncio archivo aviso ayuda boletín buscar comentarios compartir contacto cookies cuenta entrar facebook inicio mapa menú prensa privacidad publicidad reservados suscríbete síguenos tienda",
+    "ja": "検索 会社案内 ログイン 催し 写真 お問い合わせ ホーム 売店 ヘルプ メニュー 地図 採用 会員 広告 クッキー 利用規約 無断転載",
 }
-HOME = {"home", "startseite", "accueil", "inicio", "ホーム"}
-
-# Headings over lists of other pages.
-RELATED = {
-    "related pages", "more from this section", "you may also like", "most read this week", "most read",
-    "ähnliche beiträge", "meistgelesen", "das könnte sie auch interessieren", "mehr aus dieser rubrik",
-    "à lire aussi", "les plus lus", "dans la même rubrique", "articles liés",
-    "lo más leído", "también te puede interesar", "más de esta sección", "páginas relacionadas",
-    "関連する記事", "よく読まれた記事", "関連ページ", "こちらもおすすめ",
-}
 
-# Cues of furniture; each must cover a whole line or, with others, fill one.
-CUES = [
-    # legal, imprint, licence
-    r"(?:©|\(c\)|copyright)\s*\d{4}\b.{0,60}?(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|無断転載禁止)\.?",
-    r"(?:©|\(c\)|copyright)\s*\d{4}\b[^.]{0,40}\.?",
-    r"terms of use · privacy · accessibility|impressum · datenschutz · agb|mentions légales · confidentialité|aviso legal · privacidad|利用規約・個人情報の扱い",
-    r"a member of the \S+ group",
-    r"powered by \S+",
-    r"\S+ house, \d+ quay lane|\S+ haus, uferweg \d+|\d+, quai \S+|muelle \S+, \d+",
-    r"this material was first published by \S+ and is used under licence\.?",
-    r"all prices include tax; errors and changes excepted\.?",
-    r"no part of this page may be copied without the written consent of \S+",
-    r"\S+ is not responsible for the content of linked sites\.?",
-    r"opinions given here are those of the author and not of \S+",
-    r"nachdruck nur mit zustimmung von \S+|alle angaben ohne gewähr\.?|für inhalte verlinkter seiten haftet \S+ nicht\.?",
-    r"toute reproduction est soumise à l[’']accord de \S+|\S+ n[’']est pas responsable des sites liés\.?",
-    r"prohibida la copia sin permiso de \S+|\S+ no responde de los sitios enlazados\.?",
-    r"\S+?の許可なく転載を禁じます。?|リンク先の内容について\S*。?",
-    # bylines and page dates
-    r"written by \S+(?: \S+)?|by \S+ \S+, staff writer|\S+ \S+ reports from the \S+ desk|posted in \S+ by the editors",
-    r"(?:ein beitrag von|von) \S+ \S+|(?:un texte de|par) \S+ \S+|(?:texto de|por) \S+ \S+",
-    r"(?:文・|担当：)\s*\S+",
-    r"last change: \d+ \S+ \d+|zuletzt geändert am \d+\. \S+ \d+|mis à jour le \d+(?:er)? \S+ \d+|actualizado el \d+ de \S+ de \d+|(?:最終)?更新(?:日)?：?\s*\d+年\d+月\d+日",
-    # share and newsletter prompts
-    r"tell a friend about this page|print · send · save for later|like what you read\? pass it on!|follow us for daily updates|share this(?: page)?(?: on \S+ and \S+)?",
-    r"sign up for our weekly letter and never miss a story\.?|get the \S+ digest every friday, free of charge\.?|enter your e-mail to get new pages first\.?",
-    r"drucken · senden · merken|diese seite teilen|gefällt ihnen der beitrag\? sagen sie es weiter!|jetzt den wöchentlichen rundbrief bestellen\.?|neue beiträge von \S+ per e-mail erhalten\.?|folgen sie uns\b.{0,30}",
-    r"imprimer · envoyer · garder|partager cette page|suivez-nous chaque jour|recevez nos nouvelles chaque vendredi\.?|abonnez-vous à la lettre de \S+",
-    r"imprimir · enviar · guardar|comparte esta página|síguenos cada día|recibe las novedades cada viernes\.?|suscríbete al boletín de \S+",
-    r"印刷・送信・保存|この頁を共有する|友だちに知らせる|毎週金曜に新着を届けます。?|\S+?通信を購読しませんか。?",
-    # counters, greetings, tags
-    r"read by \d+ visitors|\d+ people found this useful|page \d+ of \d+|\d+ comments?|leave a reply \(\d+\)|estimated reading time: \d+ min|hello, guest \d+! not you\? log out",
-    r"\d+ kommentare?|kommentar schreiben \(\d+\)|seite \d+ von \d+|\d+ mal gelesen|lesezeit:? (?:etwa )?\d+ min(?:uten)?\.?|hallo,? gast \d+!.{0,30}|\d+ personen fanden das hilfreich",
-    r"\d+ commentaires?|laisser un commentaire \(\d+\)|page \d+ sur \d+|lu \d+ fois|temps de lecture ?:? \d+ min\.?|bonjour,? invité \d+ ?!.{0,30}|\d+ personnes ont trouvé cela utile",
-    r"\d+ comentarios?|deja un comentario \(\d+\)|página \d+ de \d+|leído \d+ veces|tiempo de lectura:? \d+ min\.?|¡?hola,? invitado \d+!.{0,30}|a \d+ personas les resultó útil",
-    r"コメント\d+件|コメントする（\d+）|\d+人が役に立ったと答えました|\d+ ?/ ?\d+ ?頁|\d+回読まれました|読了時間：?\s*\d+分|こんにちは、?ゲスト\d+.{0,30}",
-    r"(?:tags|schlagwörter|mots-clés|etiquetas|タグ) ?[:：] ?\S[^.!?]{0,90}",
-    # navigation helpers, advertising labels
-    r"back to top|skip to main content|advertisement|sponsored content by \S+|menu",
-    r"zum inhalt springen|nach oben|anzeige|gesponsert von \S+|aller au contenu|haut de page|publicité|contenu sponsorisé par \S+|saltar al contenido|volver arriba|publicidad|contenido patrocinado por \S+|本文へ移動|先頭へ戻る|広告|提供：\S+",
-    # consent
-    r"accept all|ok, got it|manage settings|read our cookie policy|by staying here you agree\.?",
-    r"alle annehmen|einverstanden|einstellungen|mehr erfahren|mit dem weiteren besuch stimmen sie zu\.?|tout accepter|paramétrer|en savoir plus|aceptar todo|configurar|más información|すべて許可|設定する|詳しく見る",
-    r"(?:with your consent )?we (?:and our partners )?use cookies to [^.!?]{3,120}\.?|cookies help us to [^.!?]{3,120}\.?|this site stores small files to [^.!?]{3,120}\.?",
-    r"(?:wir verwenden|mit ihrer zustimmung nutzen wir) cookies, um [^.!?]{3,120}\.?|diese seite speichert kleine dateien, um [^.!?]{3,120}\.?",
-    r"(?:avec votre accord,? )?nous utilisons des cookies pour [^.!?]{3,120}\.?|ce site dépose de petits fichiers pour [^.!?]{3,120}\.?",
-    r"(?:con tu permiso,? )?usamos cookies para [^.!?]{3,120}\.?|este sitio guarda pequeños archivos para [^.!?]{3,120}\.?",
-    r"当サイトは次の目的でクッキーを使います[：:]?[^.!?。]{1,80}[.。]?|小さなファイルを保存します[：:]?[^.!?。]{1,80}[.。]?",
-]
-
-# Notices that scripts or a browser check are needed.
-SCRIPT_NOTICE = [
-    r"(?:please )?enable javascript to view this page\.?|this app needs scripts to run\.(?: turn them on and reload\.?)?|you need to activate javascript and cookies to continue\.?",
-    r"your browser does not support scripting or it is switched off\.?|loading… if nothing happens, allow scripts for this site\.?",
-    r"checking your browser before you reach \S+(?: this takes about \d+ seconds\.?)?|ブラウザを?確認しています（\d+秒）。?",
-    r"(?:bitte )?aktivieren sie javascript, um diese seite anzuzeigen\.?|diese anwendung (?:braucht|benötigt) (?:skripte|scripts).{0,40}|ihr browser wird geprüft, bitte \d+ sekunden warten\.?",
-    r"veuillez activer javascript pour voir cette page\.?|cette application a besoin de scripts pour fonctionner\.?|vérification de votre navigateur.{0,60}|nous vérifions votre navigateur.{0,60}",
-    r"activa javascript para ver esta página\.?|esta aplicación necesita scripts para funcionar\.?|(?:estamos )?comprobando (?:tu|su) navegador.{0,60}",
-    r"この頁を見るにはjavascriptを有効にしてください。?|このアプリの?(?:動作|実行)?には(?:スクリプト|javascript)が必要です。?|ブラウザを?確認し?(?:中|ています).{0,40}",
-]
+# Those of them that hardly stand in other text.
+STRONG = "© cookie cookies copyright newsletter subscribe unsubscribe imprint impressum sitemap"
 
 # Frequent function words.
 STOP = frozenset(
@@ -100,169 +52,387 @@ STOP = frozenset(
 )
 
 LINK = re.compile(r"!?\[([^\]\[]*)\]\(([^()\s]*)\)")
-BLANKS = re.compile(r"[ \t 　]+")
-_cue = re.compile("(?:%s)" % "|".join(f"(?:{c})" for c in CUES))
-_notice = re.compile("(?:%s)" % "|".join(f"(?:{c})" for c in SCRIPT_NOTICE))
-_nav = frozenset(x for v in NAV.values() for x in v.split("|"))
-_seps = re.compile(r"\s*[»|/·•>]\s*")
-_marker = re.compile(r"(?:[*•-]|\d{1,3}[.)])\s+")
+BLANKS = re.compile(r"[ \t 　]+")
+_marker = re.compile(r"(?:[*+•-]|\d{1,3}[.)])\s+")
 _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_term = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]+|[^\W\d_ぁ-ゖ゛-ヿ一-鿿]+|\d+|[©·»>:：!！?？]")
+_cjk = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]")
+_kana = re.compile(r"[ぁ-ゖ]")
 _end = re.compile(r"[.!?…。！？:;][\"'”’»›」』)\]*_]*$")
-_slug = re.compile(r"/[\w%-]+-\d+/?$")
-_keeps = re.compile(r"\s*(?:!?\[|[*•-] |https?://|[\\={|<&])")
-_cjk = re.compile(r"[぀-ヿ一-鿿]")
-
-BLANK, BAD, GOOD, SHORT, RELATED_HEAD, ITEM, FENCE, NOTICE, TITLE, HOMELINK = range(10)
-_cache: dict[str, int] = {}
-
-
-_cue_line = re.compile(r"(?:%s)(?:[ ·|]+(?:%s))*" % (_cue.pattern, _cue.pattern))
-_notice_line = re.compile(r"(?:%s)(?:\s+(?:%s))*" % (_notice.pattern, _notice.pattern))
-
-
-def inner_links(low: str) -> int:
-    """How many links into the site itself a line without its marker has, if it has no other links and no words beside them."""
-    links = LINK.findall(low) if "](" in low and low[0] not in "!|" else []
-    if not all(u.startswith("/") and not u.startswith("//") and "go?" not in u for _, u in links):
-        return 0
-    return 0 if not links or _word.search(LINK.sub("", low)) else len(links)
-
-
-def _classify(raw: str) -> int:
-    s = BLANKS.sub(" ", raw).strip()
-    if not s:
-        return BLANK
-    if s.startswith("```"):
-        return FENCE
-    if len(s) > 420:
-        low = s.lower()
-        return BAD if inner_links(low) >= 3 or all(p in _nav for p in _seps.split(low) if p) else GOOD
-    low = s.lower()
-    level = len(low) - len(low.lstrip("#"))
-    head = 0 < level <= 6 and low[level : level + 1] == " "
-    if head:
-        low = low[level:].strip()
-        if level == 1:
-            return TITLE
-    m = _marker.match(low)
-    item = bool(m)
-    if m:
-        low = low[m.end() :]
-    links = LINK.findall(low) if "](" in low else []
-    text = LINK.sub(r"\1", low).strip() if links else low
-    whole = bool(links) and not LINK.sub("", low).strip()
-    if text in RELATED:
-        return RELATED_HEAD
-    if head:
-        return BAD if _cue_line.fullmatch(text) else GOOD
-    if _notice_line.fullmatch(text):
-        return NOTICE
-    if whole and len(links) == 1 and links[0][1] == "/" and text in HOME:
-        return HOMELINK
-    parts = [p for p in _seps.split(text) if p]
-    if parts and all(p in _nav for p in parts) and not (links and any("go?" in u or "://" in u for _, u in links)):
-        return BAD
-    if len(parts) >= 2 and parts[0] in HOME and not text.endswith("."):
-        return BAD
-    if _cue_line.fullmatch(text):
-        return BAD
-    if links and inner_links(low) >= 3:
-        return BAD
-    if links and whole:
-        return ITEM if _slug.search(links[0][1]) and not low.startswith("!") else SHORT
-    words = _word.findall(text)
-    n = len(words)
-    stops = sum(w in STOP for w in words)
-    if item:
-        if "：" in text and text.endswith("）"):
-            return ITEM
-        return GOOD if n > 9 or _end.search(text) or (n and _cjk.search(text) and len(text) > 16) else ITEM if stops or ":" in text or "：" in text or "/" in text else SHORT
-    if n >= 4 and (_end.search(text) or stops / n >= 0.25) or n >= 12 or "|" in text or len(text) > 60:
-        return GOOD
-    if _cjk.search(text) and _end.search(text):
-        return GOOD
-    return SHORT
+# Names of a site's front page, by language.
+HOME = {"home", "startseite", "accueil", "inicio", "ホーム", "トップ"}
+_marks = re.compile(r"[\\={}|<&$~]")
+_figures = re.compile(r"\|\s*[\d.,:%-]+\s*(?:\||$)")
+_crumb = re.compile(r"(?:^|\s)[/»›>](?:\s|$)")
+
+BLANK, BAD, GOOD, OPEN, FENCE, NOTICE, TITLE, HOMELINK, HEAD = range(9)
+#: A block is long from so many words on, and has many stop words from such a share on.
+LONG, DENSE = 20, 0.2
+#: A score beyond this decides a block in the first pass.
+SURE = 2.0
+#: Pages the weights are learned from at most, and the size of a page to be among them.
+SAMPLE, SAMPLE_CHARS = 4000, 32_768
+# What shapes weigh where no pages were learned from: lengths (powers of 2), shares of stop words (eighths), ends, items, links.
+_SHAPES = {
+    "\x01n0": 0.0, "\x01n1": 1.2, "\x01n2": 0.7, "\x01n3": 0.0, "\x01n4": -1.0, "\x01n5": -2.4, "\x01n6": -2.8,
+    "\x01s0": 0.6, "\x01s1": -0.2, "\x01s2": -0.6, "\x01s3": -0.7, "\x01s4": -0.7, "\x01e0": 0.5, "\x01e1": -0.8,
+    "\x01i": 0.0, "\x01in": 1.5, "\x01out": -0.5,
+}
+
+
+def terms(low: str) -> list[str]:
+    """Terms of a lower-case text: words, pairs of characters in scripts without blanks, one sign for all figures."""
+    out = []
+    for w in _term.findall(low):
+        if w[0].isdigit():
+            out.append("0")
+        elif _cjk.match(w):
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
+        else:
+            out.append(w)
+    return out
+
+
+class Block:
+    """What the rules see of a line."""
+
+    __slots__ = ("bullet", "crumbs", "dense", "end", "head", "image", "key", "kind", "linked", "local", "marked", "names", "shapes", "terms", "words")
+
+    def __init__(self, raw: str):
+        s = BLANKS.sub(" ", raw).strip()
+        self.key, self.kind = s.lower(), OPEN
+        low = self.key
+        level = len(low) - len(low.lstrip("#"))
+        self.head = level if 0 < level <= 6 and low[level : level + 1] == " " else 0
+        if self.head:
+            low = low[level:].strip()
+        m = _marker.match(low)
+        self.bullet = bool(m)
+        if m:
+            low = low[m.end() :]
+        self.image = low.startswith("![")
+        links = LINK.findall(low) if "](" in low else []
+        text = LINK.sub(r"\1", low) if links else low
+        words = _word.findall(text)
+        cjk = len(_cjk.findall(text))
+        self.words = max(len(words), cjk // 2)
+        stops = len(_kana.findall(text)) / 2 if cjk else sum(w in STOP for w in words)
+        self.dense = stops / max(1, self.words)
+        #: share of the text that links have, and how many links lead into the site itself if no other does
+        self.linked = sum(len(a) for a, _ in links) / max(1, len(text))
+        local = [u for _, u in links if u.startswith("/") and not u.startswith("//") and "go?" not in u]
+        self.local = len(local) if len(local) == len(links) and not self.image else 0
+        self.end = bool(_end.search(text))
+        self.marked = bool(_marks.match(low)) or low.startswith("> ")
+        self.names = bool(_crumb.search(text)) and not self.end
+        self.crumbs = self.names and _crumb.split(text)[0].strip() in HOME
+        self.terms = frozenset(terms(text))
+        shapes = [f"\x01n{min(6, int(math.log2(self.words + 1)))}", f"\x01s{min(4, int(self.dense * 8))}", f"\x01e{int(self.end)}"]
+        if self.bullet:
+            shapes.append("\x01i")
+        if links:
+            shapes.append("\x01in" if self.local else "\x01out")
+        if self.names:
+            shapes.append("\x01c")
+        self.shapes = shapes
+        if s.startswith(("```", "~~~")):
+            self.kind = FENCE
+        elif self.head == 1:
+            self.kind = TITLE
+        elif self.head:
+            self.kind = HEAD
+        elif self.image or self.marked and not self.local or "|" in text and _figures.search(text):
+            self.kind = GOOD
+        elif len(links) == 1 and links[0][1] == "/" and self.linked > 0.9 and not self.bullet:
+            self.kind = HOMELINK
+        elif not self.long and notice(text):
+            self.kind = NOTICE
+
+    @property
+    def long(self) -> bool:
+        return self.kind == OPEN and self.words >= LONG and self.dense >= DENSE and self.linked < 0.3
+
+
+_blocks: dict[str, Block | None] = {}
+
+
+def block(raw: str) -> Block | None:
+    """The line's block; null if it is blank."""
+    b = _blocks.get(raw, 0)
+    if b == 0:
+        b = Block(raw) if raw.strip(" \t\r\f\v  　") else None
+        if len(raw) < 200:
+            if len(_blocks) > 100_000:
+                _blocks.clear()
+            _blocks[raw] = b
+    return b
 
 
 def is_fence(line: str) -> bool:
-    return line.lstrip().startswith("```")
+    return line.lstrip().startswith(("```", "~~~"))
 
 
 def is_notice(line: str) -> bool:
-    return line_class(line) == NOTICE
+    b = block(line)
+    return b is not None and (b.kind == NOTICE or b.head > 1 and notice(b.key))
 
 
-def line_class(raw: str) -> int:
-    k = _cache.get(raw)
-    if k is None:
-        k = _classify(raw)
-        if len(raw) < 200:
-            if len(_cache) > 200_000:
-                _cache.clear()
-            _cache[raw] = k
-    return k
+def _uncoded(blocks: list[Block | None]) -> list[Block | None]:
+    """The blocks without those of fenced code; a fence without an end goes to the end of the page."""
+    out, code = [], False
+    for b in blocks:
+        fence = b is not None and b.kind == FENCE
+        out.append(None if code or fence else b)
+        code ^= fence
+    return out
 
 
-def furniture(lines: list[str]) -> list[bool]:
-    """For each line, whether it is furniture; blank lines are not."""
-    n = len(lines)
-    kind = [line_class(x) for x in lines]
-    label = [0] * n  # 1 furniture, 2 content, 0 undecided
-    code, related = False, False
-    for i, k in enumerate(kind):
-        if code or k == FENCE:
-            label[i] = 2
-            if k == FENCE:
-                code = not code
-                related = False
-            continue
-        if k == BLANK:
-            continue
-        if k == RELATED_HEAD:
-            label[i], related = 1, True
-        elif k == ITEM and related:
-            label[i] = 1
-        elif k == ITEM:
-            label[i] = 2
-            related = False
-        elif k == NOTICE:
-            label[i], related = 3, False
-        elif k == BAD:
-            label[i], related = 1, False
-        elif k == SHORT:
-            related = False
-        else:
-            label[i], related = 2, False
-    # Second pass: a run of undecided short blocks takes the label both decided neighbours share.  Longer runs and links into
-    # the site are furniture only beside own content; where there is none, they are the page's own, whatever they are worth.
-    own = any(x == 2 and kind[i] not in (TITLE, HOMELINK) for i, x in enumerate(label))
-    i = 0
-    while i < n:
-        if label[i] or kind[i] == BLANK:
-            i += 1
+def _stretch(blocks: list[Block | None]) -> tuple[int, int] | None:
+    """First and last long block of content."""
+    at = [i for i, b in enumerate(blocks) if b is not None and b.long]
+    return (at[0], at[-1]) if at else None
+
+
+def general(words: bool = True) -> dict[str, float]:
+    """Weights without any pages: shapes, and the words of VOCABULARY."""
+    out = {t: 1.0 for v in VOCABULARY.values() for w in v.split() for t in terms(w)} if words else {}
+    out |= dict.fromkeys(STRONG.split() if words else (), 3.0)
+    return out | _SHAPES
+
+
+def learn(pages: Iterable[tuple[str | None, str]], rounds: int = 3, start: dict[str, float] | None = None) -> Rules:
+    """Rules with the weights that the pages (title, markdown) speak for.
+
+    A page tells where its own text is by its long blocks; those with under three are passed over.  Furniture are, first, the other
+    blocks outside that stretch and those that come back under four titles or more; then, round by round, those that the
+    weights of the round before, their place and their coming back speak for.  Weights are log-odds, drawn towards `start`
+    where counts are small.
+    """
+    seen, titles = [], defaultdict(set)
+    for title, text in pages:
+        blocks = _uncoded([block(x) for x in text.split("\n")])
+        z = _stretch(blocks)
+        if z is None or sum(b is not None and b.long for b in blocks) < 3:
             continue
-        j = i
-        run = []
-        while j < n and not label[j]:
-            if kind[j] != BLANK:
-                run.append(j)
-            j += 1
-        before = next((label[k] for k in range(i - 1, -1, -1) if label[k]), 1)
-        after = label[j] if j < n else 1
-        bad = before == 1 and after == 1 and (own or len(run) <= 2) and not any(_keeps.match(lines[k]) and not (own and inner_links(_marker.sub("", lines[k].strip(), count=1).lower() or " ")) for k in run)
-        for k in run:
-            label[k] = 1 if bad else 2
-        i = j
-    # Script notices are furniture beside other text, and the page's own text where there is none.
-    if any(x == 3 for x in label):
-        own = any(x == 2 and kind[i] not in (TITLE, HOMELINK) for i, x in enumerate(label))
-        for i, x in enumerate(label):
-            if x == 3:
-                label[i] = 1 if own else 2
-    return [x == 1 for x in label]
-
-
-def body_lines(markdown: str | None) -> list[str]:
-    """The lines that are the page's own content."""
-    lines = (markdown or "").split("\n")
-    return [x for x, bad in zip(lines, furniture(lines)) if not bad]
+        kept = [(z[0] <= i <= z[1], b) for i, b in enumerate(blocks) if b is not None and b.kind in (OPEN, NOTICE)]
+        seen.append(kept)
+        for _, b in kept:
+            if len(titles[b.key]) < 4:
+                titles[b.key].add(title)
+    start = general() if start is None else start
+    rules = Rules(start)
+    for turn in range(rounds + 1):
+        bad, good = Counter(), Counter()
+        for kept in seen:
+            for inner, b in kept:
+                again = len(titles[b.key]) >= 4
+                if turn == 0:
+                    y = again or not inner and not b.long
+                else:
+                    y = sum(rules.score(b)) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
+                (bad if y else good).update(b.terms)
+                (bad if y else good).update(b.shapes)
+        total_bad, total_good = bad.total() + 500, good.total() + 500
+        weights = dict(start)
+        for t in bad.keys() | good.keys():
+            n = bad[t] + good[t]
+            w = math.log((bad[t] + 0.5) / total_bad) - math.log((good[t] + 0.5) / total_good)
+            if n > 1 or t in start:
+                weights[t] = round((n * max(-3.0, min(3.0, w)) + 3 * start.get(t, 0.0)) / (n + 3), 3)
+        rules = Rules(weights)
+    return rules
+
+
+def draw(pages: DataFrame, key: str, title: str, text: str, sample: int = SAMPLE) -> list[tuple[str | None, str]]:
+    """(title, text) of at most `sample` pages of up to SAMPLE_CHARS characters, those whose rows have the least hashes.
+
+    Where there is no column of the name `title`, the key stands for it.  Repeated rows are drawn once, and what is drawn does not depend on how the table is cut into files.
+    """
+    n = max(1, pages.count())
+    name = F.col(title if title in pages.columns else key).cast("string")
+    src = pages.select(F.col(key).alias("k"), name.alias("title"), F.col(text).alias("text")).where("k is not null and length(text) between 1 and %d" % SAMPLE_CHARS)
+    src = src.withColumn("h", F.xxhash64("k", "title", "text"))
+    share = min(1.0, 4 * sample / n)
+    if share < 1:
+        src = src.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = src.groupBy("h").agg(F.min("title").alias("title"), F.min("text").alias("text")).orderBy("h").limit(sample).collect()
+    return [(r.title, r.text) for r in rows]
+
+
+def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text: str = "markdown_ir", sample: int = SAMPLE) -> Rules:
+    """Rules learned from a bounded sample of the pages."""
+    return learn(draw(pages, key, title, text, sample))
+
+
+class Rules:
+    """Weights of terms and shapes; what has none weighs nothing."""
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.weights = general() if weights is None else weights
+        self._scores: dict[int, tuple[Block, float, float]] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights}
+
+    def __setstate__(self, state):
+        self.weights, self._scores = state["weights"], {}
+
+    def score(self, b: Block) -> tuple[float, float]:
+        """What the block's terms, and its shape, weigh; over 0 speaks for furniture."""
+        s = self._scores.get(id(b))
+        if s is None or s[0] is not b:
+            get = self.weights.get
+            s = (b, sum([get(t, 0.0) for t in b.terms]), sum([get(t, 0.0) for t in b.shapes]))
+            if len(self._scores) > 100_000:
+                self._scores.clear()
+            self._scores[id(b)] = s
+        return s[1], s[2]
+
+    def tells(self, raw: str) -> bool:
+        """Whether a line is long content, whatever stands around it."""
+        b = block(raw)
+        return b is not None and b.long and sum(self.score(b)) < -SURE
+
+    def first(self, b: Block, anchored: bool) -> int:
+        """First pass: 1 furniture, 2 content, 3 a notice, 0 ambiguous."""
+        if b.kind in (TITLE, GOOD, HOMELINK):
+            return 2
+        if b.kind == NOTICE:
+            return 3
+        if b.kind == HEAD:
+            return 0
+        if b.local >= 3 and b.linked > 0.7 or b.crumbs or "©" in b.terms and b.words < LONG:
+            return 1
+        t, s = self.score(b)
+        if anchored:
+            return 1 if t + s > SURE else 2 if t + s < -SURE else 0
+        # Where no long text tells what a page is about, shapes say little: links and short lines may be all it has.
+        share = t / max(1, len(b.terms) - ("0" in b.terms))
+        if t > SURE and share > 0.6 or b.words <= 3 and share > 0.8 and t + s > SURE and b.shapes[-1] != "\x01out":
+            return 1
+        return 2 if b.long else 0
+
+    @staticmethod
+    def _level(label: list[int], plain: list[Block | None]) -> None:
+        """Lines of one shape in a row are of one kind: a list is furniture if most of its entries are."""
+        n, i = len(plain), 0
+        kind = [None if b is None or b.kind != OPEN else (b.bullet, b.local > 0, b.linked > 0.5) for b in plain]
+        while i < n:
+            j = i + 1
+            while j < n and kind[j] == kind[i]:
+                j += 1
+            if j - i >= 3 and kind[i] and any(kind[i]):
+                most = 2 * sum(x == 1 for x in label[i:j]) > j - i
+                label[i:j] = [1 if most else 0 if x == 1 else x for x in label[i:j]]
+            i = j
+
+    def furniture(self, lines: list[str]) -> list[bool]:
+        """For each line, whether it is furniture; blank lines and code are not."""
+        blocks = [block(x) for x in lines]
+        blocks_ = _uncoded(blocks)
+        at = [i for i, b in enumerate(blocks) if b is not None]
+        plain = [blocks_[i] for i in at]  # null: code
+        n = len(at)
+        anchored = any(b is not None and b.long and sum(self.score(b)) < SURE for b in plain)
+        label = [2 if b is None else self.first(b, anchored) for b in plain]
+        for i in range(1, n - 1):
+            # a link or label of no known terms right between own blocks is the name of an entry
+            if label[i] == 1 and label[i - 1] == label[i + 1] == 2 and plain[i].kind == OPEN and self.score(plain[i])[0] < 1:
+                label[i] = 0
+        if not anchored:
+            self._level(label, plain)
+            # what reads like an error, filler or a notice is what such a page shows
+            label = [2 if b is not None and b.kind in (OPEN, HEAD) and hit(b.key) else x for x, b in zip(label, plain)]
+        for i in range(n):
+            # what a heading of furniture heads in links and labels is furniture
+            if plain[i] is not None and plain[i].kind == HEAD and self.score(plain[i])[0] >= 1:
+                j = i + 1
+                while j < n and plain[j] is not None and label[j] != 1 and (plain[j].local == 1 or plain[j].bullet and not plain[j].end):
+                    j += 1
+                if sum(b.local == 1 for b in plain[i + 1 : j]) >= 1 or self.score(plain[i])[0] > SURE:
+                    label[i + 1 : j] = [1] * (j - i - 1)
+        if not anchored:
+            # short sentences are a page's text if most of what is not furniture is in them
+            said = [b is not None and not x and b.kind == OPEN and b.end and b.words >= 8 and b.dense >= DENSE for x, b in zip(label, plain)]
+            rest = sum(b.words for b, x, y in zip(plain, label, said) if b is not None and b.kind == OPEN and not x and not y)
+            if any(said) and sum(b.words for b, y in zip(plain, said) if y) >= rest:
+                label = [2 if y else x for x, y in zip(label, said)]
+        own = any(x == 2 and (b is None or b.kind not in (TITLE, HOMELINK)) for x, b in zip(label, plain))
+        # Notices are furniture beside other text, and the page's own text where there is none.
+        label = [(1 if own else 2) if x == 3 else x for x in label]
+        head = [b is not None and b.kind == HEAD for b in plain]
+        # Second pass.  Headings stand for content here; beyond the page's ends there is furniture.
+        before, after = [(1, -1)] * n, [(1, n)] * n
+        held = (1, -1)
+        for i in range(n):
+            before[i] = held
+            if label[i] or head[i]:
+                held = (label[i] or 2, i)
+        held = (1, n)
+        for i in range(n - 1, -1, -1):
+            after[i] = held
+            if label[i] or head[i]:
+                held = (label[i] or 2, i)
+        out = list(label)
+        i = 0
+        while i < n:
+            if label[i] or head[i]:
+                i += 1
+                continue
+            j = i
+            while j < n and not label[j] and not head[j]:
+                j += 1
+            k = i
+            while k < j:
+                # blocks of one shape in a row are one list and stay together
+                e = k + 1
+                while e < j and _shape(plain[e]) == _shape(plain[k]):
+                    e += 1
+                (x, p), (y, q) = before[k], after[k]
+                if not own:
+                    # The page has nothing else: an ambiguous block is its own, unless it is a label between furniture.
+                    mine = not (x == y == 1 and j - i <= 2 and plain[k].words <= 3 and plain[k].local and label[i - 1 : i] == [1])
+                    out[k:e] = [2 if mine else 1] * (e - k)
+                elif x == y:
+                    out[k:e] = [x] * (e - k)
+                else:
+                    near = k - p - (q - e + 1)
+                    for m in range(k, e):
+                        out[m] = x if near < 0 else y if near > 0 else 1 if sum(self.score(plain[m])) > 0 else 2
+                k = e
+            i = j
+        for i in range(n - 1, -1, -1):
+            if head[i]:
+                # A heading is furniture if it heads nothing but links and labels that are.
+                j = i + 1
+                linked = 0
+                while j < n and not head[j] and out[j] == 1:
+                    linked += plain[j].local > 0 or plain[j].bullet
+                    j += 1
+                first = plain[i + 1] if i + 1 < n else None
+                links = linked and (first.local or first.bullet)
+                out[i] = 1 if links or j > i + 1 and (j == n or head[j]) and self.score(plain[i])[0] > SURE else 2
+        bad = [False] * len(lines)
+        for i, x in zip(at, out):
+            bad[i] = x == 1
+        return bad
+
+    def body_lines(self, markdown: str | None) -> list[str]:
+        """The lines that are the page's own content."""
+        lines = (markdown or "").split("\n")
+        return [x for x, bad in zip(lines, self.furniture(lines)) if not bad]
+
+
+def _shape(b: Block) -> tuple[bool, bool, bool]:
+    """Labels of up to three words are of one shape, linked into the site or not, in a list or not."""
+    if b.words <= 3 and not b.end and (b.local or b.linked == 0):
+        return True, True, False
+    return b.bullet, b.local > 0, b.linked > 0.5
+
+
+GENERAL = Rules()
+
+
+def furniture(lines: list[str]) -> list[bool]:
+    """By general weights only."""
+    return GENERAL.furniture(lines)

@@ -1,15 +1,24 @@
 """Problem 1: template residue, error pages, filler text and script notices.
 
-Method: a page's address slug, title and body terms are compared; a body that
-says little, is made of error, filler or notice terms and does not answer to its
-address, is a suspect; the evidence of all hosts (the same low-information body
-under several addresses it does not answer to) decides the doubtful ones, and
-those whose wording no list has.
-Placeholder detectors work on the title and on the text outside code.
+Method: placeholder detectors work on the title and on the text outside code.  For
+the rest, a page of low information - nothing of its own but short lines - is held
+against its address slug and title, and against all hosts: each of its lines, with
+figures, paths and addresses levelled, is counted over the pages, hosts and names
+(slug and title) it stands under and over the names it does not answer to.  A line
+speaks against its page if error, filler or notice terms are in it and the page
+does not answer to its address and title, or the line stands under several names
+it does not answer to; and, whatever its wording, if it stands under so many names
+and hosts that it can be none's own.  A page is a case if such lines are nearly
+all it has.
+
+Scale: one narrow pass; only lines of low-information pages, as hashes, are
+shuffled, and they are counted by (line, site, name) with a partial aggregate
+first.
 
 Defined cases: null title or url counts as empty; an empty or null body is no
 case unless the title shows a placeholder; repeated rows give one row; rows
-without page_id are left out; texts of any length are read whole.
+without page_id are left out; texts of any length are read whole; two rows of one
+page_id are judged each by itself.
 """
 
 from __future__ import annotations
@@ -19,7 +28,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLANKS, GOOD, HOMELINK, TITLE, furniture, is_fence, is_notice, line_class
+from .blocks import BLANKS, HOMELINK, LINK, TITLE, Rules, block, is_fence, learned
+from .messages import ERROR, SAMPLE, hit
 from .text import map_arrow, saved, site_of, without_code
 
 _F = r"[A-Za-z][A-Za-z0-9]*(?:[ ._-][A-Za-z0-9]+){0,3}"
@@ -33,33 +43,18 @@ PLACEHOLDER = re.compile(
     rf"|\[(?:INSERT|YOUR|ENTER|ADD) [A-Z][A-Z _.]*\](?!\()|\[(?:Your|Insert|Enter) {_F}(?: here)?\](?!\()|\[{_F} - to be supplied\]|\({_F} goes here\)"
 )
 
-# Words of filler Latin.
-LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-    " augue ligula risus ipsum pretium justo lorem mollis quam tempus vero porta lectus felis ornare viverra ullam varius semper dapibus massa tortor morbi nostra vestibulum curabitur pellentesque vitae vel nec ac at eget donec praesent fusce integer maecenas nunc odio orci purus rhoncus sapien sodales tellus tincidunt turpis ultrices urna vivamus volutpat".split()
-)
-# Sample copy of site builders.
-SAMPLE = re.compile(
-    r"sample copy|dummy text|placeholder|your content will appear|click here to edit|write something about your|describe your offer|add a short biography|replace with your own"
-    r"|blindtext|mustertext|platzhalter|hier klicken, um diesen|beschreiben sie hier ihr|hier steht (?:ihr|dein)|faux texte|texte d[’']exemple|texte de remplacement|cliquez ici pour modifier|décrivez ici votre|votre contenu"
-    r"|texto de relleno|texto de ejemplo|haz clic aquí para|describe aquí|tu contenido|見本の文章|本文が入ります|この段落を編集|ここをクリックして|ダミーテキスト|サンプルテキスト",
-    re.I,
-)
-# Terms of error and host messages.
-ERROR = re.compile(
-    r"\bnot found\b|page you are looking for|moved or never existed|access denied|forbidden|don[’']t have permission|bad gateway|gateway time-?out|service unavailable|temporarily un(?:able|available)|internal (?:server )?error|too many requests|has been blocked|has been suspended|has expired|session (?:has )?(?:ended|expired)|no site has been set up|fatal error|uncaught|traceback|stack trace|connection failed|database (?:error|connection)|undefined (?:function|index|variable)|syntax error|exception in|under (?:construction|maintenance)|scheduled maintenance|not available\b|out of memory|something went wrong|timed out|error \d{2,4}|\"error\"|index of /|it works!|default (?:web )?page"
-    r"|nicht gefunden|nicht verfügbar|zugriff verweigert|keine berechtigung|interner (?:server)?fehler|wartung|vorübergehend|gesperrt \(|sitzung (?:ist )?abgelaufen|fehler \d+|erneut versuchen"
-    r"|introuvable|accès refusé|pas le droit de voir|erreur interne|réessayez|indisponible|en maintenance|erreur \d+|session (?:a )?expiré"
-    r"|no se ha encontrado|no encontrad|acceso denegado|no tienes permiso|error interno|no está disponible|en mantenimiento|vuelve a intentarlo|sesión (?:ha )?caducad"
-    r"|見つかりません|アクセス(?:が|は)?(?:拒否|でき)|権限がありません|混み合って|お試しください|メンテナンス|エラー|利用できません",
-    re.I,
+# Words of titles that name no content.
+GENERIC = frozenset(
+    "error errors fehler erreur page pages seite página requests loading untitled document home homepage startseite accueil inicio welcome willkommen bienvenue sample default title moment please found denied access forbidden maintenance wartung unavailable server website exception problem sorry oops notfound ladevorgang chargement cargando".split()
 )
 _server = re.compile(r"[\w.-]+/\d[\d.]*|[\w ]*\d{3}[\w ]*")
-# Shapes of stack frames.
-_frame = re.compile(r"(?:#\d+ |at [\w.$<>]+\(|File \"[^\"]+\", line \d+|in /\S+ on line \d+|(?:[\w-]*/)+[\w.-]+[:(]\d+\)?)")
 _sentence = re.compile(r"(?<=[.!?。！？])\s*")
 _w = re.compile(r"[^\W_]+")
 _digits = re.compile(r"\d+")
+_lead = re.compile(r"^(?:[*+•-]|#{1,6}|\d{1,3}[.)])\s+")
+_path = re.compile(r"[^\s\"'(]*[^\s\"'(.][/.](?=\w)[^\s\"')]*|/\w[^\s\"')]*|\w+\(\)")
+_address = re.compile(r"https?://|(?<!\w)#\w|^(?:\S*\s)?\S*\d{4,}$")
+_stop = re.compile(r"[.!?…。！？:：][\"'”’»)\]]*$")
 
 
 _hint = re.compile(r"[{%@]|__|XX|\[(?:INSERT|YOUR|ENTER|ADD|Your|Insert|Enter) | to be supplied\]| goes here\)|<%")
@@ -69,30 +64,27 @@ def has_placeholder(title: str | None, markdown: str | None) -> bool:
     return any(t and _hint.search(t) and PLACEHOLDER.search(without_code(t)) for t in (title, markdown))
 
 
-def core(markdown: str | None) -> tuple[list[str], list[str]]:
+def core(rules: Rules, markdown: str | None) -> tuple[list[str], list[str]]:
     """Own lines of the page without blank lines: headings of level 1, and the rest (a link to the front page aside)."""
     lines = (markdown or "").split("\n")
     heads, rest = [], []
-    for x, bad in zip(lines, furniture(lines)):
-        s = BLANKS.sub(" ", x).strip()
-        if bad or not s:
+    for x, bad in zip(lines, rules.furniture(lines)):
+        b = None if bad else block(x)
+        if b is None:
             continue
-        k = line_class(x)
-        if k == TITLE:
+        s = BLANKS.sub(" ", x).strip()
+        if b.kind == TITLE:
             heads.append(s.lstrip("# "))
-        elif k != HOMELINK:
+        elif b.kind != HOMELINK:
             rest.append(s)
     return heads, rest
 
 
-def filler(line: str) -> bool:
-    words = _w.findall(line.lower())
-    return bool(SAMPLE.search(line)) or len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
-
-
 def _terms(url: str | None, title: str | None) -> tuple[set[str], set[str]]:
     slug = {w for w in _w.findall((url or "").rstrip("/").rpartition("/")[2].lower()) if len(w) > 4 and not w.isdigit()}
-    return slug, {w for w in _w.findall((title or "").lower()) if len(w) > 4 and not w.isdigit()}
+    words = _w.findall((title or "").lower())
+    name = set() if ERROR.search(title or "") or SAMPLE.search(title or "") else {w for w in words if len(w) > 4 and not w.isdigit()}
+    return slug - GENERIC, name - GENERIC
 
 
 def terms_met(url: str | None, title: str | None, text: str) -> tuple[int, int]:
@@ -102,118 +94,139 @@ def terms_met(url: str | None, title: str | None, text: str) -> tuple[int, int]:
     return len(slug & body), len(name & body)
 
 
-def said(rest: list[str]) -> float:
-    """Share of the text that its error sentences, notices and stack frames have."""
-    parts = [y for x in rest for y in ([x] if is_notice(x) or _frame.match(x) else _sentence.split(x))]
-    return sum(len(y) for y in parts if ERROR.search(y) or _frame.match(y) or is_notice(y)) / max(1, sum(map(len, parts)))
+def level(line: str) -> str:
+    """The line as it is counted: lower case, without marker, figures, paths, addresses and names of functions levelled."""
+    return _digits.sub("0", _path.sub("§", _lead.sub("", line.lower())))
 
 
-def speaks(markdown: str) -> bool:
-    """Whether lines that are own content whatever stands around them come to over 420 characters and are not all filler or errors.
+def speaks(rules: Rules, markdown: str) -> bool:
+    """Whether a long line is content whatever stands around it and is neither filler nor an error's.
 
-    Such a page cannot be a case by its body, so that most pages are done without the second pass over their blocks.
+    Such a page is not of low information, so that most pages are done without the second pass over their blocks.
     """
-    size, real = 0, False
-    for x in markdown.split("\n"):
-        if len(x) > 60 and line_class(x) == GOOD:
-            size += len(BLANKS.sub(" ", x).strip())
-            real = real or not (filler(x) or (ERROR.search(x) or _frame.match(x)) and said([x]) >= 0.8)
-            if real and size > 420:
-                return True
-    return False
-
-
-def judge(url: str | None, title: str | None, markdown: str | None) -> tuple[int, str, str]:
-    """(2 case, 1 doubtful, 0 none; the low-information body with figures levelled, on which hosts' evidence is gathered; reason)."""
+    return any(len(x) > 60 and rules.tells(x) and said(x) < 0.8 for x in markdown.split("\n"))
+
+
+def said(line: str) -> float:
+    """Share of a line that its sentences with residue terms have."""
+    parts = [y for y in _sentence.split(line) if y]
+    return sum(len(y) for y in parts if hit(y)) / max(1, sum(map(len, parts)))
+
+
+Line = tuple[str, int, str]
+
+
+def judge(rules: Rules, url: str | None, title: str | None, markdown: str | None) -> tuple[str, list[Line], bool, int, int]:
+    """(reason, lines, off, slug terms met, title terms met).
+
+    reason is "placeholder" where the page is a case by itself; lines are (levelled text, size, kind of terms) of a page of
+    low information, and off tells that it has a slug or title and takes up nothing of them.
+    """
+    none = ("", [], False, 0, 0)
     if has_placeholder(title, markdown):
-        return 2, "", "placeholder"
-    if not markdown or speaks(markdown):
-        return 0, "", ""
-    heads, rest = core(markdown)
+        return "placeholder", [], False, 0, 0
+    if not markdown or speaks(rules, markdown):
+        return none
+    heads, rest = core(rules, markdown)
     if any(is_fence(x) for x in rest):
-        return 0, "", ""
-    text = " ".join(rest)
-    if not rest:
-        # nothing but headings: an error page if one of them says so
-        return (2, "", "error") if any(ERROR.search(h) for h in heads) else (0, "", "")
-    if all(filler(x) for x in rest):
-        return 2, "", "filler"
-    key = _digits.sub("0", text.lower())
-    if all(is_notice(x) for x in rest):
-        return 2, key, "notice"
-    if len(rest) > 6 or len(text) > 420:
-        # a longer message: nearly all of it says so; doubtful if it takes up something of its address and title
-        if any(ERROR.search(x) for x in rest) and said(rest) >= 0.8:
-            return (1 if any(terms_met(url, title, text)) else 2), key, "error"
-        return 0, "", ""
-    error = [bool(ERROR.search(x)) or is_notice(x) for x in rest]
-    if all(error) or any(error) and all(e or _server.fullmatch(x) for e, x in zip(error, rest)):
-        # A short message is a case; a longer one only if it takes up nothing of its address and title.
-        short = len(rest) <= 3 and len(text) < 240
-        return (2 if short or not any(terms_met(url, title, text)) else 1), key, "error"
-    if any(error) and len(rest) <= 3 and len(text) < 200 and all(e or len(x) < 90 for e, x in zip(error, rest)):
-        return 1, key, "error"
-    if any(ERROR.search(h) for h in heads) and len(text) < 200:
-        return 2, key, "error"
-    return 0, key if len(text) < 160 else "", ""
-
-
-def _suspects(pages: DataFrame) -> DataFrame:
-    """Pages with a verdict or a low-information body, as a 64-bit hash: written once, since they are used twice.
-
-    name is the page's slug and title; off tells that they have terms and the body takes up none.
+        return none
+    own = rest or [h for h in heads if hit(h)]
+    lines, said_by = [], []
+    for x in own:
+        b = block(x)
+        kind = hit(x) if said(x) >= (0.8 if b is not None and b.long else 0.4) else ""
+        mark = _lead.match(x)
+        # Links, addresses and items that are no sentences are nobody's message, however often they come back.
+        if kind or not (LINK.search(x) or _address.search(x) or mark and not _stop.search(x)):
+            key = level(x)
+            if not kind and _server.fullmatch(x):
+                kind = "error" if any(hit(y) == "error" for y in own) else ""
+            lines.append((key, len(x), kind))
+        else:
+            lines.append(("", len(x), ""))
+        said_by.append(x)
+    if not lines or sum(n for k, n, _ in lines if k) < 0.8 * sum(n for _, n, _ in lines):
+        return none
+    slug, name = terms_met(url, title, " ".join(said_by))
+    return "", lines, not slug and not name, slug, name
+
+
+def _suspects(pages: DataFrame, rules: Rules) -> DataFrame:
+    """Cases by placeholder and pages of low information with their lines as 64-bit hashes: written once, since used twice.
+
+    name is the page's slug and title; named tells that they have terms to answer to.
     """
 
     def rows(ids, urls, titles, texts, sites):
         for i, u, t, x, s in zip(ids, urls, titles, texts, sites):
             if i is not None:
-                v, key, why = judge(u, t, x)
-                if v or key:
-                    slug, name = terms_met(u, t, key)
-                    off = bool(key) and not slug and not name and any(_terms(u, t))
-                    yield i, s, why, v, slug, name, key, f"{(u or '').rstrip('/').rpartition('/')[2]} {t or ''}", off
+                why, lines, off, slug, name = judge(rules, u, t, x)
+                if why or lines:
+                    named = any(_terms(u, t))
+                    yield i, s, why, off, named, slug, name, f"{(u or '').rstrip('/').rpartition('/')[2]} {t or ''}", [{"key": k, "size": n, "kind": w} for k, n, w in lines]
 
     src = pages.select("page_id", "url", "title", "markdown_ir", site_of("url").alias("site"))
-    found = map_arrow(src, rows, "page_id long, site string, reason string, verdict int, slug_terms int, title_terms int, body string, name string, off boolean")
-    return saved(found.withColumn("body", F.when(F.col("body") != "", F.xxhash64("body"))).withColumn("name", F.xxhash64("name")).distinct())
+    found = map_arrow(src, rows, "page_id long, site string, reason string, off boolean, named boolean, slug int, title int, name string, lines array<struct<key:string,size:int,kind:string>>")
+    hashed = F.transform("lines", lambda x: F.struct(F.when(x["key"] != "", F.xxhash64(x["key"])).alias("key"), x["size"].alias("size"), x["kind"].alias("kind")))
+    return saved(found.withColumn("lines", hashed).withColumn("name", F.xxhash64("name")).distinct())
 
 
 def _standing(found: DataFrame) -> DataFrame:
-    """(body, pages, hosts, names, strays): where a body stands; names are different slugs and titles, strays those it does not answer to.
+    """(key, pages, hosts, names, strays): where a line stands; names are different slugs and titles, strays those it does not answer to.
 
-    Counted per (body, site, name) first, so that a body on most pages of a host is spread over its names.
+    Counted per (line, site, name) first, so that a line on most pages of a host is spread over its names.
     """
-    part = found.where("body is not null").groupBy("body", "site", "name").agg(F.countDistinct("page_id").alias("n"), F.min("off").alias("off"))
-    return part.groupBy("body").agg(F.sum("n").alias("pages"), F.countDistinct("site").alias("hosts"), F.countDistinct("name").alias("names"), F.countDistinct(F.when(F.col("off"), F.col("name"))).alias("strays"))
+    lines = found.select("page_id", "site", "name", (F.col("off") & F.col("named")).alias("off"), F.explode("lines").alias("l")).select("page_id", "site", "name", "off", F.col("l.key").alias("key")).where("key is not null")
+    part = lines.groupBy("key", "site", "name").agg(F.countDistinct("page_id").alias("n"), F.min("off").alias("off"))
+    part = part.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min("off").alias("off"), F.collect_set("site").alias("sites"))
+    # a name stands on few sites; sites of a line are counted over them
+    sites = part.select("key", F.explode_outer("sites").alias("site")).groupBy("key").agg(F.countDistinct("site").alias("hosts"))
+    counts = part.groupBy("key").agg(F.sum("n").alias("pages"), F.count("*").alias("names"), F.sum(F.col("off").cast("int")).alias("strays"))
+    return counts.join(sites, "key")
 
 
-#: A body of no listed wording is a host's message if it stands under so many names it does not answer to; each further host is worth a name.
+#: A line of no listed terms is nobody's own if it stands under so many names it does not answer to; each further host is worth a name.
 _message = "names + hosts >= 6 and strays >= 3 and strays >= 0.9 * names"
-
-
-def template_residue(pages: DataFrame) -> DataFrame:
-    """page_id of every page that shows residue instead of content.
-
-    A doubtful page (verdict 1) is a case if the same levelled body stands on two
-    or more pages; a page with any other low-information body (verdict 0) if that
-    body stands, over all hosts, under many slugs and titles and answers to hardly
-    any.  Only suspects and low-information bodies meet in a shuffle, as hashes,
-    and they are counted with a partial aggregate first.
+#: Share of a page's own text that lines that speak against it must have.
+_share = 0.8
+
+
+def _judged(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """(page_id, reason, off, slug, title, said, against, pages, hosts) of every suspect, said and against being sizes of text."""
+    found = _suspects(pages, learned(pages) if rules is None else rules)
+    lines = found.where("reason = ''").select("page_id", "site", "name", "off", "slug", "title", F.posexplode("lines").alias("at", "l")).select("page_id", "site", "name", "off", "slug", "title", "at", "l.*")
+    both = lines.join(_standing(found), "key", "left")
+    against = F.expr(f"(kind <> '' and (off or strays >= 2)) or coalesce({_message}, false)")
+    by = both.groupBy("page_id", "site", "name", "off", "slug", "title").agg(
+        F.sum("size").alias("said"),
+        F.sum(F.when(against, F.col("size")).otherwise(0)).alias("against"),
+        F.max_by("kind", F.when(F.col("kind") != "", F.col("size")).otherwise(0)).alias("kind"),
+        F.max(F.coalesce("pages", F.lit(0))).alias("pages"),
+        F.max(F.coalesce("hosts", F.lit(0))).alias("hosts"),
+    )
+    by = by.select("page_id", F.when(F.col("kind") == "", "message").otherwise(F.col("kind")).alias("reason"), "off", "slug", "title", "said", "against", "pages", "hosts")
+    zero = F.lit(0).cast("long")
+    own = found.where("reason = 'placeholder'").select("page_id", "reason", "off", "slug", "title", F.lit(1).cast("long").alias("said"), F.lit(1).cast("long").alias("against"), zero.alias("pages"), zero.alias("hosts"))
+    return by.union(own)
+
+
+def template_residue(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """page_id of every page that shows residue instead of content."""
+    return _judged(pages, rules).where(F.col("against") >= F.col("said") * F.lit(_share)).select("page_id").distinct()
+
+
+def evidence(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """(page_id, reason, residue, slug_terms, title_terms, same_line_pages, same_line_hosts): what speaks against each suspect.
+
+    residue tells whether the page is a case; slug_terms and title_terms: how many of them the body takes up; same_line_*: on
+    how many pages and hosts the most frequent of its lines stands.  The reason "message" has only where its lines stand.
     """
-    found = _suspects(pages)
-    both = found.select("page_id", "verdict", "body").join(_standing(found), "body", "left")
-    return both.where(f"verdict = 2 or verdict = 1 and pages >= 2 or {_message}").select("page_id").distinct()
+    out = _judged(pages, rules)
+    case = (F.col("against") >= F.col("said") * F.lit(_share)).alias("residue")
+    return out.select("page_id", "reason", case, F.col("slug").alias("slug_terms"), F.col("title").alias("title_terms"), F.col("pages").alias("same_line_pages"), F.col("hosts").alias("same_line_hosts")).distinct()
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """(page_id, reason, verdict, slug_terms, title_terms, same_body_pages, same_body_hosts): what speaks against each suspect.
-
-    slug_terms and title_terms: how many of them the body takes up; same_body_*: on how many pages and hosts the same
-    levelled body stands (0 for placeholders and filler, whose bodies differ).  A page that only where its body stands
-    speaks against has the verdict 0 and the reason "message".
-    """
-    found = _suspects(pages)
-    both = found.join(_standing(found), "body", "left").where(f"verdict > 0 or {_message}")
-    reason = F.when(F.col("verdict") == 0, F.lit("message")).otherwise(F.col("reason")).alias("reason")
-    out = both.select("page_id", reason, "verdict", "slug_terms", "title_terms", F.coalesce("pages", F.lit(0)).alias("same_body_pages"), F.coalesce("hosts", F.lit(0)).alias("same_body_hosts"))
-    return out.distinct()
+def by_itself(rules: Rules, url: str | None, title: str | None, markdown: str | None) -> bool:
+    """Whether a page is a case whatever stands on others: a placeholder, or residue terms and nothing of its address and title."""
+    why, lines, off, _, _ = judge(rules, url, title, markdown)
+    return bool(why) or bool(lines) and off and sum(n for _, n, kind in lines if kind) >= _share * sum(n for _, n, _ in lines)
