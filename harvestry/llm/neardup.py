@@ -1,24 +1,29 @@
 """Problem 6: near-duplicate records with small edits.
 
 Method: universal hash minima over word shingles, banding, verification by
-signature, an exact check of what the signatures leave, and connected components
-by alternating large-star and small-star.
-
-Scale and skew: exact copies (equal shingle sets) become one representative
-before banding, with a partial aggregate, so that a text with a third of all rows
-meets nobody as itself; bands meet in an equi-join, which adaptive execution
-splits where a band is hot; signatures of one byte a slot, 64 of them, go through
-the shuffle to throw out most candidates before any text does; texts are read
-again only for documents of the pairs left.  No pair of different texts that a
-band brings together is dropped, and there is no cap on partners.
+signature, an exact check of what the signatures leave open, and connected
+components by alternating large-star and small-star.
+
+Scale and skew: exact copies (equal shingle sets) are one class, with a partial
+aggregate before banding, so that a text with a third of all rows meets nobody as
+itself; classes, not documents, are the nodes of everything after it, so that a
+page_id with two texts is in two classes and no row is chosen among them.  Bands
+meet in an equi-join, which adaptive execution splits where a band is hot; a pair
+that meets in several bands becomes one in the mapper.  Signatures of one byte a
+slot go through the shuffle: SLOTS of them throw out most candidates, all of them
+decide what lies four standard deviations beyond the threshold.  Only documents of
+pairs between are read again, turned into shingle hashes once each.  No pair of
+different texts that a band brings together is dropped, and there is no cap on
+partners.
 
 Recall: a pair of similarity s meets in a band with 1 - (1 - s**5)**64: 0.994 at
-0.6, 0.99996 at 0.68, all but surely from 0.7 on.  The signature threshold lies
-four standard deviations under the similarity asked for.
+0.6, 0.99996 at 0.68, all but surely from 0.7 on.  A pair is accepted or thrown out
+by signature alone only beyond four standard deviations (an error in some 30 000).
 
 Defined cases: null texts and texts under `least_words` words have no pairs and
 are groups of their own; repeated rows count once; rows without page_id are left
-out; texts are read whole.
+out; texts are read whole; a page_id with different texts has the pairs and groups
+of each of them.
 """
 
 from __future__ import annotations
@@ -73,8 +78,12 @@ def minima(s: np.ndarray) -> np.ndarray:
     return best >> np.uint64(32)
 
 
+def _same(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def sketches(docs: DataFrame, key: str, text: str, size: int, least_words: int) -> DataFrame:
-    """(id, same, bands, sig): hash of the shingle set, band keys, one byte of the first SLOTS minima."""
+    """(id, same, bands, sig): hash of the shingle set, band keys, one byte of each of the minima."""
 
     def rows(ids, texts):
         for i, t in zip(ids, texts):
@@ -84,70 +93,85 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, least_words: int)
                 bands = (m.reshape(BANDS, ROWS) * _M).sum(1, dtype=np.uint64)
                 bands ^= bands >> np.uint64(31)
                 bands = bands * _C[0] + np.arange(BANDS, dtype=np.uint64)
-                yield i, xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), bands.astype(np.int64), (m[:SLOTS] & np.uint64(255)).astype(np.uint8).tobytes()
+                yield i, _same(s), bands.astype(np.int64), (m & np.uint64(255)).astype(np.uint8).tobytes()
 
     return map_arrow(docs.select(key, text), rows, "id long, same long, bands array<long>, sig binary")
 
 
-def _agree(a: bytes, b: bytes) -> float:
-    """Estimated similarity; one in 256 slots agrees by chance."""
-    same = float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
-    return (same - 1 / 256) / (1 - 1 / 256)
+def _estimates(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
+    """Estimated similarities; one in 256 slots agrees by chance."""
+    n = len(sa[0])
+    x = np.frombuffer(b"".join(sa), np.uint8).reshape(-1, n) == np.frombuffer(b"".join(sb), np.uint8).reshape(-1, n)
+    return (x.mean(1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b) with the column of both of their classes, as name_a and name_b."""
+    left = of.select(F.col("same").alias("a"), F.col(name).alias(f"{name}_a"))
+    right = of.select(F.col("same").alias("b"), F.col(name).alias(f"{name}_b"))
+    return pairs.join(left, "a").join(right, "b")
 
 
 def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (id, rep) puts each document to the representative of its exact copies; pairs (a, b, similarity) has the
-    representatives, a < b, of at least the threshold."""
+    """(members, pairs): members (id, same) puts each document into the class of its exact copies; pairs (a, b, similarity) has the
+    classes, a < b, of at least the threshold; similarity is an estimate where the signature decides."""
     sk = saved(sketches(docs, key, text, size, least_words))
-    reps = sk.groupBy("same").agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select("same", "r.*")
-    # the least id again, without the sketches that go with it
-    light = sk.select("id", "same").distinct()
-    members = light.join(light.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
-    bands = reps.select(F.explode("bands").alias("k"), F.col("id").alias("a"))
+    members = sk.select("id", "same").distinct()
+    reps = saved(sk.groupBy("same").agg(F.min(F.struct("bands", "sig")).alias("r")).select("same", "r.*"))
+    bands = reps.select(F.explode("bands").alias("k"), F.col("same").alias("a"))
     met = bands.join(bands.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
-    sig = sk.select("id", "sig").dropDuplicates(["id"])
-    both = met.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    least = threshold - 4 * (threshold * (1 - threshold) / SLOTS) ** 0.5
+    spread = lambda slots: 4 * (threshold * (1 - threshold) / slots) ** 0.5
 
     def likely(a, b, sa, sb):
         if a:
-            x = np.frombuffer(b"".join(sa), np.uint8).reshape(-1, SLOTS) == np.frombuffer(b"".join(sb), np.uint8).reshape(-1, SLOTS)
-            ok = (x.mean(1) - 1 / 256) / (1 - 1 / 256) >= least
-            for i in np.flatnonzero(ok):
+            for i in np.flatnonzero(_estimates(sa, sb) >= threshold - spread(SLOTS)):
                 yield a[i], b[i]
 
-    left = saved(map_arrow(both.select("a", "b", "sa", "sb"), likely, "a long, b long"))
-    wanted = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-    texts = maybe_among(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", wanted).join(wanted, "id").dropDuplicates(["id"])
-    full = left.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-
-    def exact(a, b, ta, tb):
-        cache: dict[int, np.ndarray] = {}
-        for i, j, x, y in zip(a, b, ta, tb):
-            for k, t in ((i, x), (j, y)):
-                if k not in cache:
-                    if len(cache) > 4000:
-                        cache.clear()
-                    cache[k] = shingles(t, size)
-            p, q = cache.get(i), cache.get(j)
-            p = shingles(x, size) if p is None else p
-            q = shingles(y, size) if q is None else q
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            s = common / (len(p) + len(q) - common)
-            if s >= threshold:
-                yield i, j, s
-
-    pairs = map_arrow(full.select("a", "b", "ta", "tb"), exact, "a long, b long, similarity double")
-    return members, pairs
+    def decided(a, b, sa, sb):
+        if a:
+            est, edge = _estimates(sa, sb), spread(ROWS * BANDS)
+            for i in np.flatnonzero(est >= threshold - edge):
+                yield a[i], b[i], float(est[i]), bool(est[i] < threshold + edge)
+
+    few = reps.select("same", F.substring("sig", 1, SLOTS).alias("sig"))
+    left = map_arrow(_both(met, few, "sig").select("a", "b", "sig_a", "sig_b"), likely, "a long, b long")
+    left = saved(map_arrow(_both(left, reps, "sig").select("a", "b", "sig_a", "sig_b"), decided, "a long, b long, similarity double, open boolean"))
+    unsure = left.where("open").select("a", "b")
+    # what signatures leave open: its documents are read again and turned into shingle hashes, once each
+    classes = unsure.select(F.col("a").alias("same")).union(unsure.select(F.col("b").alias("same"))).distinct()
+    wanted = members.join(classes, "same").groupBy("same").agg(F.min("id").alias("id"))
+    thin = maybe_among(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), "id", wanted.select("id"))
+
+    def hashes(ids, texts):
+        for i, t in zip(ids, texts):
+            s = shingles(t, size, least_words)
+            if s is not None:
+                yield i, _same(s), s.tobytes()
+
+    sets = map_arrow(thin.select("id", "t"), hashes, "id long, same long, s binary").join(wanted, ["id", "same"], "left_semi").groupBy("same").agg(F.min("s").alias("s"))
+
+    def exact(a, b, xs, ys):
+        for i, j, x, y in zip(a, b, xs, ys):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            sim = both / (len(p) + len(q) - both)
+            if sim >= threshold:
+                yield i, j, sim
+
+    checked = map_arrow(_both(unsure, sets, "s").select("a", "b", "s_a", "s_b"), exact, "a long, b long, similarity double")
+    return members, left.where("not open").select("a", "b", "similarity").union(checked)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id_a, page_id_b) of the documents themselves, copies expanded."""
-    ma = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    mb = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(ma, "a").join(mb, "b").select("x", "y")
+    ma = members.select(F.col("same").alias("a"), F.col("id").alias("x"))
+    mb = members.select(F.col("same").alias("b"), F.col("id").alias("y"))
+    across = pairs.select("a", "b").join(ma, "a").join(mb, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     within = ma.join(mb, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    return across.union(within).select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))
+    out = across.union(within)
+    # a pair comes twice only through a page_id that has two texts
+    twice = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").limit(1).count()
+    return (out.distinct() if twice else out).select(F.col("x").alias("page_id_a"), F.col("y").alias("page_id_b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,10 +198,15 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
     """(page_id, group_id, links): every document once, its group's least id, and its number of links to other texts."""
     members, pairs = similar(docs, key, text, size, threshold, least_words)
-    members, pairs = saved(members), saved(pairs)
-    root = components(pairs)
-    links = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("links"))
+    members, pairs = saved(members), saved(pairs.select("a", "b"))
+    # texts of one page_id belong together as well
+    first = members.groupBy("id").agg(F.min("same").alias("b"), F.count("*").alias("n"))
+    own = members.join(first.where("n > 1").select("id", "b"), "id").select(F.col("same").alias("a"), "b")
+    root = components(pairs.union(own)).select(F.col("id").alias("same"), "root")
+    links = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "same")
+    in_group = members.join(root, "same", "left").join(links, "same", "left").select("id", F.coalesce("root", "same").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    per = in_group.groupBy("id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
+    least = per.groupBy("root").agg(F.min("id").alias("group_id"))
     ids = docs.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
-    out = ids.join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").join(links.select(F.col("a").alias("rep"), "links"), "rep", "left")
-    return out.select(F.col("id").alias("page_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = ids.join(per.join(least, "root"), "id", "left")
+    return out.select(F.col("id").alias("page_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
