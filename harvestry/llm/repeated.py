@@ -146,9 +146,9 @@ def line_bitmaps(pages: DataFrame) -> DataFrame:
     return part.repartition("lk", "sk", "container").sortWithinPartitions("sk", "lk", "container").mapInArrow(_unite, "sk long, lk long, container long, bitmap binary, n long, first long")
 
 
-def repeated_keys(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
-    """(sk, lk, n, first) of the lines on at least `least` documents and `share` of the site's documents."""
-    counts = line_bitmaps(pages).groupBy("sk", "lk").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+def repeated_keys(bitmaps: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
+    """(sk, lk, n, first) of the lines on at least `least` documents and `share` of the site's documents, by their bitmaps."""
+    counts = bitmaps.groupBy("sk", "lk").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     # Written once and used twice: the site's size comes from its own row (lk 0), not from a second pass.
     kept = saved(counts.where((F.col("n") >= least) | (F.col("lk") == 0)))
     sizes = kept.where("lk = 0").select("sk", F.col("n").alias("size"))
@@ -157,7 +157,7 @@ def repeated_keys(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataF
 
 def repeated_lines(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
     """(site, line, documents).  The text of a line is read again from one of its documents."""
-    keys = repeated_keys(pages, least, share)
+    keys = repeated_keys(line_bitmaps(pages), least, share)
     wanted = keys.groupBy("first").agg(F.collect_set("lk").alias("lks"))  # at most the lines of one page each
     src = pages.select(site_of("url").alias("site"), F.col("page_id").cast("long").alias("page_id"), "markdown_ir")
     src = maybe_among(src, "page_id", wanted.select(F.col("first").alias("id")))
@@ -174,33 +174,51 @@ def repeated_lines(pages: DataFrame, least: int = 5, share: float = 0.1) -> Data
     return texts.join(keys.select(F.col("lk").alias("k"), F.col("n").alias("documents")), "k").select("site", "line", "documents")
 
 
-def without_repeated(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
-    """(page_id, cleaned, deleted): every page's text without its site's repeated lines, deleted by bitmap lookup.
-
-    The bitmaps of repeated lines are turned round to the documents that hold them, and meet the texts on page_id;
-    pages of no site, or with nothing to delete, keep their text.
-    """
-    keys = repeated_keys(pages, least, share)
-    maps = line_bitmaps(pages).join(keys.select("sk", "lk"), ["sk", "lk"], "left_semi").select("lk", "container", "bitmap")
-
-    def documents(lks, containers, bitmaps):
-        for k, c, b in zip(lks, containers, bitmaps):
-            for d in decode(b):
-                yield (c << 16) + int(d), k
-
-    by_page = map_arrow(maps, documents, "p long, lk long").groupBy("p").agg(F.collect_set("lk").alias("lks"))
-    src = pages.select("page_id", site_of("url").alias("site"), "markdown_ir").where("page_id is not null").dropDuplicates(["page_id", "site", "markdown_ir"])
-    both = src.join(by_page, src["page_id"] == by_page["p"], "left").select("page_id", "site", "markdown_ir", "lks")
-
-    def rows(ids, sites, texts, lks):
-        for i, s, t, want in zip(ids, sites, texts, lks):
-            want, kept, gone = set(want or ()), [], 0
-            for x in (t or "").split("\n"):
-                n = normal(x) if want and s else None
-                if n and key_of(s, n) in want:
+def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sk, container, lk): the bitmaps of a site's repeated lines on 65 536 documents, then these documents (lk null)
+    by page_id and text.  A document's line goes if its bitmap has the document."""
+    names, kinds = ["page_id", "cleaned", "deleted"], [pa.int64(), pa.string(), pa.int32()]
+    at, maps, last = None, {}, None
+    for b in batches:
+        out = []
+        for sk, container, lk, bitmap, page, site, text in zip(*(c.to_pylist() for c in b.columns)):
+            if (sk, container) != at:
+                at, maps = (sk, container), {}
+            if lk is not None:
+                maps[lk] = decode(bitmap)
+                continue
+            if (sk, page, text) == last:
+                continue  # the row repeated
+            last = (sk, page, text)
+            kept, gone, low = [], 0, page & 0xFFFF
+            for x in (text or "").split("\n"):
+                n = normal(x) if maps else None
+                m = maps.get(key_of(site, n)) if n else None
+                if m is not None and (k := int(np.searchsorted(m, low))) < len(m) and m[k] == low:
                     gone += 1
                 else:
                     kept.append(x)
-            yield i, "\n".join(kept), gone
+            out.append((page, "\n".join(kept), gone))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+
+def without_repeated(pages: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
+    """(page_id, cleaned, deleted): every page's text without its site's repeated lines, deleted by bitmap lookup.
 
-    return map_arrow(both, rows, "page_id long, cleaned string, deleted int")
+    The bitmaps are built once and written; those of the repeated lines meet the documents of their container (65 536 ids of
+    a site), where each line of a page is looked up.  A site has at most 1 / share times as many repeated lines as its pages
+    have on average, so that what a task holds of them does not grow with the data.  Pages of no site keep their text.
+    """
+    bitmaps = saved(line_bitmaps(pages))
+    keys = repeated_keys(bitmaps, least, share)
+    none = lambda t: F.lit(None).cast(t)
+    maps = bitmaps.join(keys.select("sk", "lk"), ["sk", "lk"], "left_semi").select("sk", "container", "lk", "bitmap", none("long").alias("page_id"), none("string").alias("site"), none("string").alias("text"))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), site_of("url").alias("site"), F.col("markdown_ir").alias("text")).where("page_id is not null")
+
+    def keyed(ids, sites, texts):
+        return ((key_of(s, "") if s else None, i >> 16, i, s, t) for i, s, t in zip(ids, sites, texts))
+
+    docs = map_arrow(src, keyed, "sk long, container long, page_id long, site string, text string").select("sk", "container", none("long").alias("lk"), none("binary").alias("bitmap"), "page_id", "site", "text")
+    both = maps.union(docs).repartition("sk", "container").sortWithinPartitions("sk", "container", F.col("lk").asc_nulls_last(), "page_id", "text")
+    return both.mapInArrow(_delete, "page_id long, cleaned string, deleted int")
