@@ -3,9 +3,13 @@
 Method: pattern packing by non-negative least squares.  Lengths go into at most
 BINS bins; patterns of up to three bins that fill a container are enumerated; the
 repeat counts that best fit the histogram solve a non-negative least squares
-problem; they are rounded down, made exact (each pattern takes the longest items
-of its bins, then the longest that still fit), and what is left is packed
-from the longest down, filling each container with the longest items that fit.
+problem; they are rounded down and made exact (each pattern takes the longest items
+of its bins, then the longest that still fit).  The histogram of what is left is
+fitted again, until no pattern repeats, and the rest is packed from the longest
+down, filling each container with the longest items that fit.  This is done with
+bins over a tenth and over a quarter of the capacity, with half of the repeats, and
+with no fitted pattern; the plan of the fewest containers is taken, so that the
+patterns never cost a container.
 
 Everything but sizes and places works on the histogram of lengths, whose size is
 the capacity's, not the data's.  Items get their places by rank within their
@@ -31,18 +35,23 @@ BINS = 128
 BUCKET = 50_000
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
-    """min |ax - b| with x >= 0, by the active set method on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |ax - b| with x >= 0, by the active set method on the normal equations, to the end.
+
+    Every step lowers the residual, so that no active set comes twice; a step that does not, for want of precision, ends it.
+    """
     gram, rhs = a.T @ a, a.T @ b
     x = np.zeros(a.shape[1])
     active: list[int] = []
-    for _ in range(steps):
+    least, tiny = np.inf, 1e-9 * max(1.0, abs(rhs).max(initial=0.0))
+    while True:
         grad = rhs - gram @ x
         grad[active] = -np.inf
         j = int(np.argmax(grad))
-        if grad[j] <= 1e-9 * max(1.0, abs(rhs).max()):
-            break
+        if grad[j] <= tiny:
+            return x
         active.append(j)
+        best = x.copy()
         while active:
             k = np.array(active)
             z = np.linalg.lstsq(gram[np.ix_(k, k)], rhs[k], rcond=None)[0]
@@ -55,7 +64,10 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
             x[k] += ratio.min() * (z - x[k])
             active = [int(i) for i in k if x[i] > 1e-12]
             x[[i for i in range(len(x)) if i not in set(active)]] = 0
-    return x
+        now = float(x @ gram @ x - 2 * rhs @ x)
+        if now >= least - 1e-12 * max(1.0, abs(least) if np.isfinite(least) else 1.0):
+            return best
+        least = now
 
 
 def patterns(bins: int, most: int = 3) -> list[tuple[int, ...]]:
@@ -85,20 +97,21 @@ class _Stock:
         return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns {length: times} with their repeats, which use up counts[1..capacity]."""
-    stock, out = _Stock(counts), []
+class _Packer:
+    """A packing under way: the items left, and the exact patterns so far."""
 
-    def take(first: list[tuple[int, int]], repeats: int) -> int:
-        """One exact pattern, as often as stock and repeats allow; the bins' ranges are tried first, then whatever fits."""
-        left, pattern = capacity, {}
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.stock, self.capacity = _Stock(counts), capacity
+        self.out: list[tuple[dict[int, int], int]] = []
 
-        def free(x: int) -> bool:
-            return stock.n[x] > pattern.get(x, 0)
+    def take(self, first: list[tuple[int, int]], repeats: int) -> int:
+        """One exact pattern, as often as stock and repeats allow; the bins' ranges are tried first, then whatever fits."""
+        stock, left = self.stock, self.capacity
+        pattern: dict[int, int] = {}
 
         def best(limit: int, least: int = 1) -> int:
             x = stock.longest(limit)
-            while x >= least and not free(x):
+            while x >= least and stock.n[x] <= pattern.get(x, 0):
                 x = stock.longest(x - 1)
             return x if x >= least else 0
 
@@ -117,33 +130,54 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
         times = min([repeats, *(int(stock.n[x]) // k for x, k in pattern.items())])
         for x, k in pattern.items():
             stock.n[x] -= k * times
-        out.append((pattern, times))
+        self.out.append((pattern, times))
         return times
 
-    bins = min(BINS, capacity)
-    edge = [capacity * b // bins for b in range(bins + 1)]  # bin b holds lengths edge[b-1]+1 .. edge[b]
-    hist = np.add.reduceat(np.r_[counts[1 : capacity + 1], 0], edge[:-1])[:bins].astype(float)
-    # Only bins over a tenth of the capacity: shorter items fill what patterns leave.
-    wide = [p for p in patterns(bins) if all(b > bins // 10 for b in p) and all(hist[b - 1] > 0 for b in p)]
-    if wide:
+    def fit(self, least: int, part: float = 1.0) -> bool:
+        """Patterns of bins over `least` fitted to the histogram of the items left, `part` of their repeats taken; whether any was."""
+        bins = min(BINS, self.capacity)
+        edge = [self.capacity * b // bins for b in range(bins + 1)]  # bin b holds lengths edge[b-1]+1 .. edge[b]
+        hist = np.add.reduceat(np.r_[self.stock.n[1 : self.capacity + 1], 0], edge[:-1])[:bins].astype(float)
+        wide = [p for p in patterns(bins) if all(b > least for b in p) and all(hist[b - 1] > 0 for b in p)]
+        if not wide:
+            return False
         a = np.zeros((bins, len(wide)))
         for j, p in enumerate(wide):
             for b in p:
                 a[b - 1, j] += 1
         # long items matter most: they are the hardest to place
         weight = np.sqrt(np.arange(1, bins + 1) / bins)
-        x = np.floor(nnls(a * weight[:, None], hist * weight) + 1e-6).astype(np.int64)
+        x = np.floor(nnls(a * weight[:, None], hist * weight) * part + 1e-6).astype(np.int64)
+        some = False
         for j in np.argsort([-max(p) for p in wide], kind="stable"):
             repeats = int(x[j])
             while repeats > 0:
                 # the last bin gives way to the longest item that fits
-                took = take([(edge[b - 1] + 1, edge[b]) for b in wide[j][:-1]], repeats)
+                took = self.take([(edge[b - 1] + 1, edge[b]) for b in wide[j][:-1]], repeats)
                 if not took:
                     break
                 repeats -= took
-    while stock.longest(capacity) > 0:
-        take([], 1 << 60)
-    return out
+                some = True
+        return some
+
+
+def plans(counts: np.ndarray, capacity: int) -> list[list[tuple[dict[int, int], int]]]:
+    """Ways to use up counts[1..capacity]: patterns of bins over a tenth and over a quarter of the capacity, half of the repeats
+    of the latter, and no fitted pattern at all."""
+    bins, ways = min(BINS, capacity), []
+    for least, part in ((bins // 10, 1.0), (bins // 4, 1.0), (bins // 4, 0.5), (bins, 0.0)):
+        p = _Packer(counts, capacity)
+        while part and p.fit(least, part) and part == 1.0:
+            pass
+        while p.stock.longest(capacity) > 0:
+            p.take([], 1 << 60)
+        ways.append(p.out)
+    return ways
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns {length: times} with their repeats: the plan of the fewest containers, fitted patterns first where plans are equal."""
+    return min(plans(counts, capacity), key=lambda out: sum(times for _, times in out))
 
 
 def packed(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
