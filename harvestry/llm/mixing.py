@@ -22,6 +22,7 @@ allow, or `total` tokens if given and allowed.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, fill:
     l = dict.fromkeys(want, 0.0)
     low, high = dict.fromkeys(want, -math.inf), dict.fromkeys(want, math.inf)
     src, t = F.col("source"), F.col("tokens")
+    worst = 0.0
     for _ in range(rounds):
         rate = F.least(_case(src, cap), F.exp(F.least(_case(src, l) * t / _case(src, scale), F.lit(600.0))))
         free = rate < _case(src, cap)
@@ -98,6 +100,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, fill:
                 l[s] = step
         if worst < 1e-7:
             break
+    else:
+        warnings.warn(f"the mix is within {worst:.1e} of its targets after {rounds} rounds", stacklevel=2)
 
     rate = F.least(_case(src, cap), F.exp(F.least(_case(src, l) * t / _case(src, scale), F.lit(600.0))))
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
