@@ -18,15 +18,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import map_arrow
 
-# Sentence_Terminal characters of the scripts (STerm) and the full stops that need a look around (ATerm).
-STERM = "!?‼‽⁇⁈⁉。．！？｡؟۔।॥၊။።፧፨᙮។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫։՜՞𑁇𑁈"
-WIDE = frozenset("。．！？｡؟۔।॥။።፧፨᙮។៕᠃᠉։՜՞")
-_event = re.compile(rf"[.…{STERM}]+|[\"“”„«»「『《(（【〈]")
+# Characters whose Sentence_Break property is STerm, of all scripts; full stops (ATerm) need a look around.
+STERM = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if regex.match(r"\p{Sentence_Break=STerm}", c)) + "．"
+#: Those that end a sentence without a blank after them.
+WIDE = frozenset(STERM) - frozenset("!?‼‽⁇⁈⁉⸮")
+_event = re.compile(rf"[.…{re.escape(STERM)}]+|[\"“”„«»「『《(（【〈]")
 # Marks that close.  Those that open as well count only where a blank or nothing follows; pairs are taken as wholes before.
 _close = re.compile(r"(?:[”’»」』》)）】〉\]]|[\"](?=\s|$))*")
 CLOSER = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "(": ")", "（": "）", "”": "”"}
@@ -35,7 +37,7 @@ TITLE_MARKS = frozenset("《〈")
 
 # Abbreviations no sentence ends in, whatever follows.
 NEVER = frozenset(
-    "dr prof mr mrs ms mme mmes mlle mgr me mt st ste sr sra srta dra d ing rev hon gen col capt lt sgt jr vs viz cf e.g i.e esp incl resp"
+    "dr prof sen rep gov pres mr mrs ms mme mmes mlle mgr me mt st ste sr sra srta dra d ing rev hon gen col capt lt sgt jr vs viz cf e.g i.e esp incl resp"
     " fa hr fr frl bzw vgl z.b d.h u.a u.u o.ä z.t sog ggf inkl"
     " p.ex c.-à-d av bd"
     " p.ej ee ud uds dña"
@@ -43,16 +45,22 @@ NEVER = frozenset(
     " डॉ श्री प्रो د أ م ص".split()
 ) - {"d", "me", "fr", "ste"}
 # Abbreviations that go with a number after them.
-NUMBER = frozenset("no nos nr nrn n fig figs abb sec secs art arts p pp pag pág págs vol vols ed ch chap kap bd par ext est approx ca c circa tel рис стр табл гл ч п № รูป".split())
+NUMBER = frozenset("eq eqs no nos nr nrn n fig figs abb sec secs art arts p pp pag pág págs vol vols ed ch chap kap bd par ext est approx ca c circa tel рис стр табл гл ч п № รูป".split())
 MONTHS_DE = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jan|Feb|Apr|Aug|Sept?|Okt|Nov|Dez)\b")
 SPEECH = re.compile(
     r"\b(?:said|asked|wrote|replied|added|answered|noted|cried|called|explained|says|asks|sagte|fragte|rief|meinte|schrieb|erklärte|dit|demande|demanda|répondit|dijo|preguntó|respondió|сказал|сказала|спросил|спросила|ответил)\b|कहा|पूछा|बोल|说|問|问|道|写|話し|言っ|尋ね|قال|سأل|กล่าว|ถาม|บอก"
 )
+# Words that go with a country's initials before them.
+INSTITUTIONS = frozenset("Senate Congress House Army Navy Air Marine Marines Coast Supreme Court District Government Department President Treasury Constitution Embassy Ambassador Attorney Secretary Forces Dollar Dollars Open Census Postal Citizen Citizens".split())
+#: Characters before a full stop that can matter: no abbreviation is longer.
+_LOOK = 2 + max(map(len, NEVER | NUMBER))
 _item = re.compile(r"[ \t　]*(?:[-*•‣▪◦]|\(?(\d{1,3})[.)])[ \t　]+(?=\S)")
 _empty = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _before = re.compile(r"[\w'’№-]+(?:\. ?[\w'’]+)*$")
 _tail_word = re.compile(r"[^\W\d_][\w'’-]*$")
 _odd = re.compile(r"[a-zà-ÿ]+[A-Z]\w*|[a-z][\w-]*\.[a-z]{2,4}\b|https?://|www\.")
+_first_word = re.compile(r"\w+")
+_clause = re.compile(r"[^。！？.!?，、,;:]*")
 _thai = re.compile(r"[฀-๿]")
 _pair = re.compile(r"(?:z\.\s*B|z\.\s*T|d\.\s*h|u\.\s*a|o\.\s*ä|p\.\s*ex|p\.\s*ej|т\.\s*е|т\.\s*к|т\.\s*д|т\.\s*п|EE\.\s*UU|p\.\s*m|a\.\s*m)\.")
 _multi = re.compile(r"(?:^|[\s(])(т\.\s*е|т\.\s*к|z\.\s*B|d\.\s*h|u\.\s*a|o\.\s*ä|z\.\s*T|p\.\s*ex|p\.\s*ej|i\. ?e|e\. ?g|c\.-à-d)$")
@@ -74,7 +82,7 @@ def _stop_ends(t: str, i: int, j: int, unit: int = 0) -> bool:
         return True
     c = t[k]
     tight = k == j
-    word = _before.search(t, max(0, i - 40), i)
+    word = _before.search(t, max(0, i - _LOOK), i)
     w = word.group() if word else ""
     last = _tail_word.search(w)
     last = last.group() if last else ""
@@ -104,7 +112,7 @@ def _stop_ends(t: str, i: int, j: int, unit: int = 0) -> bool:
         while m < n and t[m].isspace():
             m += 1
         return not (m < n and t[m].islower()) and c not in ",;:"
-    low = last.lower()
+    low = re.split("['’]", last.lower())[-1] if "'" in last or "’" in last else last.lower()
     if w and w[-1].isdigit() and not last:
         digits = re.search(r"\d+$", w).group()
         return not (len(digits) <= 2 and MONTHS_DE.match(t, k))
@@ -115,6 +123,10 @@ def _stop_ends(t: str, i: int, j: int, unit: int = 0) -> bool:
         alone = start <= unit or t[start - 1].isspace() or t[start - 1] in "(\"“„«"
         if alone and (last.isupper() or _caseless(last)):
             return False
+        if not alone and last.isupper() and t[start - 1] == "." and start > 1 and t[start - 2].isupper() and c.isupper():
+            # initials end a sentence unless the next word goes with them
+            m = _first_word.match(t, k)
+            return not (m and m.group() in INSTITUTIONS)
     if low in NEVER and (len(low) > 1 or _caseless(low)):
         return False
     if _marked.search(t, max(0, i - 6), i):
@@ -146,6 +158,17 @@ def _mark_ends(t: str, i: int, j: int) -> bool:
     return c not in ",;:"
 
 
+def _pairs(t: str, c: str) -> dict[int, int]:
+    """Places of the opening marks c with those of their closing marks."""
+    out, held = {}, []
+    for m in re.finditer(f"[{re.escape(c + CLOSER[c])}]", t):
+        if m.group() == c:
+            held.append(m.start())
+        elif held:
+            out[held.pop()] = m.start()
+    return out
+
+
 def _prose(t: str, base: int) -> Iterator[tuple[int, int]]:
     """Sentence units of one paragraph (no list items), as offsets with base added."""
     n, start, at = len(t), 0, 0
@@ -155,6 +178,16 @@ def _prose(t: str, base: int) -> Iterator[tuple[int, int]]:
             k += 1
         return k
 
+    places: dict[str, int] = {}
+    pairs: dict[str, dict[int, int]] = {}
+
+    def closing(x: str, j: int) -> int:
+        """The next place of x from j on, or -1; each stretch of the text is searched once."""
+        p = places.get(x, -2)
+        if p == -2 or 0 <= p < j:
+            p = places[x] = t.find(x, j)
+        return p
+
     start = skip(0)
     while at < n:
         m = _event.search(t, at)
@@ -170,20 +203,18 @@ def _prose(t: str, base: int) -> Iterator[tuple[int, int]]:
             if c in "”":
                 at = j
                 continue
-            ends = [p for p in (t.find(x, j) for x in CLOSER[c]) if p >= 0]
+            ends = [p for p in (closing(x, j) for x in CLOSER[c]) if p >= 0]
             if not ends:
                 at = j
                 continue
             e = min(ends)
             if c in PAREN:
-                depth, e = 1, j
-                while e < n and depth:
-                    depth += (t[e] == c) - (t[e] == CLOSER[c])
-                    e += 1
-                if depth:
+                if c not in pairs:
+                    pairs[c] = _pairs(t, c)
+                if i not in pairs[c]:
                     at = j
                     continue
-                e -= 1
+                e = pairs[c][i]
             inner = t[j:e].rstrip()
             ended = bool(inner) and (inner[-1] in STERM or inner[-1] in ".…")
             first = i <= start or not t[start:i].strip("¿¡ \n\t\"“„«(")
@@ -200,7 +231,7 @@ def _prose(t: str, base: int) -> Iterator[tuple[int, int]]:
             elif first:
                 if k == at and (x.isalpha() or x.isdigit()):
                     continue
-                if SPEECH.search(" ".join(t[k : k + 60].split()[:4])):
+                if SPEECH.search(" ".join(_clause.match(t, k).group().split()[:4])):
                     continue
             yield base + start, base + at
             start = at = k
