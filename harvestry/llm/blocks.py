@@ -58,9 +58,11 @@ _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _term = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]+|[^\W\d_ぁ-ゖ゛-ヿ一-鿿]+|\d+|[©·»>:：!！?？]")
 _cjk = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]")
 _kana = re.compile(r"[ぁ-ゖ]")
-_end = re.compile(r"[.!?…。！？:;][\"'”’»›」』)\]*_]*$")
 # Names of a site's front page, by language.
 HOME = {"home", "startseite", "accueil", "inicio", "ホーム", "トップ"}
+_closers = "\"'”’»›」』)]*_"
+_ends = frozenset(".!?…。！？:;")
+_ten = frozenset("0123456789")
 _marks = re.compile(r"[\\={}|<&$~]")
 _figures = re.compile(r"\|\s*[\d.,:%-]+\s*(?:\||$)")
 _crumb = re.compile(r"(?:^|\s)[/»›>](?:\s|$)")
@@ -99,13 +101,14 @@ class Block:
     __slots__ = ("bullet", "crumbs", "dense", "end", "head", "image", "key", "kind", "linked", "local", "marked", "names", "shapes", "terms", "words")
 
     def __init__(self, raw: str):
-        s = BLANKS.sub(" ", raw).strip()
+        s = " ".join(raw.split())
         self.key, self.kind = s.lower(), OPEN
-        low = self.key
-        level = len(low) - len(low.lstrip("#"))
-        self.head = level if 0 < level <= 6 and low[level : level + 1] == " " else 0
-        if self.head:
-            low = low[level:].strip()
+        low, c = self.key, s[:1]
+        self.head = 0
+        if c == "#":
+            level = len(low) - len(low.lstrip("#"))
+            if level <= 6 and low[level : level + 1] == " ":
+                self.head, low = level, low[level:].strip()
         m = _marker.match(low)
         self.bullet = bool(m)
         if m:
@@ -113,21 +116,26 @@ class Block:
         self.image = low.startswith("![")
         links = LINK.findall(low) if "](" in low else []
         text = LINK.sub(r"\1", low) if links else low
-        words = _word.findall(text)
-        cjk = len(_cjk.findall(text))
-        self.words = max(len(words), cjk // 2)
-        stops = len(_kana.findall(text)) / 2 if cjk else sum(w in STOP for w in words)
+        found = _term.findall(text)
+        if _cjk.search(text):
+            self.terms = frozenset(terms(text))
+            cjk = len(_cjk.findall(text))
+            self.words = max(len(found), cjk // 2)
+            stops = len(_kana.findall(text)) / 2
+        else:
+            self.terms = frozenset(["0" if w[0] in _ten else w for w in found])
+            self.words = len(found)
+            stops = sum(map(STOP.__contains__, found))
         self.dense = stops / max(1, self.words)
         #: share of the text that links have, and how many links lead into the site itself if no other does
-        self.linked = sum(len(a) for a, _ in links) / max(1, len(text))
+        self.linked = sum(len(a) for a, _ in links) / max(1, len(text)) if links else 0.0
         local = [u for _, u in links if u.startswith("/") and not u.startswith("//") and "go?" not in u]
         self.local = len(local) if len(local) == len(links) and not self.image else 0
-        self.end = bool(_end.search(text))
+        self.end = text.rstrip(_closers)[-1:] in _ends and bool(text)
         self.marked = bool(_marks.match(low)) or low.startswith("> ")
-        self.names = bool(_crumb.search(text)) and not self.end
+        self.names = not self.end and bool(_crumb.search(text))
         self.crumbs = self.names and _crumb.split(text)[0].strip() in HOME
-        self.terms = frozenset(terms(text))
-        shapes = [f"\x01n{min(6, int(math.log2(self.words + 1)))}", f"\x01s{min(4, int(self.dense * 8))}", f"\x01e{int(self.end)}"]
+        shapes = [f"\x01n{min(6, (self.words + 1).bit_length() - 1)}", f"\x01s{min(4, int(self.dense * 8))}", f"\x01e{int(self.end)}"]
         if self.bullet:
             shapes.append("\x01i")
         if links:

@@ -9,14 +9,13 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
     " augue ligula risus ipsum pretium justo lorem mollis quam tempus vero porta lectus felis ornare viverra ullam varius semper dapibus massa tortor morbi nostra vestibulum curabitur pellentesque vitae vel nec ac at eget donec praesent fusce integer maecenas nunc odio orci purus rhoncus sapien sodales tellus tincidunt turpis ultrices urna vivamus volutpat".split()
 )
-# Sample copy of site builders.
+# Sample copy of site builders, in lower case.
 SAMPLE = re.compile(
     r"sample copy|dummy text|placeholder|your content will appear|click here to edit|write something about your|describe your offer|add a short biography|replace with your own"
     r"|blindtext|mustertext|platzhalter|hier klicken, um diesen|beschreiben sie hier ihr|hier steht (?:ihr|dein)|faux texte|texte d[’']exemple|texte de remplacement|cliquez ici pour modifier|décrivez ici votre|votre contenu"
     r"|texto de relleno|texto de ejemplo|haz clic aquí para|describe aquí|tu contenido|見本の文章|本文が入ります|この段落を編集|ここをクリックして|ダミーテキスト|サンプルテキスト",
-    re.I,
 )
-# Terms of error and host messages; the reason phrases of HTTP are among them.
+# Terms of error and host messages, in lower case; the reason phrases of HTTP are among them.
 ERROR = re.compile(
     r"\b(?:not|n't|n’t|cannot|could not|nowhere to) be found\b|\bnot found\b|can[’']t (?:be found|find)|no longer (?:exists?|available|here)|(?:page|file|resource|url|site)\b[^.!?]{0,40}\b(?:moved|never existed|does ?n[o’']t exist|is missing)|page you are looking for"
     r"|(?:access|permission) (?:is |was )?denied|forbidden|unauthori[sz]ed|don[’']t have permission|not authori[sz]ed|method not allowed|not acceptable|bad (?:gateway|request)|gateway time-?out|request time-?out|service (?:is )?unavailable|temporarily (?:un(?:able|available)|down|offline)|internal (?:server )?error|server error|not implemented"
@@ -28,7 +27,6 @@ ERROR = re.compile(
     r"|no se (?:ha )?encontr|no encontrad|no existe|acceso denegado|no tienes permiso|error interno|no está disponible|en mantenimiento|vuelve a intentarlo|sesión (?:ha )?caducad|ha ocurrido un error"
     r"|non (?:è stata )?trovat[ao]|accesso negato|non disponibile|não (?:foi )?encontrad[ao]|acesso negado|indisponível|niet gevonden|toegang geweigerd|nie znaleziono|не найден|доступ запрещ|ошибка \d+"
     r"|見つかりません|見つかりませんでした|アクセス(?:が|は)?(?:拒否|でき)|権限がありません|混み合って|お試しください|メンテナンス|エラー|利用できません|存在しません|未找到|找不到|无法访问",
-    re.I,
 )
 # Shapes of stack frames.
 FRAME = re.compile(r"(?:#\d+ |at [\w.$<>]+\(|File \"[^\"]+\", line \d+|in /\S+ on line \d+|(?:[\w-]*/)+[\w.-]+[:(]\d+\)?)")
@@ -41,17 +39,23 @@ BROWSER_CHECK = re.compile(
     r"(?:check|verify)(?:ing)?\b[^.!?]{0,30}\b(?:your )?browser|browser wird[^.!?]{0,20}(?:ge|über)prüft|vérifi[^.!?]{0,30}navigateur|(?:comprob|verific)[^.!?]{0,30}navegador|ブラウザ[^。]{0,10}確認|(?:verify|confirm)[^.!?]{0,20} you are (?:a )?human",
     re.I,
 )
+# Every notice has one of these.
+_hints = ("script", "skript", "スクリプト", "browser", "navigateur", "navegador", "ブラウザ", "human")
 _w = re.compile(r"[^\W_]+")
 
 
 def filler(line: str) -> bool:
-    words = _w.findall(line.lower())
-    return bool(SAMPLE.search(line)) or len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
+    low = line.lower()
+    words = _w.findall(low)
+    return bool(SAMPLE.search(low)) or len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words)
 
 
 def notice(text: str) -> bool:
     """Whether a short text tells that scripts or a browser check are needed."""
-    return len(text) <= 300 and bool(SCRIPTS.search(text) or BROWSER_CHECK.search(text))
+    if len(text) > 300:
+        return False
+    low = text.lower()
+    return any(w in low for w in _hints) and bool(SCRIPTS.search(low) or BROWSER_CHECK.search(low))
 
 
 def hit(text: str) -> str:
@@ -60,4 +64,4 @@ def hit(text: str) -> str:
         return "notice"
     if filler(text):
         return "filler"
-    return "error" if ERROR.search(text) or FRAME.match(text) else ""
+    return "error" if ERROR.search(text.lower()) or FRAME.match(text) else ""

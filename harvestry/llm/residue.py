@@ -82,8 +82,9 @@ def core(rules: Rules, markdown: str | None) -> tuple[list[str], list[str]]:
 
 def _terms(url: str | None, title: str | None) -> tuple[set[str], set[str]]:
     slug = {w for w in _w.findall((url or "").rstrip("/").rpartition("/")[2].lower()) if len(w) > 4 and not w.isdigit()}
-    words = _w.findall((title or "").lower())
-    name = set() if ERROR.search(title or "") or SAMPLE.search(title or "") else {w for w in words if len(w) > 4 and not w.isdigit()}
+    low = (title or "").lower()
+    words = _w.findall(low)
+    name = set() if ERROR.search(low) or SAMPLE.search(low) else {w for w in words if len(w) > 4 and not w.isdigit()}
     return slug - GENERIC, name - GENERIC
 
 
@@ -104,7 +105,19 @@ def speaks(rules: Rules, markdown: str) -> bool:
 
     Such a page is not of low information, so that most pages are done without the second pass over their blocks.
     """
-    return any(len(x) > 60 and rules.tells(x) and said(x) < 0.8 for x in markdown.split("\n"))
+    return any(len(x) > 60 and rules.tells(x) and _says_else(x) for x in markdown.split("\n"))
+
+
+def _says_else(line: str) -> bool:
+    """said(line) < 0.8, without going on when that is clear."""
+    parts = [y for y in _sentence.split(line) if y]
+    rest = 0.2 * sum(map(len, parts))
+    for y in parts:
+        if not hit(y):
+            rest -= len(y)
+            if rest < -1e-9:
+                return True
+    return False
 
 
 def said(line: str) -> float:
