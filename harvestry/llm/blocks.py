@@ -260,7 +260,7 @@ def draw(pages: DataFrame, key: str, title: str, text: str, sample: int = SAMPLE
     name = F.col(title if title in pages.columns else key).cast("string")
     src = pages.select(F.col(key).alias("k"), name.alias("title"), F.col(text).alias("text")).where("k is not null and length(text) between 1 and %d" % SAMPLE_CHARS)
     src = src.withColumn("h", F.xxhash64("k", "title", "text"))
-    share = min(1.0, 4 * sample / n)
+    share = min(1.0, 1.25 * sample / n)
     if share < 1:
         src = src.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = src.groupBy("h").agg(F.min("title").alias("title"), F.min("text").alias("text")).orderBy("h").limit(sample).collect()
