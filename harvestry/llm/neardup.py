@@ -117,8 +117,7 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
     classes, a < b, of at least the threshold; similarity is an estimate where the signature decides."""
     sk = saved(sketches(docs, key, text, size, least_words))
     members = sk.select("id", "same").distinct()
-    reps = saved(sk.groupBy("same").agg(F.min(F.struct("bands", "sig")).alias("r")).select("same", "r.*"))
-    bands = reps.select(F.explode("bands").alias("k"), F.col("same").alias("a"))
+    bands = sk.groupBy("same").agg(F.min("bands").alias("bands")).select(F.explode("bands").alias("k"), F.col("same").alias("a"))
     met = bands.join(bands.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
     spread = lambda slots: 4 * (threshold * (1 - threshold) / slots) ** 0.5
 
@@ -133,9 +132,11 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
             for i in np.flatnonzero(est >= threshold - edge):
                 yield a[i], b[i], float(est[i]), bool(est[i] < threshold + edge)
 
-    few = reps.select("same", F.substring("sig", 1, SLOTS).alias("sig"))
-    left = map_arrow(_both(met, few, "sig").select("a", "b", "sig_a", "sig_b"), likely, "a long, b long")
-    left = saved(map_arrow(_both(left, reps, "sig").select("a", "b", "sig_a", "sig_b"), decided, "a long, b long, similarity double, open boolean"))
+    few = sk.groupBy("same").agg(F.min(F.substring("sig", 1, SLOTS)).alias("sig"))
+    left = saved(map_arrow(_both(met, few, "sig").select("a", "b", "sig_a", "sig_b"), likely, "a long, b long"))
+    nodes = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
+    whole = maybe_among(sk.select("same", "sig"), "same", nodes).groupBy("same").agg(F.min("sig").alias("sig"))
+    left = saved(map_arrow(_both(left, whole, "sig").select("a", "b", "sig_a", "sig_b"), decided, "a long, b long, similarity double, open boolean"))
     unsure = left.where("open").select("a", "b")
     # what signatures leave open: its documents are read again and turned into shingle hashes, once each
     classes = unsure.select(F.col("a").alias("same")).union(unsure.select(F.col("b").alias("same"))).distinct()
