@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,28 +54,52 @@ def fnv1a(c: Column) -> Column:
     return F.aggregate(octets, F.lit(-3750763034362895579).cast("long"), step)
 
 
-def _fnv(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+def _fnv_all(parts: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a of each byte string, all of them a byte at a time: the longest first, so that those done fall away."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    order = np.argsort(-sizes, kind="stable")
+    starts = np.r_[0, np.cumsum(sizes)[:-1]][order]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    left = len(parts) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), "right")
+    h = np.full(len(parts), 14695981039346656037, np.uint64)
+    for p, n in enumerate(left):
+        h[:n] = (h[:n] ^ data[starts[:n] + p]) * np.uint64(1099511628211)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def simhashes(texts: list[list[str]]) -> np.ndarray:
+    """64-bit SimHashes over windows of three tokens; 0 for under five tokens."""
+    out = np.zeros(len(texts), np.int64)
+    some = [i for i, w in enumerate(texts) if len(w) >= 5]
+    if not some:
+        return out
+    parts: list[bytes] = []
+    ends = []
+    for i in some:
+        w = [x.encode() for x in texts[i]]
+        parts += [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)]
+        ends.append(len(parts))
+    h = _fnv_all(parts)
+    begins = np.array([0, *ends[:-1]], np.int64)
+    sizes = np.diff(np.array([0, *ends], np.int64))
+    v = np.zeros(len(some), np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), begins)
+        v |= (ones * 2 > sizes).astype(np.uint64) << np.uint64(bit)
+    out[some] = v.view(np.int64)
+    return out
 
 
 def simhash_of(words: list[str]) -> int:
-    """64-bit SimHash over windows of three tokens; under five tokens 0."""
-    if len(words) < 5:
-        return 0
-    h = np.array([_fnv(" ".join(words[i : i + 3]).encode()) for i in range(len(words) - 2)], np.uint64)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(0, dtype=np.int64) * 2 > len(h)
-    v = int.from_bytes(np.packbits(ones).tobytes(), "big")
-    return v - (1 << 64) if v >= 1 << 63 else v
+    return int(simhashes([words])[0])
 
 
 @F.pandas_udf(LongType())
 def simhash(words: pd.Series) -> pd.Series:
-    """SimHash of an array of tokens, Arrow batches at a time."""
-    return words.map(lambda w: simhash_of(list(w)) if w is not None else 0)
+    """SimHash of arrays of tokens, a whole Arrow batch at a time."""
+    return pd.Series(simhashes([list(w) if w is not None else [] for w in words]))
 
 
 def hamming(a: str | Column, b: str | Column) -> Column:
@@ -83,17 +109,28 @@ def hamming(a: str | Column, b: str | Column) -> Column:
 def close_hashes(df: DataFrame, key: str, value: str, distance: int = 3) -> DataFrame:
     """(a, b, distance) of distinct hash values within the distance, a the one that comes first by key.
 
-    distance + 1 bands of the 64 bits: two hashes within the distance agree in one of them, so the join is exact.  Equal
-    hashes are one row before they meet.
+    The 64 bits are cut into distance + 3 blocks: two hashes within the distance agree in three of them, so that a join on
+    each choice of three blocks is exact, and a table's key has 192 / (distance + 3) bits (32 for a distance of 3), which keeps
+    its buckets small where there are billions of hashes.  A pair is taken from the first of its choices only.  Equal hashes
+    are one row before they meet.
     """
     first = df.groupBy(value).agg(F.min(key).alias("_key"))
-    n = distance + 1
-    width = 64 // n
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << (width if i < n - 1 else 64 - i * width)) - 1)).alias("v")) for i in range(n)])
-    t = first.select("_key", value, F.explode(bands).alias("band"))
-    a = t.select("band", F.col("_key").alias("a"), F.col(value).alias("va"))
-    b = t.select("band", F.col("_key").alias("b"), F.col(value).alias("vb"))
-    return a.join(b, "band").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance)).select("a", "b", hamming("va", "vb").alias("distance")).distinct()
+    n = distance + 3
+    edges = [64 * i // n for i in range(n + 1)]
+    bits = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
+    signed = [b - (1 << 64) if b >= 1 << 63 else b for b in bits]
+    masks = [signed[i] | signed[j] | signed[k] for i, j, k in combinations(range(n), 3)]
+    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
+    t = first.select("_key", value, F.explode(tables).alias("at"))
+    a = t.select("at", F.col("_key").alias("a"), F.col(value).alias("va"))
+    b = t.select("at", F.col("_key").alias("b"), F.col(value).alias("vb"))
+    x = F.col("va").bitwiseXOR(F.col("vb"))
+    # blocks that agree, in order: the first three of them name the choice
+    agree = F.filter(F.array(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(F.lit(-1)) for i, m in enumerate(signed)]), lambda i: i >= 0)
+    choice = F.create_map(*[y for i, c in enumerate(combinations(range(n), 3)) for y in (F.lit(",".join(map(str, c))), F.lit(i))])
+    own = F.try_element_at(choice, F.array_join(F.transform(F.slice(agree, 1, 3), lambda i: i.cast("string")), ",")) == F.col("at.i")
+    met = a.join(b, "at").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance))
+    return met.where(own).select("a", "b", hamming("va", "vb").alias("distance"))
 
 
 #: So many open pairs are settled by one task, in their order; more are thinned by rounds first.

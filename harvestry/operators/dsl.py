@@ -49,7 +49,7 @@ def lex(text: str) -> list[tuple[str, object]]:
             except ValueError:
                 raise ConditionError(f"bad number {text[i:j]}") from None
             i = j
-        elif c.isalpha() or c == "_":
+        elif c.isalpha() or c in "_.":
             j = i
             while j < n and (text[j].isalnum() or text[j] in "_."):
                 j += 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import saved
-from .dedup import first_by
+from . import pacing
 
 
 @dataclass
@@ -19,7 +19,7 @@ class Crawl:
     levels: int
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Column | None = None, content: DataFrame | None = None, max_rounds: int = 10_000) -> Crawl:
+def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Column | None = None, content: DataFrame | None = None) -> Crawl:
     """Breadth first from seeds (url) over links (source, ord, url).
 
     A level is one join of the frontier with the links and one anti join with what was visited; each level is written to
@@ -46,9 +46,8 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, allowed: Colum
         level = fresh(level)
     visited, known, n = level, level.select("url"), 0
     edges = links.select(F.col("source").alias("parent"), "ord", F.col("url").alias("to")).where("`to` is not null and `to` <> ''")
-    for n in range(1, max_rounds + 1):
-        if max_depth and n > max_depth:
-            break
+    while not max_depth or n < max_depth:
+        n += 1
         found = level.select(F.col("url").alias("parent")).join(edges, "parent")
         one = found.groupBy("to").agg(F.min(F.struct("parent", "ord")).alias("m")).select(F.col("to").alias("url"), F.lit(n).alias("depth"), F.col("m.parent").alias("parent"))
         new = saved(one.join(known, "url", "left_anti"))
@@ -73,18 +72,8 @@ def ir_summary(pages: DataFrame, markdown: str = "markdown_ir") -> DataFrame:
 
 
 def progress(rows: DataFrame, order: list[str], counted: dict[str, Column], by: list[str]) -> DataFrame:
-    """rows with running counts by group."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, test in counted.items():
-        rows = rows.withColumn(name, F.sum(F.when(test, 1).otherwise(0)).over(w))
-    return rows
-
-
-def priority_order(items: DataFrame, strategy: str = "breadth-first") -> list[Column]:
-    """Order in which a queue gives its items out: least depth first and stable, or last in first out."""
-    return [F.col("depth"), F.col("ord")] if strategy == "breadth-first" else [F.col("ord").desc()]
+    """rows with running counts by group, order[0] being a number or a time."""
+    return pacing.running_counts(rows, order[0], order[1:], counted, by)
 
 
 def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int = 0, fetched: DataFrame | None = None) -> DataFrame:
@@ -139,7 +128,3 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
         return pd.DataFrame(rows, columns=["seed", "url", "parent_url", "depth", "dfs_order"])
 
     return part.groupBy("seed").applyInPandas(tree, "seed string, url string, parent_url string, depth int, dfs_order int")
-
-
-def unique_requests(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return first_by(df, [key], order)

@@ -127,13 +127,18 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _finish(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The stream run to the end of what is there, as a table; its checkpoint is in the shared folder."""
+    """The stream run to the end of what is there, as files in the shared folder; nothing of it is kept on the driver."""
     frontier.saved(spark.range(1))  # makes sure of a checkpoint folder
-    name = f"stream_{uuid.uuid4().hex}"
-    where = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
+    where = f"{spark.sparkContext.getCheckpointDir()}/stream_{uuid.uuid4().hex}"
+    out = f"{where}/rows"
+
+    def write(batch: DataFrame, n: int) -> None:
+        # a complete result replaces the one before; a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 @query("SELECT event_type AS type, count(*) AS rows FROM events GROUP BY event_type")

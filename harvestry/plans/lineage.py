@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """df written to the checkpoint folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own; on a cluster that would be the driver's disk, so it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")

@@ -106,9 +106,16 @@ def test_visible_text(spark):
     assert value(spark, dedup.tokens("t"), "A é xy Z9") == ["é", "xy", "z9"]
 
 
+def _fnv(data: bytes) -> int:
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def test_fnv(spark):
     for s in ("", "a", "grüße"):
-        want = dedup._fnv(s.encode())
+        want = _fnv(s.encode())
         assert value(spark, dedup.fnv1a(F.col("t")), s) == (want - (1 << 64) if want >= 1 << 63 else want)
 
 
@@ -223,6 +230,47 @@ def test_pacing_against_scan(spark):
     assert pacing.per_second(90) == 2
 
 
+@pytest.mark.parametrize("block_rows", [7, 40, 1000])
+def test_pacing_in_blocks(spark, block_rows):
+    """Blocks of any size change nothing, for hot hosts, null hosts, equal times and tables without rows."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice([0, 0, 0, 1, None]), float(rng.randrange(300)), rng.random() < 0.55) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, h long, t double, bad boolean")
+    start, throttle, run, stopped, failed = {}, {}, {}, {}, {}
+    free, count, length, over, total = {}, {}, {}, {}, {}
+    for i, h, t, bad in sorted(rows, key=lambda r: (r[2], r[0])):
+        start[i] = max(t, free.get(h, 0.0))
+        free[h] = start[i] + 5
+        count[h] = throttle[i] = count.get(h, 0) + 1 if bad else max(0, count.get(h, 0) - 1)
+        length[h] = run[i] = length.get(h, 0) + 1 if bad else 0
+        over[h] = stopped[i] = over.get(h, False) or run[i] >= 4
+        total[h] = failed[i] = total.get(h, 0) + bad
+    for empty in (False, True):
+        x = df.limit(0) if empty else df
+        want = (lambda d: {}) if empty else (lambda d: d)
+        assert {r.id: r.start_ms for r in pacing.schedule(x, "t", ["id"], 5.0, ["h"], block_rows).collect()} == want(start)
+        assert {r.id: r.throttle for r in pacing.backoff(x, F.col("bad"), "t", ["id"], ["h"], block_rows).collect()} == want(throttle)
+        got = pacing.failure_runs(x, F.col("bad"), "t", ["id"], ["h"], 4, block_rows).collect()
+        assert {r.id: r.run for r in got} == want(run) and {r.id: r.stopped for r in got} == want(stopped)
+        assert {r.id: r.n for r in pacing.running_counts(x, "t", ["id"], {"n": F.col("bad")}, ["h"], block_rows).collect()} == want(failed)
+
+
+def test_close_hashes_against_all_pairs(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 1, 2, 3, 4)]
+    values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    ones = lambda x: bin(x & (1 << 64) - 1).count("1")
+    for d in (0, 1, 3, 4):
+        want = {(i, j, ones(v ^ w)) for v, i in first.items() for w, j in first.items() if i < j and ones(v ^ w) <= d}
+        got = [tuple(r) for r in dedup.close_hashes(df, "id", "h", d).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_crawl_and_tree(spark):
     links = spark.createDataFrame([("a", 0, "b"), ("a", 1, "c"), ("b", 0, "d"), ("c", 0, "d"), ("d", 0, "a"), ("d", 1, None)], "source string, ord int, url string")
     seeds = spark.createDataFrame([("a",), ("a",), (None,)], "url string")
@@ -323,7 +371,7 @@ def test_simhash_against_votes(spark):
     for words in lists:
         votes = [0] * 64
         for i in range(len(words) - 2):
-            h = dedup._fnv(" ".join(words[i : i + 3]).encode())
+            h = _fnv(" ".join(words[i : i + 3]).encode())
             for b in range(64):
                 votes[b] += 1 if h >> b & 1 else -1
         want = sum(1 << b for b in range(64) if votes[b] > 0) if len(words) >= 5 else 0
