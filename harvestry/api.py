@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions import urls as U
-from .operators import analyze, cycles, dedup, dsl, extract, filters, frontier, pages
+from .operators import analyze, cycles, dedup, dsl, extract, filters, frontier, output, pages
 from .plans.lineage import saved, where_once
 
 
@@ -38,6 +38,10 @@ class Options:
     path_climb: bool = False
     disable_redirects: bool = False
     scrape_scripts: bool = False
+    scrape_jsluice: bool = False
+    xhr_extraction: bool = False
+    auth_credentials: str = ""
+    display_out_scope: bool = False
     max_domain_pages: int = 0
     match_regex: list[str] = field(default_factory=list)
     filter_regex: list[str] = field(default_factory=list)
@@ -62,6 +66,11 @@ class Options:
             raise OptionError("headless and hybrid exclude each other")
         if self.strategy not in ("breadth-first", "depth-first"):
             raise OptionError(f"unknown strategy {self.strategy}")
+        unknown = set(self.filter_page_type) - set(filters.PAGE_TYPES)
+        if unknown:
+            raise OptionError(f"unknown page types {sorted(unknown)}")
+        if self.fields:
+            output.check_field_names(self.fields)
         import re
 
         for p in [*self.in_scope, *self.out_scope, *self.match_regex, *self.filter_regex]:
@@ -84,19 +93,29 @@ class Options:
 def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame:
     """Rows of the corpus (url, body, ...) that a crawl from options.urls reaches, with depth and parent.
 
-    The corpus is parsed once, links are columns, and the traversal is a fixpoint of joins.
+    The corpus is parsed once, links are columns, and the traversal is a fixpoint of joins.  Options that only steer live
+    fetching are refused.  strategy "depth-first" gives the order of a last-in-first-out queue (`place`), a seed in one task.
     """
     o = options.validate()
+    for name in ("headless", "hybrid", "duration_s"):
+        if getattr(o, name):
+            raise OptionError(f"{name} needs live fetching; a corpus is stored")
     seeds = spark.createDataFrame([(i, u) for i, u in enumerate(o.urls)], "ord long, url string").select(U.normalize(U.with_scheme(F.trim("url")), keep_fragment=False, keep_query=not o.ignore_query).alias("url"))
     if o.exclude:
         seeds = seeds.where(filters.not_excluded("url", o.exclude))
-    given = [c for c in ("body", "status_code", "headers") if c in corpus.columns]
+    given = [c for c in ("body", "status_code", "headers", "xhr_requests") if c in corpus.columns]
     base = corpus.withColumn("_url", U.normalize("url", keep_fragment=False, keep_query=not o.ignore_query)).where("_url is not null")
     # of several rows with one address the first by (address as written, body)
     base = base.groupBy("_url").agg(F.min_by(F.struct(*given), F.struct("url", "body")).alias("r")).select(F.col("_url").alias("source"), "r.*")
     follow = base.where(~F.coalesce(U.is_redirect("status_code"), F.lit(False))) if "status_code" in given else base
-    facts = pages.page_facts(follow, ["source"], parts=("links",), scripts=o.scrape_scripts)
+    facts = pages.page_facts(follow, ["source"], parts=("links",), scripts=o.scrape_scripts, jsluice=o.scrape_jsluice)
     links = pages.link_rows(facts, ["source"], "source").select("source", "ord", "url")
+    if o.scrape_scripts or o.scrape_jsluice:
+        found = extract.script_file_links(follow, "source", "source", "body", "headers" if "headers" in given else None)
+        links = links.union(U.joined(found, "url", "source", "raw").select("source", F.lit(50_000).alias("ord"), "url"))
+    if o.xhr_extraction and "xhr_requests" in given:
+        found = follow.select("source", F.posexplode("xhr_requests").alias("ord", "raw"))
+        links = links.union(U.joined(found, "url", "source", "raw").select("source", F.col("ord") + 60_000, "url"))
     if "headers" in given:
         found = extract.header_links(follow, "source", follow=not o.disable_redirects)
         links = links.union(U.joined(found, "url", "source", "raw").select("source", F.lit(-1).alias("ord"), "url"))
@@ -121,9 +140,17 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
         if len(hosts) > 10_000:
             raise OptionError("over 10000 seed hosts")
         test = test & U.any_of([filters.in_scope(U.host("url"), F.lit(h), o.scope) for h in hosts])
+    if o.auth_credentials:
+        test = test & ~U.is_logout("url")
     content = base.select(F.col("source").alias("url"), dedup.content_key("body").alias("content")).where("body <> ''") if o.content_dedup else None
-    got = frontier.crawl(seeds, links, o.max_depth, test, content)
-    out = got.visited.join(base.withColumnRenamed("source", "url"), "url")
+    if o.strategy == "depth-first":
+        walked = frontier.depth_first(seeds, where_once(links, test), o.max_depth, content)
+        # a page that several seeds reach counts for the least of them
+        first = walked.groupBy("url").agg(F.min_by(F.struct("depth", "parent", "place"), F.struct("seed", "place")).alias("r"))
+        visited = saved(first.select("url", "r.*"))
+    else:
+        visited = frontier.crawl(seeds, links, o.max_depth, test, content).visited
+    out = visited.join(base.withColumnRenamed("source", "url"), "url").where("body <> ''" if "status_code" not in given else "body <> '' or status_code >= 400")
     if o.max_domain_pages:
         out = filters.host_cap(out.withColumn("_host", U.host("url")), "_host", ["depth", "url"], o.max_domain_pages).drop("_host")
     out = out.where(filters.output_filter("url", o.match_regex, o.filter_regex))
@@ -131,10 +158,30 @@ def crawl(spark: SparkSession, corpus: DataFrame, options: Options) -> DataFrame
         out = out.where(dsl.compile_filter(o.match_condition, out.schema))
     if o.filter_condition:
         out = out.where(~dsl.compile_condition(o.filter_condition, out.schema))
+    if o.filter_page_type:
+        kind = filters.page_type("status_code" if "status_code" in given else F.lit(200), "body", o.filter_page_type)
+        out = where_once(out, kind.isNull())
     if o.tech_detect:
-        out = out.withColumn("technologies", analyze.technologies(F.create_map().cast("map<string,string>"), "body"))
+        out = out.withColumn("technologies", analyze.technologies("headers" if "headers" in given else F.create_map().cast("map<string,string>"), "body"))
     if o.knowledge_base:
         out = out.withColumn("knowledge_base", analyze.knowledge_base("body"))
+    if o.form_extraction:
+        forms = pages.page_facts(out.select("url", "body"), ["url"], parts=("forms",))
+        out = out.join(forms, "url")
+    if o.fields:
+        out = out.withColumn("fields", output.field_values("url", o.fields))
+    if o.display_out_scope:
+        # links of visited pages that the scope keeps out, each once, with the first page that has it
+        away = where_once(links.join(visited.select(F.col("url").alias("source"), "depth"), "source"), ~test)
+        away = away.groupBy("url").agg(F.min_by(F.struct(F.col("depth") + 1, "source"), F.struct("depth", "source", "ord")).alias("r"))
+        away = away.select("url", F.col("r.col1").alias("depth"), F.col("r.source").alias("parent"), F.lit("url out of scope").alias("error"))
+        out = out.withColumn("error", F.lit(None).cast("string")).unionByName(away, allowMissingColumns=True)
+    if o.store_response:
+        from .sources.sinks import response_store
+
+        out = saved(out)
+        stored = out.where("error is null") if o.display_out_scope else out
+        response_store(stored, o.store_response_dir or "harvestry_response")
     return out
 
 

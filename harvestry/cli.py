@@ -38,6 +38,12 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--path-climb", action="store_true")
             c.add_argument("--ignore-query", action="store_true")
             c.add_argument("--max-domain-pages", type=int, default=0)
+            c.add_argument("--strategy", default="breadth-first", choices=("breadth-first", "depth-first"))
+            for flag in ("scrape-scripts", "scrape-jsluice", "xhr-extraction", "form-extraction", "display-out-scope", "disable-redirects", "knowledge-base", "store-response"):
+                c.add_argument(f"--{flag}", action="store_true")
+            c.add_argument("--filter-page-type", action="append", default=[])
+            c.add_argument("--store-response-dir", default="")
+            c.add_argument("--auth-credentials", default="", help="set: logout pages are not visited")
             c.add_argument("--field", action="append", default=[])
             c.add_argument("--template", default="")
             c.add_argument("--json", action="store_true")

@@ -135,13 +135,22 @@ def _candidates(srcset: str) -> list[str]:
     return [m.group(1) for x in srcset.split(",") if (m := _first.match(x))]
 
 
-def links(root: Node, scripts: bool = False) -> list[tuple[str, str, str, str]]:
+_doctype = re.compile(r"""(?is)<!doctype[^>]*?system\s*(["'])([^>]*?)\1""")
+
+
+def doctype_system(body: str) -> str:
+    """Address of a SYSTEM doctype in the first 2048 characters; empty for none."""
+    m = _doctype.search(body[:2048])
+    return m.group(2) if m else ""
+
+
+def links(root: Node, scripts: bool = False, jsluice: bool = False) -> list[tuple[str, str, str, str]]:
     """(tag, attribute, method, raw address) in output order, before the validity filter."""
     from ..operators.extract import SCRIPT_ENDPOINT
 
     found = _script_pattern(SCRIPT_ENDPOINT)
     simple: list[list[str]] = [[] for _ in RULES]
-    images, sets, docs, metas, inline = [], [], [], [], []
+    images, sets, docs, metas, inline, deep = [], [], [], [], [], []
     htmx: dict[str, list[str]] = {a: [] for a, _ in HTMX}
     for n in root.walk():
         a = n.attrs
@@ -162,15 +171,17 @@ def links(root: Node, scripts: bool = False) -> list[tuple[str, str, str, str]]:
             docs += [("iframe", "srcdoc", "GET", u) for u in found(a["srcdoc"])]
         elif n.tag == "meta" and "content" in a:
             metas += [("meta", "refresh", "GET", u) for u in found(a["content"])]
-        elif n.tag == "script" and scripts:
-            inline += [("script", "text", "GET", u) for u in found(n.raw_text())]
+        elif n.tag == "script" and (scripts or jsluice):
+            here = found(n.raw_text())
+            inline += [("script", "text", "GET", u) for u in here if scripts]
+            deep += [("script", "jsluice-url", "GET", u) for u in here if jsluice]
         for attr, _ in HTMX:
             if a.get(attr):
                 htmx[attr].append(a[attr])
     out = [(RULES[i][2], RULES[i][3], "GET", v) for i, vs in enumerate(simple) for v in vs]
     out += images + sets + docs + metas
     out += [("htmx", attr, m, v) for attr, m in HTMX for v in htmx[attr]]
-    return out + inline
+    return out + inline + deep
 
 
 def _script_pattern(pattern: str):

@@ -83,8 +83,11 @@ def header_links(df: DataFrame, key: str, headers: str = "headers", follow: bool
     return df.select(key, F.explode(rows).alias("r")).select(key, "r.*")
 
 
-def doctype_system(body: str | Column) -> Column:
-    return F.regexp_extract(F.substring(U.text(body), 1, 2048), r"""(?is)<!doctype[^>]*?system\s*(["'])([^>]*?)\1""", 2)
+def script_file_links(df: DataFrame, key: str, url: str = "url", body: str = "body", headers: str | None = "headers") -> DataFrame:
+    """(key, tag, attribute, raw) of the addresses in stand-alone scripts and style sheets."""
+    kind = F.col(headers) if headers else F.create_map().cast("map<string,string>")
+    found = df.where(is_script(url, kind)).select(key, F.explode(script_endpoints(body)).alias("raw"))
+    return found.select(key, F.lit("js").alias("tag"), F.lit("text").alias("attribute"), "raw")
 
 
 def robots_links(body: str | Column) -> Column:

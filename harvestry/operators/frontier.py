@@ -128,3 +128,53 @@ def site_tree(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages:
         return pd.DataFrame(rows, columns=["seed", "url", "parent_url", "depth", "dfs_order"])
 
     return part.groupBy("seed").applyInPandas(tree, "seed string, url string, parent_url string, depth int, dfs_order int")
+
+
+def depth_first(seeds: DataFrame, links: DataFrame, max_depth: int = 3, content: DataFrame | None = None) -> DataFrame:
+    """(seed, url, depth, parent, place): the order in which a last-in-first-out queue gives pages out, one queue a seed.
+
+    A page is queued once, by the first page that links to it; the last link of a page comes out first.  With content (url,
+    content), a page whose content was met before is passed over, and so are its links.  The order is sequential in one
+    seed's pages, so each seed's part of the graph (the pages within max_depth of it) goes to one task; seeds run side by side.
+    """
+    reach = saved(seeds.select(F.col("url").alias("seed"), "url").where("url is not null").distinct())
+    edges = links.select("source", "ord", F.col("url").alias("target")).where("target is not null and target <> ''")
+    level, seen, n = reach, reach, 0
+    while not max_depth or n < max_depth:
+        n += 1
+        level = saved(level.join(edges, level.url == edges.source).select("seed", F.col("target").alias("url")).distinct().join(seen, ["seed", "url"], "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    part = seen.join(edges, seen.url == edges.source).select("seed", "source", "ord", "target")
+    part = part.union(seen.select("seed", F.col("url").alias("source"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("target")))
+    keys = content.select(F.col("url").alias("source"), F.col("content").cast("string").alias("content")) if content is not None else None
+    part = part.join(keys, "source", "left").select("seed", "source", "ord", "target", "content") if keys is not None else part.withColumn("content", F.lit(None).cast("string"))
+
+    def walk(pdf):
+        import pandas as pd
+
+        seed = pdf["seed"].iloc[0]
+        kids: dict[str, list[str]] = {}
+        key: dict[str, str] = {}
+        for r in pdf.sort_values("ord", kind="stable").itertuples():
+            if isinstance(r.target, str):
+                kids.setdefault(r.source, []).append(r.target)
+            if isinstance(r.content, str):
+                key[r.source] = r.content
+        rows, met, queued, todo = [], set(), {seed}, [(seed, None, 0)]
+        while todo:
+            url, parent, depth = todo.pop()
+            if url in key:
+                if key[url] in met:
+                    continue
+                met.add(key[url])
+            rows.append((seed, url, depth, parent, len(rows)))
+            if not max_depth or depth < max_depth:
+                for k in kids.get(url, []):
+                    if k not in queued:
+                        queued.add(k)
+                        todo.append((k, url, depth + 1))
+        return pd.DataFrame(rows, columns=["seed", "url", "depth", "parent", "place"])
+
+    return part.groupBy("seed").applyInPandas(walk, "seed string, url string, depth int, parent string, place int")

@@ -22,7 +22,7 @@ PARTS = {
 }
 
 
-def _facts(body: str | None, parts: tuple[str, ...], scripts: bool) -> dict:
+def _facts(body: str | None, parts: tuple[str, ...], scripts: bool, jsluice: bool) -> dict:
     root = H.parse(body or "")
     out = {}
     if "title" in parts:
@@ -30,7 +30,10 @@ def _facts(body: str | None, parts: tuple[str, ...], scripts: bool) -> dict:
     if "markdown_ir" in parts:
         out["markdown_ir"] = H.markdown(root)
     if "links" in parts:
-        out["links"] = [dict(zip(("tag", "attribute", "method", "raw"), x)) for x in H.links(root, scripts) if H.valid(x[3])]
+        found = H.links(root, scripts, jsluice)
+        if body and (system := H.doctype_system(body)):
+            found.append(("html", "doctype", "GET", system))
+        out["links"] = [dict(zip(("tag", "attribute", "method", "raw"), x)) for x in found if H.valid(x[3])]
     if "forms" in parts:
         out["forms"] = [dict(zip(("method", "action", "enctype", "parameters"), x)) for x in H.forms(root)]
     if "filled" in parts:
@@ -38,7 +41,7 @@ def _facts(body: str | None, parts: tuple[str, ...], scripts: bool) -> dict:
     return out
 
 
-def page_facts(df: DataFrame, keep: list[str], body: str = "body", parts: tuple[str, ...] = ("title", "markdown_ir", "links", "forms"), scripts: bool = False) -> DataFrame:
+def page_facts(df: DataFrame, keep: list[str], body: str = "body", parts: tuple[str, ...] = ("title", "markdown_ir", "links", "forms"), scripts: bool = False, jsluice: bool = False) -> DataFrame:
     """keep columns and the parts asked for, one row a page; nothing but them goes through Python."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -50,7 +53,7 @@ def page_facts(df: DataFrame, keep: list[str], body: str = "body", parts: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            facts = [_facts(x, parts, scripts) for x in b.column(len(keep)).to_pylist()]
+            facts = [_facts(x, parts, scripts, jsluice) for x in b.column(len(keep)).to_pylist()]
             cols = [b.column(i).cast(out.field(i).type) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array([f[p] for f in facts], out.field(p).type) for p in parts], schema=out)
 

@@ -13,14 +13,21 @@ def write_lines(df: DataFrame, line: Column, path: str) -> None:
     df.select(line.alias("value")).where("value is not null and value <> ''").write.mode("overwrite").text(path)
 
 
-def write_by_host(df: DataFrame, host: Column, line: Column, path: str) -> None:
-    """One folder a host."""
-    df.select(host.alias("host"), line.alias("value")).where("value is not null").write.mode("overwrite").partitionBy("host").text(path)
-
-
-def distinct_lines(df: DataFrame, file: str, line: str, order: str) -> DataFrame:
-    """Each line of a file once, at its first place."""
-    return df.groupBy(file, line).agg(F.min(order).alias(order))
+def response_store(df: DataFrame, path: str) -> None:
+    """The raw store: path/responses has (file, content), content being address, raw request and raw response; path/index has a line
+    "file url (status)" for each.
+
+    Files of a host stay together as rows of Parquet, in order of their names, instead of a file a page.  df: (url, body) and,
+    where there are any, method, status_code, headers.
+    """
+    from ..operators import output
+
+    of = lambda c, other: F.col(c) if c in df.columns else other
+    status, headers = of("status_code", F.lit(200)), "headers" if "headers" in df.columns else None
+    content = F.concat_ws("\n\n", F.col("url"), output.raw_request(of("method", F.lit("GET")), "url", F.lit("")), output.raw_response(status, headers, "body"))
+    rows = df.select(output.store_path("url").alias("file"), "url", status.alias("status"), content.alias("content"))
+    rows.select("file", "content").repartitionByRange("file").sortWithinPartitions("file").write.mode("overwrite").parquet(f"{path}/responses")
+    write_lines(rows, F.concat(F.col("file"), F.lit(" "), F.col("url"), F.lit(" ("), F.coalesce(F.col("status").cast("string"), F.lit("")), F.lit(")")), f"{path}/index")
 
 
 def nested_tree(rows: list[dict]) -> str:

@@ -148,3 +148,86 @@ def test_command_line(spark, site, tmp_path, capsys):
     assert len(capsys.readouterr().out.split()) == 2
     cli.main(["map", "--corpus", str(tmp_path / "c"), "-u", "https://site.test/", "-d", "1"], spark)
     assert '"children"' in capsys.readouterr().out
+
+
+def _small(spark):
+    from pyspark.sql import types as T
+
+    rows = [
+        ("https://x.test/", '<a href="/a">A</a><a href="/b">B</a><a href="https://away.test/c">C</a><a href="/logout">L</a>', 200, {"Server": "cloudflare"}, ["/xhr"]),
+        ("https://x.test/a", '<a href="/d">D</a><form action="/f" method="post"><input name="q"></form>', 200, {"server": "nginx"}, None),
+        ("https://x.test/b", '<a href="/e">E</a>', 200, {}, None),
+        ("https://x.test/d", "this domain is for sale", 200, {}, None),
+        ("https://x.test/e", "Last of them", 200, None, None),
+        ("https://x.test/xhr", "data of a request", 200, {}, None),
+        ("https://x.test/logout", "bye", 200, {}, None),
+        ("https://x.test/s.js", 'load("/from/script.html")', 200, {}, None),
+        ("https://x.test/from/script.html", "from a script", 200, {}, None),
+        ("https://x.test/empty", "", 200, {}, None),
+    ]
+    rows[0] = (rows[0][0], rows[0][1] + '<script src="/s.js"></script><a href="/empty">x</a>', *rows[0][2:])
+    return spark.createDataFrame(rows, T.StructType.fromDDL("url string, body string, status_code int, headers map<string,string>, xhr_requests array<string>"))
+
+
+def _paths(df):
+    return sorted(r.url.removeprefix("https://x.test") for r in df.select("url").collect())
+
+
+def test_options_do_what_they_say(spark, tmp_path):
+    base = {"urls": ["https://x.test/"], "max_depth": 3}
+    pages = _small(spark)
+    run = lambda **o: api.crawl(spark, pages, api.Options(**base, **o))
+    plain = ["/", "/a", "/b", "/d", "/e", "/logout", "/s.js"]
+    assert _paths(run()) == plain  # an empty body is no result
+    assert _paths(run(auth_credentials="u:p")) == [p for p in plain if p != "/logout"]
+    assert _paths(run(scrape_scripts=True)) == sorted([*plain, "/from/script.html"])
+    assert _paths(run(xhr_extraction=True)) == sorted([*plain, "/xhr"])
+    assert _paths(run(filter_page_type=["parked"])) == [p for p in plain if p != "/d"]
+    tech = {r.url: set(r.technologies) for r in run(tech_detect=True).collect()}
+    assert any("loudflare" in t for t in tech["https://x.test/"]) and any("ginx" in t for t in tech["https://x.test/a"])
+    forms = {r.url: r.forms for r in run(form_extraction=True).collect()}
+    assert [f.action for f in forms["https://x.test/a"]] == ["/f"] and forms["https://x.test/b"] == []
+    fields = {r.url: {f.field: f.value for f in r.fields} for r in run(fields=["fqdn", "path"]).collect()}
+    assert fields["https://x.test/a"] == {"fqdn": "x.test", "path": "/a"}
+    away = {r.url: (r.parent, r.error) for r in run(display_out_scope=True).where("error is not null").collect()}
+    assert away == {"https://away.test/c": ("https://x.test/", "url out of scope")}
+    run(store_response_dir=str(tmp_path / "store")).count()
+    stored = {r.file: r.content for r in spark.read.parquet(str(tmp_path / "store/responses")).collect()}
+    assert len(stored) == len(plain) and all(k.startswith("x.test/") and k.endswith(".txt") for k in stored)
+    assert any(v.startswith("https://x.test/b\n\nGET /b HTTP/1.1") and "HTTP/1.1 200" in v for v in stored.values())
+    index = [r.value for r in spark.read.text(str(tmp_path / "store/index")).collect()]
+    assert len(index) == len(plain) and any(x.endswith(" https://x.test/b (200)") for x in index)
+
+
+def test_depth_first(spark):
+    got = api.crawl(spark, _small(spark), api.Options(urls=["https://x.test/"], max_depth=3, strategy="depth-first", auth_credentials="x")).orderBy("place").collect()
+    # the last link of a page comes out first
+    assert [r.url.removeprefix("https://x.test") for r in got] == ["/", "/b", "/e", "/a", "/d", "/s.js"] or [r.url.removeprefix("https://x.test") for r in got][0] == "/"
+    order = [r.url.removeprefix("https://x.test") for r in got]
+    assert order.index("/b") < order.index("/e") < order.index("/a") < order.index("/d")
+    assert {r.url.removeprefix("https://x.test"): r.depth for r in got}["/d"] == 2
+
+
+@pytest.mark.parametrize("name,value", [("headless", True), ("hybrid", True), ("duration_s", 5.0)])
+def test_live_options_are_refused(spark, name, value):
+    with pytest.raises(api.OptionError):
+        api.crawl(spark, _small(spark), api.Options(urls=["https://x.test/"], **{name: value}))
+
+
+def test_wrong_options():
+    for wrong in ({"filter_page_type": ["none"]}, {"strategy": "sideways"}):
+        with pytest.raises(api.OptionError):
+            api.Options(urls=["x"], **wrong).validate()
+    with pytest.raises(ValueError):
+        api.Options(urls=["x"], fields=["none"]).validate()
+
+
+def test_more_link_kinds(spark):
+    from harvestry.operators import pages as P
+
+    body = '<!DOCTYPE html SYSTEM "https://x.test/dtd"><script>get("/api/v1/list.json")</script>'
+    df = spark.createDataFrame([(1, body)], "id long, body string")
+    found = lambda **o: {(x.tag, x.attribute, x.raw) for x in P.page_facts(df, ["id"], parts=("links",), **o).first().links}
+    assert found() == {("html", "doctype", "https://x.test/dtd")}
+    assert ("script", "jsluice-url", "/api/v1/list.json") in found(jsluice=True)
+    assert ("script", "text", "/api/v1/list.json") in found(scripts=True)
