@@ -11,6 +11,8 @@ from ..functions import urls as U
 from ..operators import frontier, pacing, pages
 from ..streaming import events as S
 from . import tables as T
+from .page_queries import links_sql
+from .url_queries import _NORM
 
 Q, SQL = {}, {}
 
@@ -52,13 +54,26 @@ def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
     return bfs_crawl(spark, d).groupBy("depth").agg(F.count("*").alias("pages"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT max(c_custkey) AS m FROM customer), t AS (SELECT 0::BIGINT AS k, 0 AS depth, NULL::BIGINT AS parent, [0]::BIGINT[] AS path
+UNION ALL SELECT c.k, t.depth + 1, t.k, list_append(t.path, c.k) FROM t, n, LATERAL (SELECT unnest([t.k * 2 + 1, t.k * 2 + 2]) AS k) c WHERE c.k <= n.m AND t.depth < 4)
+SELECT 'https://site.test/p/0' AS seed, 'https://site.test/p/' || k AS url, CASE WHEN parent IS NULL THEN NULL ELSE 'https://site.test/p/' || parent END AS parent_url, depth, (row_number() OVER (ORDER BY path) - 1)::INTEGER AS dfs_order FROM t"""
+)
 def site_map(spark: SparkSession, d: str) -> DataFrame:
     seeds, links = _site(spark, d)
     return frontier.site_tree(seeds, links.where(F.col("url").startswith("https://site.test/")), max_depth=4, max_pages=500)
 
 
-@query()
+_CORPUS = f"(SELECT {_NORM} AS url, min(body) AS body FROM {T.RESPONSES} WHERE body IS NOT NULL GROUP BY 1)"
+_LEVEL = "SELECT url, {0} AS depth, min_by(parent, (parent, ord)) AS parent FROM (SELECT l.own AS parent, l.ord, l.url FROM l JOIN {1} ON l.own = {1}.url WHERE l.url <> '') WHERE url NOT IN (SELECT url FROM {2}) GROUP BY url"
+
+
+@query(
+    f"""WITH l AS ({links_sql("body", _CORPUS)}), r AS (SELECT url FROM {_CORPUS}),
+l0 AS (SELECT url, 0 AS depth, NULL::VARCHAR AS parent FROM r WHERE url NOT IN (SELECT url FROM l)),
+l1 AS ({_LEVEL.format(1, "l0", "l0")}), k AS (SELECT url FROM l0 UNION SELECT url FROM l1), l2 AS ({_LEVEL.format(2, "l1", "k")})
+SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2"""
+)
 def corpus_crawl(spark: SparkSession, d: str) -> DataFrame:
     """A crawl over the stored answers from the root of each host."""
     r = T.responses(spark, d).where("body is not null").select(U.normalize("url", keep_fragment=False).alias("source"), "body").where("source is not null")

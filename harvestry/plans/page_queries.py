@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..operators import analyze, dedup, dsl, extract, filters, frontier, output, pages
 from ..sources import corpus
 from . import tables as T
-from .url_queries import _H, _PATH, _QUERY, _ROOT, _S
+from .url_queries import _H, _NORM, _PATH, _QUERY, _ROOT, _S
 
 Q, SQL = {}, {}
 
@@ -158,7 +158,19 @@ _VISIBLE = "coalesce(body, '')"
 for _t in ("script", "style", "nav", "footer", "header"):
     _VISIBLE = f"regexp_replace({_VISIBLE}, '(?is)<{_t}.*?</{_t}>', ' ', 'g')"
 _VISIBLE = f"replace(regexp_replace({_VISIBLE}, '<[^>]*>?', '', 'g'), '>', '')"
-_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{Nl}}\\p{{Mn}}\\p{{Mc}}\\p{{N}}]+'), lambda x: strlen(x) > 1)"
+
+
+def _alphabetic_marks() -> str:
+    """Marks with the property Alphabetic, as ranges of a character class that has no such property."""
+    import regex
+
+    has = [c for c in range(0x300, 0x10000) if regex.match(r"(?=\p{M})\p{Alphabetic}", chr(c))]
+    starts = [c for k, c in enumerate(has) if not k or has[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(has) if k + 1 == len(has) or has[k + 1] != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(starts, ends))
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}" + _alphabetic_marks().replace("{", "{{").replace("}", "}}") + "]+'), lambda x: strlen(x) > 1)"
 
 
 @query(f"WITH v AS (SELECT response_id, {_VISIBLE} AS t FROM {T.RESPONSES}) SELECT response_id, md5(t) AS text, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS words, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END END AS lines FROM v")
@@ -176,17 +188,45 @@ def _hashed(spark: SparkSession, d: str) -> DataFrame:
     return T.once(T.documents(spark, d).select("doc_id", dedup.simhash(dedup.tokens(dedup.visible_text("text"))).alias("h")))
 
 
-@query()
+# SimHash in SQL: FNV-1a of the bytes of each window of three tokens, then votes bit by bit.
+_BYTES = "list_transform(range(0, octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i::INTEGER + 1, 2))::HUGEINT)"
+_FNV = f"list_reduce({_BYTES}, lambda a, x: (xor(a::UBIGINT, x::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT"
+_SIM = f"""WITH d AS (SELECT doc_id, {_TOKENS.format(_VISIBLE.replace("body", "text"))} AS w FROM {T.DOCUMENTS}),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM d WHERE len(w) >= 5),
+f AS (SELECT s, {_FNV} AS h FROM g),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM d WHERE len(w) >= 5),
+v AS (SELECT doc_id, k, 2 * sum(((h >> k::UBIGINT) & 1)::INTEGER) > count(*) AS on_ FROM p JOIN f USING (s), range(64) r(k) GROUP BY doc_id, k),
+u AS (SELECT doc_id, sum(CASE WHEN on_ THEN 1::HUGEINT << k::INTEGER ELSE 0::HUGEINT END) AS h FROM v GROUP BY doc_id),
+sim AS MATERIALIZED (SELECT doc_id, CASE WHEN coalesce(h, 0) >= 9223372036854775808 THEN (h - 18446744073709551616)::BIGINT ELSE coalesce(h, 0)::BIGINT END AS h FROM d LEFT JOIN u USING (doc_id))
+"""
+#: Bits that are turned round to plant neighbours at distances 0 to 4 of every hash.
+PLANTED = [0, 1, 1 + (1 << 20), 1 + (1 << 20) + (1 << 40), 1 + (1 << 20) + (1 << 40) + (1 << 60)]
+
+
+@query(_SIM + "SELECT doc_id, h FROM sim")
 def simhashes(spark: SparkSession, d: str) -> DataFrame:
     return _hashed(spark, d)
 
 
-@query()
+@query(
+    _SIM + f""", n AS (SELECT doc_id * 10 + i - 1 AS id, xor(h, m) AS h FROM sim, (SELECT unnest({PLANTED}::BIGINT[]) AS m, generate_subscripts({PLANTED}, 1) AS i)),
+c AS (SELECT h, min(id) AS id FROM n GROUP BY h) SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INTEGER AS distance FROM c x, c y WHERE x.id < y.id AND bit_count(xor(x.h, y.h)) <= 3"""
+)
 def simhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.close_hashes(frontier.saved(_hashed(spark, d)), "doc_id", "h", 3)
+    """Pairs among the hashes of all documents and neighbours planted beside each."""
+    planted = F.posexplode(F.array(*[F.col("h").bitwiseXOR(F.lit(m)) for m in PLANTED]))
+    near = frontier.saved(_hashed(spark, d)).select("doc_id", planted.alias("i", "v")).select((F.col("doc_id") * 10 + F.col("i")).alias("id"), F.col("v").alias("h"))
+    return dedup.close_hashes(near, "id", "h", 3)
 
 
-@query()
+# First come in SQL: documents one by one, each against the hashes kept so far.
+@query(
+    "WITH RECURSIVE " + _SIM.removeprefix("WITH ") + """, o AS MATERIALIZED (SELECT h, min(doc_id) AS id, row_number() OVER (ORDER BY min(doc_id)) AS n FROM sim GROUP BY h),
+k AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS id
+UNION ALL SELECT o.n, CASE WHEN ok THEN list_append(kept, h) ELSE kept END, CASE WHEN ok THEN o.id END
+FROM (SELECT o.n, o.h, o.id, k.kept, len(list_filter(k.kept, lambda x: bit_count(xor(x, o.h)) <= 3)) = 0 AS ok FROM k JOIN o ON o.n = k.n + 1) o)
+SELECT id AS doc_id FROM k WHERE id IS NOT NULL"""
+)
 def simhash_filter(spark: SparkSession, d: str) -> DataFrame:
     return dedup.simhash_filter(frontier.saved(_hashed(spark, d)), "doc_id", "h", 3)
 
@@ -198,7 +238,11 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     return T.once(T.documents(spark, d).select("doc_id", dedup.tokens("text").alias("w")))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, list_sort(s) AS s FROM {_W}), r AS (SELECT s, min(doc_id) AS id FROM w GROUP BY s), t AS (SELECT id, len(s) AS n, unnest(s) AS w FROM r),
+c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id)
+SELECT a, b, round(c / (na + nb - c), 9) AS similarity FROM c WHERE c / (na + nb - c) >= 0.9 UNION ALL SELECT r.id, w.doc_id, 1.0 FROM w JOIN r USING (s) WHERE r.id < w.doc_id"""
+)
 def jaccard_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different texts; exact copies are members of their first row, not pairs."""
     x = dedup.jaccard_pairs(_words(spark, d), "doc_id", "w", 0.9)
@@ -272,13 +316,30 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     return T.once(pages.page_facts(r, ["response_id"], parts=("title",)))
 
 
-@query()
+# Links of the tables' HTML: a[href], then img[src], outside comments, scripts and styles.
+_CLEAN = "coalesce(body, '')"
+for _x in ("(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_x}', ' ', 'g')"
+_FOUND = " || ".join(f"list_transform(regexp_extract_all({_CLEAN}, '<{t} {a}=\"([^\"]*)\"', 1), lambda x: {{'tag': '{t}', 'attribute': '{a}', 'raw': replace(x, '&amp;', '&')}})" for t, a in (("a", "href"), ("img", "src")))
+
+
+def links_sql(key: str, rows: str) -> str:
+    """(key, page, own, ord, tag, attribute, url): links of rows resolved against the page, which has only absolute and rooted ones."""
+    l = f"SELECT {key}, url AS page, {_NORM} AS own, {_ROOT} AS root, {_FOUND} AS l FROM {rows}"
+    x = f"SELECT {key}, page, own, root, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS ord FROM ({l})"
+    return f"SELECT {key}, page, own, ord::INTEGER AS ord, x.tag AS tag, x.attribute AS attribute, regexp_replace(CASE WHEN starts_with(x.raw, '/') THEN root || x.raw ELSE x.raw END, '#.*', '') AS url FROM ({x}) WHERE trim(x.raw) <> ''"
+
+
+_LINKS = links_sql("response_id", T.RESPONSES)
+
+
+@query(f"SELECT response_id, ord, tag, attribute, 'GET' AS method, url FROM ({_LINKS})")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     f = T.once(pages.page_facts(T.responses(spark, d), ["response_id", "url"], parts=("links",)))
     return pages.link_rows(f, ["response_id"], "url")
 
 
-@query()
+@query(f"SELECT response_id, min(ord) AS ord, url FROM (SELECT *, {_H} AS h, {_H.replace('url', 'page')} AS hp FROM ({_LINKS})) WHERE tag = 'a' AND h = hp AND url <> own GROUP BY response_id, url")
 def same_host_links(spark: SparkSession, d: str) -> DataFrame:
     f = T.once(pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",)))
     return pages.page_links(f, ["response_id"], "page")
@@ -366,7 +427,7 @@ def error_log(spark: SparkSession, d: str) -> DataFrame:
     return T.once(r.select("response_id", output.event_error("fetched_at", "url", F.coalesce("source", F.lit("")), F.concat(F.lit("status "), F.col("status_code").cast("string"))).alias("line")))
 
 
-@query()
+@query(f"SELECT response_id, min(ord) AS ord, url, ({_ROOT})[length({_S}) + 4:] = ({_ROOT.replace('url', 'page')})[length({_S.replace('url', 'page')}) + 4:] AS internal FROM ({_LINKS}) WHERE tag = 'a' GROUP BY response_id, page, url")
 def link_labels(spark: SparkSession, d: str) -> DataFrame:
     """All links of a page, and whether they stay on its host."""
     f = T.once(pages.page_facts(T.responses(spark, d).withColumnRenamed("url", "page"), ["response_id", "page"], parts=("links",)))
