@@ -244,7 +244,7 @@ def trie_paths(df: DataFrame, key: str, host: str, segs: str, threshold: int = 1
     """(key, segments): on each level of a host's path tree, from the row on that brings the (threshold + 1)-th distinct child, children
     become {param}.
 
-    One round a level, in order of key.  The turning point of a node is the (threshold + 1)-th smallest first sight of its
+    One round a level, in order of key; the table is written only where a level has a node that turns.  The turning point of a node is the (threshold + 1)-th smallest first sight of its
     children, found in salts first, so that a node with very many children is no single task.
     """
     at = saved(df.select(key, F.col(host).alias("_h"), F.col(segs).alias("_s"), F.array().cast("array<string>").alias("_done")))
@@ -255,6 +255,12 @@ def trie_paths(df: DataFrame, key: str, host: str, segs: str, threshold: int = 1
         salt = sight.withColumn("_salt", F.pmod(F.xxhash64("_seg"), F.lit(16)))
         low = salt.withColumn("rn", F.row_number().over(Window.partitionBy("_node", "_salt").orderBy("f"))).where(F.col("rn") <= threshold + 1)
         turn = low.withColumn("rn", F.row_number().over(Window.partitionBy("_node").orderBy("f"))).where(F.col("rn") == threshold + 1).select("_node", F.col("f").alias("t"))
+        turn = saved(turn)
+        if turn.isEmpty():
+            # no node of this level has so many children: the level's segments stay, and nothing is written
+            more = F.when(F.size("_s") > level, F.array(F.element_at("_s", F.least(F.size("_s"), F.lit(level + 1))))).otherwise(F.array().cast("array<string>"))
+            at = at.withColumn("_done", F.concat("_done", more))
+            continue
         seg = F.when(F.col("t").isNotNull() & (F.col(key) >= F.col("t")), "{param}").otherwise(F.col("_seg"))
         moved = here.join(turn, "_node", "left").select(key, "_h", "_s", F.concat("_done", F.array(seg)).alias("_done"))
         at = saved(moved.union(at.where(F.size("_s") <= level)))

@@ -172,7 +172,11 @@ def stream_unique(spark: SparkSession, d: str) -> DataFrame:
     return _finish(spark, S.unique(_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE -1 END) OVER (PARTITION BY host ORDER BY t, event_id) AS s FROM {_E}),
+c AS (SELECT *, (s - least(0, min(s) OVER (PARTITION BY host ORDER BY t, event_id)))::INTEGER AS n FROM s), l AS (SELECT host, arg_max(n, (t, event_id)) AS n FROM c GROUP BY host)
+SELECT host::VARCHAR AS host, n AS throttle, CASE WHEN n > 0 THEN least(pow(2, n - 1), 30)::DOUBLE ELSE 0::DOUBLE END AS delay_s FROM l"""
+)
 def stream_throttle(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d).select((F.col("user_id") % 8).cast("string").alias("host"), (F.col("event_type") == "error").alias("hit"), "ts")
     return _finish(spark, S.throttle(s, "host", "hit", "ts"), "update")

@@ -112,40 +112,48 @@ def script_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return T.each(T.items(spark, d), "item_id", extract.script_endpoints(js), "endpoint")
 
 
+_NAMED = f"(SELECT response_id, {_H} AS name FROM {T.RESPONSES})"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """(response_id, name) of all answers, name being the host: what bodies with known contents are built of."""
+    return T.once(T.responses(spark, d).select("response_id", U.host("url").alias("name")))
+
+
 @query(
-    """SELECT n_nationkey, 'disallow' AS directive, '/' || lower(n_name) AS target FROM nation UNION ALL SELECT n_nationkey, 'allow', '/open/' || n_nationkey FROM nation
-UNION ALL SELECT n_nationkey, 'sitemap', 'https://x.test/' || n_nationkey || '.xml' FROM nation"""
+    f"""SELECT response_id, 'disallow' AS directive, '/' || lower(name) AS target FROM {_NAMED} UNION ALL SELECT response_id, 'allow', '/open/' || response_id FROM {_NAMED}
+UNION ALL SELECT response_id, 'sitemap', 'https://x.test/' || response_id || '.xml' FROM {_NAMED}"""
 )
 def robots(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("n_nationkey").cast("string"), F.lower("n_name")
+    k, n = F.col("response_id").cast("string"), F.lower("name")
     body = F.concat(F.lit("User-agent: *\nDisallow: /"), n, F.lit("\n# a note: none\nAllow: /open/"), k, F.lit(" \nCrawl-delay: 3\nSitemap: https://x.test/"), k, F.lit(".xml\nDisallow:/none"))
-    return T.read(spark, d, "nation").select("n_nationkey", F.explode(extract.robots_links(body)).alias("r")).select("n_nationkey", "r.directive", "r.target")
+    return _named(spark, d).select("response_id", F.explode(extract.robots_links(body)).alias("r")).select("response_id", "r.directive", "r.target")
 
 
-@query("SELECT n_nationkey, unnest(['https://x.test/' || lower(n_name), 'https://x.test/b' || n_nationkey]) AS loc FROM nation")
+@query(f"SELECT response_id, unnest(['https://x.test/' || lower(name), 'https://x.test/b' || response_id]) AS loc FROM {_NAMED}")
 def sitemaps(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("n_nationkey").cast("string"), F.lower("n_name")
+    k, n = F.col("response_id").cast("string"), F.lower("name")
     body = F.concat(F.lit("<urlset><url><loc> https://x.test/"), n, F.lit(" </loc></url><url><loc>https://x.test/b"), k, F.lit("</loc><lastmod>1</lastmod></url></urlset>"))
-    return T.read(spark, d, "nation").select("n_nationkey", F.explode(extract.sitemap_links(body)).alias("loc"))
+    return _named(spark, d).select("response_id", F.explode(extract.sitemap_links(body)).alias("loc"))
 
 
 @query(
-    """SELECT n_nationkey, 'header' AS tag, unnest(['content-location', 'link', 'link', 'refresh', 'location']) AS attribute,
-unnest(['/c/' || n_nationkey, '/l/' || lower(n_name), '/m', '/r?' || n_nationkey, '/to/' || n_nationkey]) AS raw FROM nation"""
+    f"""SELECT response_id, 'header' AS tag, unnest(['content-location', 'link', 'link', 'refresh', 'location']) AS attribute,
+unnest(['/c/' || response_id, '/l/' || lower(name), '/m', '/r?' || response_id, '/to/' || response_id]) AS raw FROM {_NAMED}"""
 )
 def header_links(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("n_nationkey").cast("string"), F.lower("n_name")
+    k, n = F.col("response_id").cast("string"), F.lower("name")
     h = F.create_map(
         F.lit("Content-Location"), F.concat(F.lit("/c/"), k), F.lit("LINK"), F.concat(F.lit("</l/"), n, F.lit(">; rel=next, </m>; rel=last")),
         F.lit("refresh"), F.concat(F.lit("5; url='/r?"), k, F.lit("';")), F.lit("Location"), F.concat(F.lit("/to/"), k),
     )
-    return extract.header_links(T.read(spark, d, "nation").select("n_nationkey", h.alias("headers")), "n_nationkey")
+    return extract.header_links(_named(spark, d).select("response_id", h.alias("headers")), "response_id")
 
 
-@query("SELECT n_nationkey, unnest(['/a' || n_nationkey || '.jpg', '/b.jpg', 'c.png']) AS url FROM nation")
+@query(f"SELECT response_id, unnest(['/a' || response_id || '.jpg', '/b.jpg', 'c.png']) AS url FROM {_NAMED}")
 def srcset(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.lit("/a"), F.col("n_nationkey").cast("string"), F.lit(".jpg 1x,  /b.jpg 2x , c.png,"))
-    return T.read(spark, d, "nation").select("n_nationkey", F.explode(extract.srcset(s)).alias("url"))
+    s = F.concat(F.lit("/a"), F.col("response_id").cast("string"), F.lit(".jpg 1x,  /b.jpg 2x , c.png,"))
+    return _named(spark, d).select("response_id", F.explode(extract.srcset(s)).alias("url"))
 
 
 @query(f"SELECT response_id FROM (SELECT response_id, row_number() OVER (PARTITION BY md5(coalesce(body, '')) ORDER BY response_id) AS rn FROM {T.RESPONSES}) WHERE rn = 1")
@@ -310,10 +318,9 @@ def page_facts(spark: SparkSession, d: str) -> DataFrame:
     return T.once(f.select("response_id", "title", F.octet_length("markdown_ir").alias("ir_bytes"), F.size("links").alias("links"), F.size("forms").alias("forms")))
 
 
-@query(f"SELECT response_id, CASE WHEN t = '' THEN 'Untitled Page' ELSE t END AS title FROM (SELECT response_id, trim(replace(replace(replace(regexp_extract(coalesce(body, ''), '<title>([^<]*)', 1), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS t FROM {T.RESPONSES} WHERE contains(coalesce(body, ''), '</title>'))")
+@query(f"SELECT response_id, CASE WHEN t = '' THEN 'Untitled Page' ELSE t END AS title FROM (SELECT response_id, trim(replace(replace(replace(regexp_extract(coalesce(body, ''), '<title>([^<]*)', 1), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS t FROM {T.RESPONSES})")
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    r = T.responses(spark, d).where(F.coalesce("body", F.lit("")).contains("</title>"))
-    return T.once(pages.page_facts(r, ["response_id"], parts=("title",)))
+    return T.once(pages.page_facts(T.responses(spark, d), ["response_id"], parts=("title",)))
 
 
 # Links of the tables' HTML: a[href], then img[src], outside comments, scripts and styles.
@@ -358,36 +365,44 @@ def ir_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey, unnest(['POST', 'GET']) AS method, unnest(['/f/' || n_nationkey, '']) AS action, unnest(['multipart/form-data', 'application/x-www-form-urlencoded']) AS enctype, unnest(['name,pick,note', 'q']) AS parameters FROM nation"""
+    f"""SELECT response_id, unnest(['POST', 'GET']) AS method, unnest(['/f/' || response_id, '']) AS action, unnest(['multipart/form-data', 'application/x-www-form-urlencoded']) AS enctype, unnest(['name,pick,note', 'q']) AS parameters FROM {_NAMED}"""
 )
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(_forms(spark, d), ["n_nationkey"], parts=("forms",))
-    return f.select("n_nationkey", F.explode("forms").alias("f")).select("n_nationkey", "f.method", "f.action", "f.enctype", F.array_join("f.parameters", ",").alias("parameters"))
+    f = pages.page_facts(_forms(spark, d), ["response_id"], parts=("forms",))
+    return f.select("response_id", F.explode("forms").alias("f")).select("response_id", "f.method", "f.action", "f.enctype", F.array_join("f.parameters", ",").alias("parameters"))
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
+    k, n = F.col("response_id").cast("string"), F.col("name")
     body = F.concat(F.lit("<form method=post action='/f/"), k, F.lit("' enctype='multipart/form-data'><input name=name value='"), n, F.lit("'><select name=pick><option value=a><option value=b selected></select><textarea name=note></textarea><input type=submit></form><form><input type=email name=q></form>"))
-    return T.read(spark, d, "nation").select("n_nationkey", body.alias("body"))
+    return _named(spark, d).select("response_id", body.alias("body"))
 
 
-@query("SELECT n_nationkey, unnest(['POST', 'GET']) AS method, unnest(['/f/' || n_nationkey, '?q=crawler%40example%2Ecom']) AS action, unnest(['name=' || replace(replace(n_name, ' ', '%20'), '_', '%5F') || '&pick=b&note=crawler', '']) AS body FROM nation")
+@query(f"SELECT response_id, unnest(['POST', 'GET']) AS method, unnest(['/f/' || response_id, '?q=crawler%40example%2Ecom']) AS action, unnest(['name=' || replace(replace(name, '.', '%2E'), '-', '%2D') || '&pick=b&note=crawler', '']) AS body FROM {_NAMED}")
 def filled_forms(spark: SparkSession, d: str) -> DataFrame:
-    f = pages.page_facts(_forms(spark, d), ["n_nationkey"], parts=("filled",))
-    return f.select("n_nationkey", F.explode("filled").alias("f")).select("n_nationkey", "f.method", "f.action", "f.body")
+    f = pages.page_facts(_forms(spark, d), ["response_id"], parts=("filled",))
+    return f.select("response_id", F.explode("filled").alias("f")).select("response_id", "f.method", "f.action", "f.body")
 
 
-@query("SELECT min(n_nationkey)::BIGINT AS ord, trim(u) AS url FROM (SELECT n_nationkey, unnest(string_split(' x.test/' || (n_nationkey % 7) || ',  , y.test/' || n_nationkey, ',')) AS u FROM nation) WHERE trim(u) <> '' GROUP BY trim(u)")
+@query(f"SELECT min(response_id)::BIGINT AS ord, trim(u) AS url FROM (SELECT response_id, unnest(string_split(' x.test/' || (response_id % 7) || ',  , y.test/' || response_id, ',')) AS u FROM {_NAMED}) WHERE trim(u) <> '' GROUP BY trim(u)")
 def input_lines(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey")
+    k = F.col("response_id")
     line = F.concat(F.lit(" x.test/"), (k % 7).cast("string"), F.lit(",  , y.test/"), k.cast("string"))
-    return corpus.inputs(T.read(spark, d, "nation").select(k.cast("long").alias("ord"), F.explode(corpus.comma_list(line)).alias("value")))
+    return corpus.inputs(_named(spark, d).select(k.cast("long").alias("ord"), F.explode(corpus.comma_list(line)).alias("value")))
 
 
-@query(f"SELECT response_id, CASE WHEN strlen(coalesce(body, '')) <= 1000 THEN 'whole' ELSE 'cut' END AS kind FROM {T.RESPONSES}")
+# A cut body has the characters that end within the cap, and one replacement character if the cap falls into the next.
+_CUT = "SELECT response_id, b, list_max(list_filter(range(250, 1001), lambda k: strlen(b[:k]) <= 1000)) AS k FROM"
+
+
+@query(
+    f"""SELECT response_id, CASE WHEN strlen(b) <= 1000 THEN 'whole' ELSE 'cut' END AS kind, md5(CASE WHEN strlen(b) <= 1000 THEN b ELSE b[:k] || CASE WHEN strlen(b[:k]) < 1000 THEN chr(65533) ELSE '' END END) AS text
+FROM ({_CUT} (SELECT response_id, coalesce(body, '') AS b FROM {T.RESPONSES}))"""
+)
 def body_cap(spark: SparkSession, d: str) -> DataFrame:
     r = T.responses(spark, d)
-    return T.once(r.select("response_id", F.when(corpus.cap_body("body", 1000) == U.text("body"), "whole").otherwise("cut").alias("kind")))
+    cut = corpus.cap_body("body", 1000)
+    return T.once(r.select("response_id", F.when(cut == U.text("body"), "whole").otherwise("cut").alias("kind"), F.md5(F.encode(cut, "UTF-8")).alias("text")))
 
 
 _TYPE = "lower(coalesce(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, ''))"
@@ -401,11 +416,11 @@ def script_bodies(spark: SparkSession, d: str) -> DataFrame:
     return T.once(r.where(extract.is_script("url", kind)).select("response_id"))
 
 
-@query("SELECT n_nationkey, unnest(['/p/' || n_nationkey, 'https://x.test/' || lower(n_name)]) AS target FROM nation")
+@query(f"SELECT response_id, unnest(['/p/' || response_id, 'https://x.test/' || lower(name)]) AS target FROM {_NAMED}")
 def onclick_links(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("string")
-    code = F.concat(F.lit("go('/p/"), k, F.lit("'); go('/p/"), k, F.lit("'); open(\"https://x.test/"), F.lower("n_name"), F.lit("\") + 'none'"))
-    return T.read(spark, d, "nation").select("n_nationkey", F.explode(extract.onclick_targets(code)).alias("target"))
+    k = F.col("response_id").cast("string")
+    code = F.concat(F.lit("go('/p/"), k, F.lit("'); go('/p/"), k, F.lit("'); open(\"https://x.test/"), F.lower("name"), F.lit("\") + 'none'"))
+    return _named(spark, d).select("response_id", F.explode(extract.onclick_targets(code)).alias("target"))
 
 
 @query(f"SELECT response_id, regexp_extract(list_filter(map_entries(headers), lambda e: e.key = 'server')[1].value, '^(\\S+)', 1) AS server FROM {T.RESPONSES} WHERE headers['server'] IS NOT NULL")
@@ -421,9 +436,9 @@ def field_store(spark: SparkSession, d: str) -> DataFrame:
     return x.select(output.field_store_path("url", F.col("v.field")).alias("file"), F.col("v.value").alias("line")).distinct()
 
 
-@query(f"SELECT response_id, '{{\"timestamp\":\"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') || '\",\"endpoint\":\"' || url || '\",\"source\":\"' || coalesce(source, '') || '\",\"error\":\"status ' || status_code || '\"}}' AS line FROM {T.RESPONSES} WHERE status_code >= 400 AND fetched_at IS NOT NULL AND NOT contains(url, chr(9)) AND NOT contains(url, chr(10))")
+@query(f"SELECT response_id, '{{\"timestamp\":\"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') || '\",\"endpoint\":' || to_json(url)::VARCHAR || ',\"source\":' || to_json(coalesce(source, ''))::VARCHAR || ',\"error\":\"status ' || status_code || '\"}}' AS line FROM {T.RESPONSES} WHERE status_code >= 400 AND fetched_at IS NOT NULL")
 def error_log(spark: SparkSession, d: str) -> DataFrame:
-    r = T.responses(spark, d).where("status_code >= 400 and fetched_at is not null and not contains(url, '\t') and not contains(url, '\n')")
+    r = T.responses(spark, d).where("status_code >= 400 and fetched_at is not null")
     return T.once(r.select("response_id", output.event_error("fetched_at", "url", F.coalesce("source", F.lit("")), F.concat(F.lit("status "), F.col("status_code").cast("string"))).alias("line")))
 
 
