@@ -222,7 +222,7 @@ def learn(pages: Iterable[tuple[str | None, str]], rounds: int = 3, start: dict[
         z = _stretch(blocks)
         if z is None or sum(b is not None and b.long for b in blocks) < 3:
             continue
-        kept = [(z[0] <= i <= z[1], b) for i, b in enumerate(blocks) if b is not None and b.kind in (OPEN, NOTICE)]
+        kept = [(z[0] <= i <= z[1], b) for i, b in enumerate(blocks) if b is not None and b.kind in (OPEN, NOTICE, HEAD)]
         seen.append(kept)
         for _, b in kept:
             if len(titles[b.key]) < 4:
@@ -233,13 +233,14 @@ def learn(pages: Iterable[tuple[str | None, str]], rounds: int = 3, start: dict[
         bad, good = Counter(), Counter()
         for kept in seen:
             for inner, b in kept:
-                again = len(titles[b.key]) >= 4
+                again = b.kind != HEAD and len(titles[b.key]) >= 4
                 if turn == 0:
                     y = again or not inner and not b.long
                 else:
-                    y = sum(rules.score(b)) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
+                    y = (rules.score(b)[0] if b.kind == HEAD else sum(rules.score(b))) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
                 (bad if y else good).update(b.terms)
-                (bad if y else good).update(b.shapes)
+                if b.kind != HEAD:  # headings of own text and of link lists look alike
+                    (bad if y else good).update(b.shapes)
         total_bad, total_good = bad.total() + 500, good.total() + 500
         weights = dict(start)
         for t in bad.keys() | good.keys():
@@ -366,8 +367,9 @@ class Rules:
             if any(said) and sum(b.words for b, y in zip(plain, said) if y) >= rest:
                 label = [2 if y else x for x, y in zip(label, said)]
         own = any(x == 2 and (b is None or b.kind not in (TITLE, HOMELINK)) for x, b in zip(label, plain))
-        # Notices are furniture beside other text, and the page's own text where there is none.
+        # Notices are furniture beside other text; where there is none, they are what the page shows.
         label = [(1 if own else 2) if x == 3 else x for x in label]
+        own = own or any(x == 2 and b is not None and b.kind == NOTICE for x, b in zip(label, plain))
         head = [b is not None and b.kind == HEAD for b in plain]
         # Second pass.  Headings stand for content here; beyond the page's ends there is furniture.
         before, after = [(1, -1)] * n, [(1, n)] * n
