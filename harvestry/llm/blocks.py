@@ -216,31 +216,42 @@ def learn(pages: Iterable[tuple[str | None, str]], rounds: int = 3, start: dict[
     weights of the round before, their place and their coming back speak for.  Weights are log-odds, drawn towards `start`
     where counts are small.
     """
-    seen, titles = [], defaultdict(set)
+    places: Counter[tuple[Block, bool]] = Counter()
+    titles = defaultdict(set)
     for title, text in pages:
         blocks = _uncoded([block(x) for x in text.split("\n")])
         z = _stretch(blocks)
         if z is None or sum(b is not None and b.long for b in blocks) < 3:
             continue
-        kept = [(z[0] <= i <= z[1], b) for i, b in enumerate(blocks) if b is not None and b.kind in (OPEN, NOTICE, HEAD)]
-        seen.append(kept)
-        for _, b in kept:
-            if len(titles[b.key]) < 4:
-                titles[b.key].add(title)
+        for i, b in enumerate(blocks):
+            if b is not None and b.kind in (OPEN, NOTICE, HEAD):
+                places[b, z[0] <= i <= z[1]] += 1
+                if len(titles[b.key]) < 4:
+                    titles[b.key].add(title)
     start = general() if start is None else start
     rules = Rules(start)
+    bad, good = Counter(), Counter()
+    label: dict[tuple[Block, bool], bool] = {}
     for turn in range(rounds + 1):
-        bad, good = Counter(), Counter()
-        for kept in seen:
-            for inner, b in kept:
-                again = b.kind != HEAD and len(titles[b.key]) >= 4
-                if turn == 0:
-                    y = again or not inner and not b.long
-                else:
-                    y = (rules.score(b)[0] if b.kind == HEAD else sum(rules.score(b))) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
-                (bad if y else good).update(b.terms)
-                if b.kind != HEAD:  # headings of own text and of link lists look alike
-                    (bad if y else good).update(b.shapes)
+        for place, times in places.items():
+            b, inner = place
+            head = b.kind == HEAD  # headings of own text and of link lists look alike: only their terms tell
+            again = not head and len(titles[b.key]) >= 4
+            if turn == 0:
+                y = again or not inner and not b.long
+            else:
+                t, shape = rules.score(b)
+                y = t + (0 if head else shape) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
+            was = label.get(place)
+            if was == y:
+                continue
+            label[place] = y
+            features = b.terms if head else (*b.terms, *b.shapes)
+            to, off = (bad, good) if y else (good, bad)
+            for f in features:
+                to[f] += times
+                if was is not None:
+                    off[f] -= times
         total_bad, total_good = bad.total() + 500, good.total() + 500
         weights = dict(start)
         for t in bad.keys() | good.keys():
