@@ -200,24 +200,48 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(U.col(a), U.col(b))) / union)
 
 
+def _bitmap(words: str) -> list[Column]:
+    """Four words of 64 bits, a bit for the hash of each token of a set."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    put = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(63)).cast("int")))
+
+    def one(k: int) -> Column:
+        return F.aggregate(F.filter(h, lambda x: x.bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), put)
+
+    return [one(k) for k in range(4)]
+
+
 def jaccard_pairs(df: DataFrame, key: str, words: str, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity) of rows whose token sets have at least the threshold, a < b.
 
     Exact and without all pairs: tokens are put in order of rarity, and only rows that share one of the first
-    |s| - ceil(threshold |s|) + 1 tokens meet; sizes are held against each other before the sets are.  Rows with equal
-    sets meet through one representative.
+    |s| - ceil(threshold |s|) + 1 tokens meet.  Where they meet, bounds of what they can have in common throw out most: their
+    sizes, what is left after the places of the shared token (the first one of a pair that is alike keeps to that bound), and
+    the bits in which bitmaps of 256 hashed tokens differ.  Only the sets of pairs that pass go through the shuffle.  Rows with
+    equal sets meet through one representative.
     """
     sets = df.select(key, F.array_sort(F.array_distinct(words)).alias("_set")).withColumn("_same", F.xxhash64("_set"))
     reps = saved(sets.groupBy("_same").agg(F.min(key).alias("_k"), F.first("_set").alias("_set")))
-    count = reps.select(F.explode("_set").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    ranked = reps.select("_k", F.explode("_set").alias("w")).join(count, "w").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    tokens_ = reps.select("_k", F.explode(F.transform("_set", lambda w: F.xxhash64(w))).alias("w"))
+    count = tokens_.groupBy("w").agg(F.count("*").alias("n"))
+    ranked = tokens_.join(count, "w").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
     size = F.size("o")
     keep = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    heads = ranked.select("_k", size.alias("m"), F.explode(F.slice("o", F.lit(1), keep)).alias("h")).select("_k", "m", "h.w")
-    x = heads.select("w", F.col("_k").alias("a"), F.col("m").alias("ma"))
-    y = heads.select("w", F.col("_k").alias("b"), F.col("m").alias("mb"))
-    fit = (F.col("a") < F.col("b")) & (F.least("ma", "mb") >= F.greatest("ma", "mb") * F.lit(threshold) - F.lit(1e-9))
-    met = x.join(y, "w").where(fit).select("a", "b").distinct()
+    heads = ranked.select("_k", size.alias("m"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "h")).select("_k", "m", "i", "h.w")
+    bits = [f"_b{k}" for k in range(4)]
+    heads = heads.join(reps.select("_k", *[c.alias(n) for c, n in zip(_bitmap("_set"), bits)]), "_k")
+    x = heads.select("w", *[F.col(c).alias(f"{n}a") for c, n in (("_k", "_k"), ("m", "m"), ("i", "i"), *zip(bits, bits))])
+    y = heads.select("w", *[F.col(c).alias(f"{n}b") for c, n in (("_k", "_k"), ("m", "m"), ("i", "i"), *zip(bits, bits))])
+    both = F.col("ma") + F.col("mb")
+    need = both * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+    differ = sum((F.bit_count(F.col(f"{n}a").bitwiseXOR(F.col(f"{n}b"))) for n in bits), F.lit(0))
+    fit = (
+        (F.col("_ka") < F.col("_kb"))
+        & (F.least("ma", "mb") >= F.greatest("ma", "mb") * F.lit(threshold) - F.lit(1e-9))
+        & (F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")) >= need)
+        & ((both - differ) / 2 >= need)
+    )
+    met = x.join(y, "w").where(fit).select(F.col("_ka").alias("a"), F.col("_kb").alias("b")).distinct()
     full = met.join(reps.select(F.col("_k").alias("a"), F.col("_set").alias("sa")), "a").join(reps.select(F.col("_k").alias("b"), F.col("_set").alias("sb")), "b")
     across = full.select("a", "b", jaccard("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
     copies = sets.select(F.col(key).alias("b"), "_same").join(reps.select("_same", F.col("_k").alias("a")), "_same").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
