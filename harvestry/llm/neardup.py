@@ -12,7 +12,9 @@ meet in an equi-join, which adaptive execution splits where a band is hot; a pai
 that meets in several bands becomes one in the mapper.  Signatures of one byte a
 slot go through the shuffle: SLOTS of them throw out most candidates, all of them
 decide what lies four standard deviations beyond the threshold.  Only documents of
-pairs between are read again, turned into shingle hashes once each.  No pair of
+pairs between are read again, turned into shingle hashes once each.  Tables of classes
+and pairs are joined by sorting, never by broadcast, however small they seem: a
+broadcast is built on the driver, and many of them at once do not fit it.  No pair of
 different texts that a band brings together is dropped, and there is no cap on
 partners.
 
@@ -105,11 +107,16 @@ def _estimates(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
     return (x.mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that takes nothing to the driver, whatever spark.sql.autoBroadcastJoinThreshold is."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
     """pairs (a, b) with the column of both of their classes, as name_a and name_b."""
     left = of.select(F.col("same").alias("a"), F.col(name).alias(f"{name}_a"))
     right = of.select(F.col("same").alias("b"), F.col(name).alias(f"{name}_b"))
-    return pairs.join(left, "a").join(right, "b")
+    return _merge(_merge(pairs, left, "a"), right, "b")
 
 
 def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +125,7 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
     sk = saved(sketches(docs, key, text, size, least_words))
     members = sk.select("id", "same").distinct()
     bands = sk.groupBy("same").agg(F.min("bands").alias("bands")).select(F.explode("bands").alias("k"), F.col("same").alias("a"))
-    met = bands.join(bands.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
+    met = _merge(bands, bands.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
     spread = lambda slots: 4 * (threshold * (1 - threshold) / slots) ** 0.5
 
     def likely(a, b, sa, sb):
@@ -140,7 +147,7 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
     unsure = left.where("open").select("a", "b")
     # what signatures leave open: its documents are read again and turned into shingle hashes, once each
     classes = unsure.select(F.col("a").alias("same")).union(unsure.select(F.col("b").alias("same"))).distinct()
-    wanted = members.join(classes, "same").groupBy("same").agg(F.min("id").alias("id"))
+    wanted = _merge(members, classes, "same").groupBy("same").agg(F.min("id").alias("id"))
     thin = maybe_among(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), "id", wanted.select("id"))
 
     def hashes(ids, texts):
@@ -149,7 +156,7 @@ def similar(docs: DataFrame, key: str, text: str, size: int = 5, threshold: floa
             if s is not None:
                 yield i, _same(s), s.tobytes()
 
-    sets = map_arrow(thin.select("id", "t"), hashes, "id long, same long, s binary").join(wanted, ["id", "same"], "left_semi").groupBy("same").agg(F.min("s").alias("s"))
+    sets = _merge(map_arrow(thin.select("id", "t"), hashes, "id long, same long, s binary"), wanted, ["id", "same"], "left_semi").groupBy("same").agg(F.min("s").alias("s"))
 
     def exact(a, b, xs, ys):
         for i, j, x, y in zip(a, b, xs, ys):
@@ -167,8 +174,8 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id_a, page_id_b) of the documents themselves, copies expanded."""
     ma = members.select(F.col("same").alias("a"), F.col("id").alias("x"))
     mb = members.select(F.col("same").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(ma, "a").join(mb, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    within = ma.join(mb, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    across = _merge(_merge(pairs.select("a", "b"), ma, "a"), mb, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    within = _merge(ma, mb, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     out = across.union(within)
     # a pair comes twice only through a page_id that has two texts
     twice = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").limit(1).count()
@@ -185,9 +192,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _merge(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _merge(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -202,12 +209,12 @@ def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float
     members, pairs = saved(members), saved(pairs.select("a", "b"))
     # texts of one page_id belong together as well
     first = members.groupBy("id").agg(F.min("same").alias("b"), F.count("*").alias("n"))
-    own = members.join(first.where("n > 1").select("id", "b"), "id").select(F.col("same").alias("a"), "b")
+    own = _merge(members, first.where("n > 1").select("id", "b"), "id").select(F.col("same").alias("a"), "b")
     root = components(pairs.union(own)).select(F.col("id").alias("same"), "root")
     links = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "same")
-    in_group = members.join(root, "same", "left").join(links, "same", "left").select("id", F.coalesce("root", "same").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    in_group = _merge(_merge(members, root, "same", "left"), links, "same", "left").select("id", F.coalesce("root", "same").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     per = in_group.groupBy("id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     least = per.groupBy("root").agg(F.min("id").alias("group_id"))
     ids = docs.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
-    out = ids.join(per.join(least, "root"), "id", "left")
+    out = _merge(ids, _merge(per, least, "root"), "id", "left")
     return out.select(F.col("id").alias("page_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -422,6 +422,26 @@ def test_pairs_against_all_pairs(spark):
     assert groups == {i: find(i) for i in root}
 
 
+def test_pairs_take_no_classes_to_the_driver(spark, monkeypatch):
+    """Only bitmaps of one size are broadcast, whatever the optimizer takes for small."""
+    rng, plans, kept = random.Random(3), [], neardup.saved
+
+    def run(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(neardup, "saved", lambda df: kept(run(df)))
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(20)]
+    rows = [(i, " ".join([*texts[i % 20][: 150 - 4 * (i // 20)], f"own{i}"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, markdown_ir string")
+    run(neardup.all_pairs(*neardup.similar(df, "page_id", "markdown_ir", 3, 0.6, 100)))
+    run(neardup.groups(df, "page_id", "markdown_ir", 3, 0.6, 100))
+    joins = [x for p in plans for x in p.partition("Initial Plan")[0].split("\n") if "Join" in x]
+    assert any("SortMergeJoin" in x for x in joins)
+    assert not [x for x in joins if "BroadcastHashJoin" in x and "_bucket" not in x]
+
+
 @pytest.mark.parametrize("bits", [15, 22])
 def test_bitmap_thins(spark, bits):
     from harvestry.llm.text import maybe_among
