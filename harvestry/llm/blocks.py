@@ -10,10 +10,10 @@ neighbours, over runs of any length; headings take the label of what they head.
 No furniture phrases are listed.  What terms and shapes weigh is learned by
 `learn` from the pages themselves: blocks outside the stretch of long text, and
 blocks that come back under several titles, are furniture, the others are not,
-and the weights are the log-odds, refined in a few rounds.  The fit takes a bounded
-sample (`draw`); the rules made of it are put to every line of every page.  Without
-pages to learn from, `Rules()` has the weights of general web vocabulary and of
-shapes only.
+and the weights are the log-odds, refined in a few rounds.  Every page counts, whatever
+its length: `learned` counts the lines of all pages where they are, and takes to the
+driver only the counts of terms that occur twice.  Without pages to learn from,
+`Rules()` has the weights of general web vocabulary and of shapes only.
 
 A block's description depends on the line alone and is cached, because furniture
 lines come back on every page of a site.
@@ -23,13 +23,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .messages import hit, notice
+from .text import saved
 
 # Words of web furniture in general use, by language; a prior that learned weights replace.
 VOCABULARY = {
@@ -72,8 +75,8 @@ BLANK, BAD, GOOD, OPEN, FENCE, NOTICE, TITLE, HOMELINK, HEAD = range(9)
 LONG, DENSE = 20, 0.2
 #: A score beyond this decides a block in the first pass.
 SURE = 2.0
-#: Pages the weights are learned from at most, and the size of a page to be among them.
-SAMPLE, SAMPLE_CHARS = 4000, 32_768
+#: Rounds of refining weights, titles from which on a line comes back, and lines that a task holds at once.
+ROUNDS, AGAIN, HELD = 3, 4, 50_000
 # What shapes weigh where no pages were learned from: lengths (powers of 2), shares of stop words (eighths), ends, items, links.
 _SHAPES = {
     "\x01n0": 0.0, "\x01n1": 1.2, "\x01n2": 0.7, "\x01n3": 0.0, "\x01n4": -1.0, "\x01n5": -2.4, "\x01n6": -2.8,
@@ -195,12 +198,6 @@ def _uncoded(blocks: list[Block | None]) -> list[Block | None]:
     return out
 
 
-def _stretch(blocks: list[Block | None]) -> tuple[int, int] | None:
-    """First and last long block of content."""
-    at = [i for i, b in enumerate(blocks) if b is not None and b.long]
-    return (at[0], at[-1]) if at else None
-
-
 def general(words: bool = True) -> dict[str, float]:
     """Weights without any pages: shapes, and the words of VOCABULARY."""
     out = {t: 1.0 for v in VOCABULARY.values() for w in v.split() for t in terms(w)} if words else {}
@@ -208,80 +205,170 @@ def general(words: bool = True) -> dict[str, float]:
     return out | _SHAPES
 
 
-def learn(pages: Iterable[tuple[str | None, str]], rounds: int = 3, start: dict[str, float] | None = None) -> Rules:
-    """Rules with the weights that the pages (title, markdown) speak for.
+Line = tuple[int, str, int, int, int, list[int]]
+
 
-    A page tells where its own text is by its long blocks; those with under three are passed over.  Furniture are, first, the other
-    blocks outside that stretch and those that come back under four titles or more; then, round by round, those that the
-    weights of the round before, their place and their coming back speak for.  Weights are log-odds, drawn towards `start`
-    where counts are small.
+def _lines(pages: Iterable[tuple[str | None, str]]) -> Iterator[Line]:
+    """(hash, features, kind, times within, times outside, titles) of the lines of pages (title, text); a line may come in parts.
+
+    Within is the stretch from a page's first long block to its last; pages with under three are passed over.  kind is 1 for
+    headings, 2 for long blocks; titles are hashes of up to AGAIN titles it stands under.
     """
-    places: Counter[tuple[Block, bool]] = Counter()
-    titles = defaultdict(set)
+    held: dict[str, list] = {}
+
+    def parts() -> Iterator[Line]:
+        for b, within, outside, titles in held.values():
+            # headings of own text and of link lists look alike: only their terms tell
+            features = " ".join(sorted(b.terms) if b.kind == HEAD else [*sorted(b.terms), *b.shapes])
+            yield xxhash.xxh64_intdigest(b.key) - (1 << 63), features, 1 if b.kind == HEAD else 2 * b.long, within, outside, list(titles)
+        held.clear()
+
     for title, text in pages:
         blocks = _uncoded([block(x) for x in text.split("\n")])
-        z = _stretch(blocks)
-        if z is None or sum(b is not None and b.long for b in blocks) < 3:
+        at = [i for i, b in enumerate(blocks) if b is not None and b.long]
+        if len(at) < 3:
             continue
+        name = 0 if title is None else xxhash.xxh64_intdigest(title) - (1 << 63)
         for i, b in enumerate(blocks):
             if b is not None and b.kind in (OPEN, NOTICE, HEAD):
-                places[b, z[0] <= i <= z[1]] += 1
-                if len(titles[b.key]) < 4:
-                    titles[b.key].add(title)
+                x = held.get(b.key)
+                if x is None:
+                    x = held[b.key] = [b, 0, 0, set()]
+                x[1 if at[0] <= i <= at[-1] else 2] += 1
+                if len(x[3]) < AGAIN:
+                    x[3].add(name)
+        if len(held) >= HELD:
+            yield from parts()
+    yield from parts()
+
+
+Counted = tuple[list[str], bytes, bytes, bytes, bytes, bytes]
+_counted = "vocabulary array<string>, ids binary, sizes binary, within binary, outside binary, kinds binary"
+
+
+def _count(lines: Iterable[Line]) -> Iterator[Counted]:
+    """Whole lines, their parts put together, as arrays: features as ids into a vocabulary, their number, times, kinds (4: it comes back)."""
+    whole: dict[tuple[int, str], list] = {}
+    for h, features, kind, within, outside, titles in lines:
+        x = whole.get((h, features))
+        if x is None:
+            whole[h, features] = [kind, within, outside, set(titles)]
+        else:
+            x[1], x[2] = x[1] + within, x[2] + outside
+            x[3].update(titles)
+    every = list(whole.items())
+    for k in range(0, len(every), HELD):
+        some = every[k : k + HELD]
+        at: dict[str, int] = {}
+        split = [f.split() for (_, f), _ in some]
+        ids = np.array([at.setdefault(t, len(at)) for f in split for t in f], np.uint32)
+        kinds = np.array([x[0] + 4 * (x[0] != 1 and len(x[3]) >= AGAIN) for _, x in some], np.uint8)
+        sizes, within, outside = (np.array(v, np.uint32) for v in ([len(f) for f in split], [x[1] for _, x in some], [x[2] for _, x in some]))
+        yield list(at), (ids.astype(np.uint16) if len(at) < 1 << 16 else ids).tobytes(), sizes.tobytes(), within.tobytes(), outside.tobytes(), kinds.tobytes()
+
+
+def _spoken(c: Counted, weights: dict[str, float] | None) -> Iterator[tuple[str | None, int, int]]:
+    """(feature, times in furniture, times) by the weights of the round before; null: by structure alone.  The feature null has the sums.
+
+    Furniture are, first, the blocks outside a page's stretch that are not long and those that come back; then those that weights,
+    their place and their coming back speak for.  Weights are whole thousandths, so that the order of sums is of no matter.
+    """
+    names, ids, sizes, within, outside, kinds = c
+    ids = np.frombuffer(ids, np.uint16 if len(names) < 1 << 16 else np.uint32)
+    sizes, within, outside, kinds = np.frombuffer(sizes, np.uint32), np.frombuffer(within, np.uint32), np.frombuffer(outside, np.uint32), np.frombuffer(kinds, np.uint8)
+    lines = np.repeat(np.arange(len(sizes)), sizes)
+    again, long = kinds >= 4, kinds & 2 > 0
+    if weights is None:
+        inner, outer = again, again | ~long
+    else:
+        w = np.rint(np.array([weights.get(t, 0.0) for t in names]) * 1000)
+        s = np.bincount(lines, w[ids], len(sizes)) + 3000 * again - 4000 * long
+        inner, outer = s > 1000, s > -1000
+    bad = np.bincount(ids, (within * inner + outside * outer).astype(float)[lines], len(names))
+    every = np.bincount(ids, (within.astype(float) + outside)[lines], len(names))
+    return zip([None, *names], [int(bad.sum()), *bad.astype(np.int64).tolist()], [int(every.sum()), *every.astype(np.int64).tolist()])
+
+
+def _weights(counts: dict[str | None, tuple[int, int]], start: dict[str, float]) -> dict[str, float]:
+    """Log-odds of furniture, drawn towards `start` where counts are small; what occurs once has none but counts in the sums."""
+    total_bad, total = counts.get(None, (0, 0))
+    total_bad, total_good = total_bad + 500, total - total_bad + 500
+    weights = dict(start)
+    for t, (bad, n) in counts.items():
+        if t is not None and (n > 1 or t in start):
+            w = math.log((bad + 0.5) / total_bad) - math.log((n - bad + 0.5) / total_good)
+            weights[t] = round((n * max(-3.0, min(3.0, w)) + 3 * start.get(t, 0.0)) / (n + 3), 3)
+    return weights
+
+
+def learn(pages: Iterable[tuple[str | None, str]], rounds: int = ROUNDS, start: dict[str, float] | None = None) -> Rules:
+    """Rules with the weights that the pages (title, markdown) speak for, in this process."""
     start = general() if start is None else start
-    rules = Rules(start)
-    bad, good = Counter(), Counter()
-    label: dict[tuple[Block, bool], bool] = {}
-    for turn in range(rounds + 1):
-        for place, times in places.items():
-            b, inner = place
-            head = b.kind == HEAD  # headings of own text and of link lists look alike: only their terms tell
-            again = not head and len(titles[b.key]) >= 4
-            if turn == 0:
-                y = again or not inner and not b.long
-            else:
-                t, shape = rules.score(b)
-                y = t + (0 if head else shape) + (-1 if inner else 1) + (3 if again else 0) > (4 if b.long else 0)
-            was = label.get(place)
-            if was == y:
-                continue
-            label[place] = y
-            features = b.terms if head else (*b.terms, *b.shapes)
-            to, off = (bad, good) if y else (good, bad)
-            for f in features:
-                to[f] += times
-                if was is not None:
-                    off[f] -= times
-        total_bad, total_good = bad.total() + 500, good.total() + 500
-        weights = dict(start)
-        for t in bad.keys() | good.keys():
-            n = bad[t] + good[t]
-            w = math.log((bad[t] + 0.5) / total_bad) - math.log((good[t] + 0.5) / total_good)
-            if n > 1 or t in start:
-                weights[t] = round((n * max(-3.0, min(3.0, w)) + 3 * start.get(t, 0.0)) / (n + 3), 3)
-        rules = Rules(weights)
-    return rules
-
-
-def draw(pages: DataFrame, key: str, title: str, text: str, sample: int = SAMPLE) -> list[tuple[str | None, str]]:
-    """(title, text) of at most `sample` pages of up to SAMPLE_CHARS characters, those whose rows have the least hashes.
-
-    Where there is no column of the name `title`, the key stands for it.  Repeated rows are drawn once, and what is drawn does not depend on how the table is cut into files.
+    parts, weights = list(_count(_lines(pages))), None
+    for _ in range(rounds + 1):
+        by: dict[str | None, list[int]] = {}
+        for c in parts:
+            for t, bad, n in _spoken(c, weights):
+                x = by.setdefault(t, [0, 0])
+                x[0], x[1] = x[0] + bad, x[1] + n
+        weights = _weights(by, start)
+    return Rules(weights)
+
+
+def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text: str = "markdown_ir", form: Callable[[str], str] | None = None) -> Rules:
+    """Rules that `learn` would make of all pages, whatever their length, counted where the pages are; `form` turns texts to Markdown.
+
+    Repeated rows count once; where there is no column of the name `title`, the key stands for it.  One shuffle brings repeated rows
+    together, another the parts of a line; what the driver gets is the counts of features that occur twice, once a round.
     """
-    n = max(1, pages.count())
     name = F.col(title if title in pages.columns else key).cast("string")
-    src = pages.select(F.col(key).alias("k"), name.alias("title"), F.col(text).alias("text")).where("k is not null and length(text) between 1 and %d" % SAMPLE_CHARS)
-    src = src.withColumn("h", F.xxhash64("k", "title", "text"))
-    share = min(1.0, 1.25 * sample / n)
-    if share < 1:
-        src = src.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = src.groupBy("h").agg(F.min("title").alias("title"), F.min("text").alias("text")).orderBy("h").limit(sample).collect()
-    return [(r.title, r.text) for r in rows]
-
-
-def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text: str = "markdown_ir", sample: int = SAMPLE) -> Rules:
-    """Rules learned from a bounded sample of the pages."""
-    return learn(draw(pages, key, title, text, sample))
+    src = pages.select(F.col(key).alias("k"), name.alias("title"), F.col(text).alias("text")).where("k is not null and text <> ''")
+    src = src.select(F.xxhash64("k", "title", "text").alias("h"), "title", "text").repartition("h")
+
+    def lines(batches):
+        seen: set[int] = set()
+
+        def texts():
+            for b in batches:
+                for h, title, text in zip(*(c.to_pylist() for c in b.columns)):
+                    if h not in seen:
+                        seen.add(h)
+                        yield title, text if form is None else form(text)
+
+        return _lines(texts())
+
+    parts = _streamed(src, lines, "h long, features string, kind int, within long, outside long, titles array<long>", 5000)
+    parts = parts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")  # a task holds its lines
+    counted = saved(_streamed(parts, lambda batches: _count(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), _counted, 1))
+    start, weights = general(), None
+    for _ in range(ROUNDS + 1):
+
+        def spoken(batches, weights=weights):
+            for b in batches:
+                for c in zip(*(c.to_pylist() for c in b.columns)):
+                    yield from _spoken(c, weights)
+
+        by = _streamed(counted, spoken, "t string, bad long, n long", 20_000).groupBy("t").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+        rows = by.where((F.col("n") > 1) | F.col("t").isNull() | F.col("t").isin(list(start))).toArrow()
+        t, bad, n = (rows.column(i).to_pylist() for i in range(3))
+        weights = _weights(dict(zip(t, zip(bad, n))), start)
+    return Rules(weights)
+
+
+def _streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int) -> DataFrame:
+    """The rows fn makes of a task's batches, in batches of `size`."""
+    from itertools import batched
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for rows in batched(fn(batches), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return df.mapInArrow(run, schema)
 
 
 class Rules:

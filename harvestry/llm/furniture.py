@@ -2,9 +2,9 @@
 
 Method: two-pass block rules (see blocks): length, stop-word density, link density
 and the weights of terms decide blocks; ambiguous short blocks inherit the label
-of their nearest decided neighbours.  The weights are learned from a bounded
-sample of the table's own pages (blocks.SAMPLE); no furniture phrases are listed.
-One narrow pass over the pages; what is shuffled to make repeated rows one is the
+of their nearest decided neighbours.  The weights are learned from all of the
+table's own pages (blocks.learned); no furniture phrases are listed.
+Then one narrow pass over the pages; what it shuffles to make repeated rows one is the
 list of line numbers, not the text.
 
 Defined cases: null or empty markdown_ir has no furniture and an empty body;
@@ -21,7 +21,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Rules, draw, learn, learned
+from .blocks import Rules, learned
 from .text import map_arrow
 
 
@@ -98,10 +98,9 @@ def blocks_of_html(body: str) -> list[str]:
 def response_bodies(responses: DataFrame) -> DataFrame:
     """(response_id, main_body) of every answer's HTML by the same rules; null and empty bodies give an empty main body.
 
-    The rules are learned from the blocks of a sample of the answers themselves.
+    The rules are learned from the blocks of all answers.
     """
-    drawn = draw(responses, "response_id", "url", "body")
-    rules = learn((name, "\n".join(blocks_of_html(body))) for name, body in drawn)
+    rules = learned(responses, "response_id", "url", "body", lambda body: "\n".join(blocks_of_html(body)))
 
     def rows(ids, bodies):
         for i, b in zip(ids, bodies):

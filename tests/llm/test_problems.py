@@ -249,6 +249,23 @@ def test_furniture_learned_without_lists(spark, monkeypatch):
     assert {i: sorted(v) for i, v in got.items()} == want
 
 
+def test_all_pages_teach(spark, monkeypatch):
+    """Weights are those of all pages, more than any sample had, long ones too; repeated rows and the cut into tasks change nothing."""
+    long = "The keeper of the {} had been told that the gate of the town would not be open until the end of the year and nobody knew why it was so."
+    own = lambda n: "x" + "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(i, f"Title {i % 7}", "\n".join([f"Zorbl q{own(i)}", f"# Name {i}", *(long.format(f"w{own(i % 900)} {k}") for k in range(3)), f"Wibble c{own(i % 40)}"])) for i in range(4300)]
+    rows += [(9000 + i, None, "\n".join(["Snorfle twice", *[long.format(f"big {k}") for k in range(300)], "Blump"])) for i in range(2)]
+    want = blocks.learn([r[1:] for r in rows]).weights
+    assert "q" + own(2999) not in want and {"snorfle", "blump", "w" + own(0), "c" + own(3)} <= want.keys()
+    monkeypatch.setattr(blocks, "HELD", 70)
+    assert blocks.learn([r[1:] for r in rows]).weights == want
+    schema = "page_id long, title string, markdown_ir string"
+    df = spark.createDataFrame([*rows, *rows[:500], (None, "a", rows[0][2]), (5, "a", None), (6, "a", "")], schema)
+    assert blocks.learned(df).weights == want
+    assert blocks.learned(df.repartition(7)).weights == want
+    assert blocks.learned(df.limit(0)).weights == blocks.general()
+
+
 def test_second_pass_decides(spark, data):
     """Without the second pass ambiguous blocks would stay: it labels blocks of both kinds, in runs of any length."""
     pages = [(r.title, r.markdown_ir) for r in spark.read.parquet(f"{data}/page_ir.parquet").collect() if r.markdown_ir]
