@@ -233,10 +233,10 @@ def _lines(pages: Iterable[tuple[str | None, str]]) -> Iterator[Line]:
             if b is not None and b.kind in (OPEN, NOTICE, HEAD):
                 x = held.get(b.key)
                 if x is None:
-                    x = held[b.key] = [b, 0, 0, set()]
+                    x = held[b.key] = [b, 0, 0, (name,)]
                 x[1 if at[0] <= i <= at[-1] else 2] += 1
-                if len(x[3]) < AGAIN:
-                    x[3].add(name)
+                if len(x[3]) < AGAIN and name not in x[3]:
+                    x[3] += (name,)
         if len(held) >= HELD:
             yield from parts()
     yield from parts()
@@ -356,7 +356,11 @@ def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text:
 
 
 def _streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int) -> DataFrame:
-    """The rows fn makes of a task's batches, in batches of `size`."""
+    """The rows fn makes of a task's batches, in batches of `size`.
+
+    Meanwhile the collector of cycles rests: millions of small objects would be looked through again and again, and none are in cycles.
+    """
+    import gc
     from itertools import batched
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -365,8 +369,12 @@ def _streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for rows in batched(fn(batches), size):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        gc.disable()
+        try:
+            for rows in batched(fn(batches), size):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        finally:
+            gc.enable()
 
     return df.mapInArrow(run, schema)
 
