@@ -24,9 +24,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +63,16 @@ _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _term = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]+|[^\W\d_ぁ-ゖ゛-ヿ一-鿿]+|\d+|[©·»>:：!！?？]")
 _cjk = re.compile(r"[ぁ-ゖ゛-ヿ一-鿿]")
 _kana = re.compile(r"[ぁ-ゖ]")
+# The same terms where a text has one byte a character: what is not a letter, or not a figure, as blanks.
+_byte = [bytes([i]).decode("cp1252", "replace") for i in range(256)]
+_letters = bytes(i if re.match(r"[^\W\d_]", x) else 32 for i, x in enumerate(_byte))
+_figure = bytes(i if re.match(r"\d", x) else 32 for i, x in enumerate(_byte))
 # Names of a site's front page, by language.
 HOME = {"home", "startseite", "accueil", "inicio", "ホーム", "トップ"}
 _closers = "\"'”’»›」』)]*_"
 _ends = frozenset(".!?…。！？:;")
-_ten = frozenset("0123456789")
-_marks = re.compile(r"[\\={}|<&$~]")
+_bullets = frozenset("*+•-")
+_marks = frozenset("\\={}|<&$~")
 _figures = re.compile(r"\|\s*[\d.,:%-]+\s*(?:\||$)")
 _crumb = re.compile(r"(?:^|\s)[/»›>](?:\s|$)")
 
@@ -98,54 +104,80 @@ def terms(low: str) -> list[str]:
     return out
 
 
+def _narrow(low: str) -> list[str] | None:
+    """Terms of a lower-case text in any order, repeated ones too, "0" for figures; null if a character is not one byte."""
+    code = "ascii" if low.isascii() else "cp1252"
+    try:
+        raw = low.encode(code)
+    except UnicodeEncodeError:
+        return None
+    out = raw.translate(_letters).decode(code).split()
+    out += ["0"] * len(raw.translate(_figure).split())
+    for x in ":!?>" if code == "ascii" else ":!?>©·»":
+        if x in low:
+            out += [x] * low.count(x)
+    return out
+
+
+_sizes, _shares = [f"\x01n{i}" for i in range(7)], [f"\x01s{i}" for i in range(5)]
+
+
 class Block:
     """What the rules see of a line."""
 
-    __slots__ = ("bullet", "crumbs", "dense", "end", "head", "image", "key", "kind", "linked", "local", "marked", "names", "shapes", "terms", "words")
+    __slots__ = ("bullet", "crumbs", "dense", "end", "head", "image", "key", "kind", "linked", "local", "long", "marked", "names", "scored", "shapes", "terms", "words")
 
     def __init__(self, raw: str):
-        s = " ".join(raw.split())
-        self.key, self.kind = s.lower(), OPEN
-        low, c = self.key, s[:1]
+        # all whitespace but the blank is unprintable
+        s = raw.strip(" ") if raw.isprintable() and "  " not in raw else " ".join(raw.split())
+        self.key = low = s.lower()
+        c = s[:1]
         self.head = 0
         if c == "#":
             level = len(low) - len(low.lstrip("#"))
             if level <= 6 and low[level : level + 1] == " ":
                 self.head, low = level, low[level:].strip()
-        m = _marker.match(low)
-        self.bullet = bool(m)
+        first = low[:1]
+        m = _marker.match(low) if first in _bullets or first.isdecimal() else None
+        self.bullet = m is not None
         if m:
             low = low[m.end() :]
+            first = low[:1]
         self.image = low.startswith("![")
         links = LINK.findall(low) if "](" in low else []
         text = LINK.sub(r"\1", low) if links else low
-        found = _term.findall(text)
-        if _cjk.search(text):
+        found = _narrow(text)
+        if found is None and _cjk.search(text):
             self.terms = frozenset(terms(text))
             cjk = len(_cjk.findall(text))
-            self.words = max(len(found), cjk // 2)
+            self.words = words = max(len(_term.findall(text)), cjk // 2)
             stops = len(_kana.findall(text)) / 2
         else:
-            self.terms = frozenset(["0" if w[0] in _ten else w for w in found])
-            self.words = len(found)
-            stops = sum(map(STOP.__contains__, found))
-        self.dense = stops / max(1, self.words)
+            if found is None:
+                # of what a term may start with, only figures and the exclamation mark sort before the colon
+                found = [w if w >= ":" or w == "!" else "0" for w in _term.findall(text)]
+            self.terms = frozenset(found)
+            self.words = words = len(found)
+            stops = len([w for w in found if w in STOP])
+        self.dense = dense = stops / max(1, words)
         #: share of the text that links have, and how many links lead into the site itself if no other does
-        self.linked = sum(len(a) for a, _ in links) / max(1, len(text)) if links else 0.0
-        local = [u for _, u in links if u.startswith("/") and not u.startswith("//") and "go?" not in u]
-        self.local = len(local) if len(local) == len(links) and not self.image else 0
-        self.end = text.rstrip(_closers)[-1:] in _ends and bool(text)
-        self.marked = bool(_marks.match(low)) or low.startswith("> ")
-        self.names = not self.end and bool(_crumb.search(text))
+        self.linked, self.local = 0.0, 0
+        if links:
+            self.linked = sum([len(a) for a, _ in links]) / max(1, len(text))
+            local = [u for _, u in links if u.startswith("/") and not u.startswith("//") and "go?" not in u]
+            self.local = len(local) if len(local) == len(links) and not self.image else 0
+        self.end = end = text.rstrip(_closers)[-1:] in _ends and bool(text)
+        self.marked = first in _marks or low.startswith("> ")
+        self.names = not end and ("/" in text or ">" in text or "»" in text or "›" in text) and bool(_crumb.search(text))
         self.crumbs = self.names and _crumb.split(text)[0].strip() in HOME
-        shapes = [f"\x01n{min(6, (self.words + 1).bit_length() - 1)}", f"\x01s{min(4, int(self.dense * 8))}", f"\x01e{int(self.end)}"]
-        if self.bullet:
+        self.shapes = shapes = [_sizes[min(6, (words + 1).bit_length() - 1)], _shares[min(4, int(dense * 8))], "\x01e1" if end else "\x01e0"]
+        if m:
             shapes.append("\x01i")
         if links:
             shapes.append("\x01in" if self.local else "\x01out")
         if self.names:
             shapes.append("\x01c")
-        self.shapes = shapes
+        self.long, self.scored = False, None
         if s.startswith(("```", "~~~")):
             self.kind = FENCE
         elif self.head == 1:
@@ -154,14 +186,11 @@ class Block:
             self.kind = HEAD
         elif self.image or self.marked and not self.local or "|" in text and _figures.search(text):
             self.kind = GOOD
-        elif len(links) == 1 and links[0][1] == "/" and self.linked > 0.9 and not self.bullet:
+        elif len(links) == 1 and links[0][1] == "/" and self.linked > 0.9 and not m:
             self.kind = HOMELINK
-        elif not self.long and notice(text):
-            self.kind = NOTICE
-
-    @property
-    def long(self) -> bool:
-        return self.kind == OPEN and self.words >= LONG and self.dense >= DENSE and self.linked < 0.3
+        else:
+            self.long = words >= LONG and dense >= DENSE and self.linked < 0.3
+            self.kind = NOTICE if not self.long and notice(text) else OPEN
 
 
 _blocks: dict[str, Block | None] = {}
@@ -190,6 +219,8 @@ def is_notice(line: str) -> bool:
 
 def _uncoded(blocks: list[Block | None]) -> list[Block | None]:
     """The blocks without those of fenced code; a fence without an end goes to the end of the page."""
+    if not any([b is not None and b.kind == FENCE for b in blocks]):
+        return blocks
     out, code = [], False
     for b in blocks:
         fence = b is not None and b.kind == FENCE
@@ -259,12 +290,13 @@ def _count(lines: Iterable[Line]) -> Iterator[Counted]:
     every = list(whole.items())
     for k in range(0, len(every), HELD):
         some = every[k : k + HELD]
-        at: dict[str, int] = {}
-        split = [f.split() for (_, f), _ in some]
-        ids = np.array([at.setdefault(t, len(at)) for f in split for t in f], np.uint32)
+        split = pc.split_pattern(pa.array([f for (_, f), _ in some], pa.large_string()), " ")
+        each = split.flatten()
+        each = each.filter(pc.not_equal(each, "")).dictionary_encode()  # a line without features is split into an empty one
+        at, ids = each.dictionary.to_pylist(), each.indices.to_numpy().astype(np.uint32)
         kinds = np.array([x[0] + 4 * (x[0] != 1 and len(x[3]) >= AGAIN) for _, x in some], np.uint8)
-        sizes, within, outside = (np.array(v, np.uint32) for v in ([len(f) for f in split], [x[1] for _, x in some], [x[2] for _, x in some]))
-        yield list(at), (ids.astype(np.uint16) if len(at) < 1 << 16 else ids).tobytes(), sizes.tobytes(), within.tobytes(), outside.tobytes(), kinds.tobytes()
+        sizes, within, outside = (np.array(v, np.uint32) for v in ([f.count(" ") + 1 if f else 0 for (_, f), _ in some], [x[1] for _, x in some], [x[2] for _, x in some]))
+        yield at, (ids.astype(np.uint16) if len(at) < 1 << 16 else ids).tobytes(), sizes.tobytes(), within.tobytes(), outside.tobytes(), kinds.tobytes()
 
 
 def _spoken(c: Counted, weights: dict[str, float] | None) -> Iterator[tuple[str | None, int, int]]:
@@ -337,9 +369,9 @@ def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text:
 
         return _lines(texts())
 
-    parts = _streamed(src, lines, "h long, features string, kind int, within long, outside long, titles array<long>", 5000)
+    parts = streamed(src, lines, "h long, features string, kind int, within long, outside long, titles array<long>", 5000)
     parts = parts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")  # a task holds its lines
-    counted = saved(_streamed(parts, lambda batches: _count(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), _counted, 1))
+    counted = saved(streamed(parts, lambda batches: _count(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), _counted, 1))
     start, weights = general(), None
     for _ in range(ROUNDS + 1):
 
@@ -348,14 +380,14 @@ def learned(pages: DataFrame, key: str = "page_id", title: str = "title", text:
                 for c in zip(*(c.to_pylist() for c in b.columns)):
                     yield from _spoken(c, weights)
 
-        by = _streamed(counted, spoken, "t string, bad long, n long", 20_000).groupBy("t").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+        by = streamed(counted, spoken, "t string, bad long, n long", 20_000).groupBy("t").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         rows = by.where((F.col("n") > 1) | F.col("t").isNull() | F.col("t").isin(list(start))).toArrow()
         t, bad, n = (rows.column(i).to_pylist() for i in range(3))
         weights = _weights(dict(zip(t, zip(bad, n))), start)
     return Rules(weights)
 
 
-def _streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int) -> DataFrame:
+def streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str, size: int) -> DataFrame:
     """The rows fn makes of a task's batches, in batches of `size`.
 
     Meanwhile the collector of cycles rests: millions of small objects would be looked through again and again, and none are in cycles.
@@ -384,23 +416,13 @@ class Rules:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = general() if weights is None else weights
-        self._scores: dict[int, tuple[Block, float, float]] = {}
-
-    def __getstate__(self):
-        return {"weights": self.weights}
-
-    def __setstate__(self, state):
-        self.weights, self._scores = state["weights"], {}
 
     def score(self, b: Block) -> tuple[float, float]:
         """What the block's terms, and its shape, weigh; over 0 speaks for furniture."""
-        s = self._scores.get(id(b))
-        if s is None or s[0] is not b:
+        s = b.scored
+        if s is None or s[0] is not self.weights:
             get = self.weights.get
-            s = (b, sum([get(t, 0.0) for t in b.terms]), sum([get(t, 0.0) for t in b.shapes]))
-            if len(self._scores) > 100_000:
-                self._scores.clear()
-            self._scores[id(b)] = s
+            s = b.scored = (self.weights, sum(map(get, b.terms, repeat(0.0))), sum(map(get, b.shapes, repeat(0.0))))
         return s[1], s[2]
 
     def tells(self, raw: str) -> bool:
@@ -457,7 +479,7 @@ class Rules:
         if not anchored:
             self._level(label, plain)
             # what reads like an error, filler or a notice is what such a page shows
-            label = [2 if b is not None and b.kind in (OPEN, HEAD) and hit(b.key) else x for x, b in zip(label, plain)]
+            label = [2 if x == 2 or b.kind in (OPEN, HEAD) and hit(b.key) else x for x, b in zip(label, plain)]
         for i in range(n):
             # what a heading of furniture heads in links and labels is furniture
             if plain[i] is not None and plain[i].kind == HEAD and self.score(plain[i])[0] >= 1:

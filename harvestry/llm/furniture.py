@@ -21,7 +21,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Rules, learned
+from .blocks import Rules, learned, streamed
 from .text import map_arrow
 
 
@@ -29,14 +29,15 @@ def furniture_lines(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(page_id, line_no): the lines that are not the page's own content, 1-based."""
     rules = learned(pages) if rules is None else rules
 
-    def rows(ids, texts):
-        for i, t in zip(ids, texts):
-            if i is not None and t:
-                bad = [n for n, b in enumerate(rules.furniture(t.split("\n")), 1) if b]
-                if bad:
-                    yield i, bad
+    def rows(batches):
+        for batch in batches:
+            for i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if i is not None and t:
+                    bad = [n for n, b in enumerate(rules.furniture(t.split("\n")), 1) if b]
+                    if bad:
+                        yield i, bad
 
-    found = map_arrow(pages.select("page_id", "markdown_ir"), rows, "page_id long, lines array<int>").distinct()
+    found = streamed(pages.select("page_id", "markdown_ir"), rows, "page_id long, lines array<int>", 5000).distinct()
     return found.select("page_id", F.explode("lines").alias("line_no")).distinct()
 
 

@@ -55,7 +55,10 @@ def notice(text: str) -> bool:
     if len(text) > 300:
         return False
     low = text.lower()
-    return any(w in low for w in _hints) and bool(SCRIPTS.search(low) or BROWSER_CHECK.search(low))
+    for w in _hints:
+        if w in low:
+            return bool(SCRIPTS.search(low) or BROWSER_CHECK.search(low))
+    return False
 
 
 def hit(text: str) -> str:

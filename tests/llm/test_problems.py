@@ -266,6 +266,30 @@ def test_all_pages_teach(spark, monkeypatch):
     assert blocks.learned(df.limit(0)).weights == blocks.general()
 
 
+def test_terms_of_one_byte_texts(monkeypatch):
+    """Terms of lines of one byte a character are taken without the pattern for all scripts, and are the same; so are those of other lines."""
+    rng = random.Random(4)
+    latin = "The boat a1b22 left: 3 piers! At the “Café” — œuvre n° 12, ÿ½² d'été? © 2020 » Menü · the end > ñ_ß µª"
+    other = latin + "ā٣३ж漢字かなー：！？İſ²\u0301\u200b\x81"
+    used = []
+
+    class Counted:
+        findall = staticmethod(lambda text, find=blocks._term.findall: used.append(text) or find(text))
+
+    for chars, n in ((latin, 0), (other, 1)):
+        lines = ["".join(rng.choices(chars, k=rng.randint(1, 60))) for _ in range(2000)] + [chars]
+        low = [" ".join(x.split()).lower() for x in lines]
+        want = [blocks.terms(x) if blocks._cjk.search(x) else ["0" if w[0] in "0123456789" else w for w in blocks._term.findall(x)] for x in low]
+        with monkeypatch.context() as m:
+            m.setattr(blocks, "_term", Counted)
+            got = [blocks.Block("x " + x) for x in lines]  # no marker at the start
+        assert (len(used) > 0) == n
+        for x, b, w in zip(low, got, want):
+            assert b.terms == {"x", *w}, x
+            if not blocks._cjk.search(x):
+                assert b.words == 1 + len(w) and b.dense == sum(t in blocks.STOP for t in w) / b.words, x
+
+
 def test_second_pass_decides(spark, data):
     """Without the second pass ambiguous blocks would stay: it labels blocks of both kinds, in runs of any length."""
     pages = [(r.title, r.markdown_ir) for r in spark.read.parquet(f"{data}/page_ir.parquet").collect() if r.markdown_ir]
