@@ -112,7 +112,8 @@ def close_hashes(df: DataFrame, key: str, value: str, distance: int = 3) -> Data
     The 64 bits are cut into distance + 3 blocks: two hashes within the distance agree in three of them, so that a join on
     each choice of three blocks is exact, and a table's key has 192 / (distance + 3) bits (32 for a distance of 3), which keeps
     its buckets small where there are billions of hashes.  A pair is taken from the first of its choices only.  Equal hashes
-    are one row before they meet.
+    are one row before they meet.  The join is told to merge: the optimizer takes the tables to be as large as the hashes, not
+    as many times that as there are choices, and would broadcast millions of rows through the driver.
     """
     first = df.groupBy(value).agg(F.min(key).alias("_key"))
     n = distance + 3
@@ -129,7 +130,7 @@ def close_hashes(df: DataFrame, key: str, value: str, distance: int = 3) -> Data
     agree = F.filter(F.array(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(F.lit(-1)) for i, m in enumerate(signed)]), lambda i: i >= 0)
     choice = F.create_map(*[y for i, c in enumerate(combinations(range(n), 3)) for y in (F.lit(",".join(map(str, c))), F.lit(i))])
     own = F.try_element_at(choice, F.array_join(F.transform(F.slice(agree, 1, 3), lambda i: i.cast("string")), ",")) == F.col("at.i")
-    met = a.join(b, "at").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance))
+    met = a.hint("merge").join(b, "at").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance))
     return met.where(own).select("a", "b", hamming("va", "vb").alias("distance"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestry.operators import analyze, dedup, dsl, extract, filters, frontier, output, pacing, pages
+from harvestry.plans import lineage
 
 
 def value(spark, c, text):
@@ -167,6 +168,20 @@ def test_simhash_filter_against_scan(spark):
     assert sorted(r.id for r in dedup.simhash_filter(df, "id", "h", 3).collect()) == [i for i, _ in kept]
 
 
+def test_simhash_filter_broadcasts_no_tables(spark, monkeypatch):
+    """However small the hashes are taken to be: their tables are 20 times as many rows."""
+    plans = []
+
+    def saved(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.saved(df)
+
+    monkeypatch.setattr(dedup, "saved", saved)
+    df = spark.sql("SELECT * FROM VALUES (0L, 0L), (1L, 7L), (2L, 15L), (3L, 7L) AS t(id, h)")
+    assert sorted(r.id for r in dedup.simhash_filter(df, "id", "h", 3).collect()) == [0, 2]
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_jaccard_against_all_pairs(spark):
     rng = random.Random(7)
     rows, pool = [], []
