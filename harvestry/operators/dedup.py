@@ -118,18 +118,29 @@ def close_hashes(df: DataFrame, key: str, value: str, distance: int = 3) -> Data
     first = df.groupBy(value).agg(F.min(key).alias("_key"))
     n = distance + 3
     edges = [64 * i // n for i in range(n + 1)]
-    bits = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
+    sizes = [edges[i + 1] - edges[i] for i in range(n)]
+    bits = [((1 << sizes[i]) - 1) << edges[i] for i in range(n)]
     signed = [b - (1 << 64) if b >= 1 << 63 else b for b in bits]
-    masks = [signed[i] | signed[j] | signed[k] for i, j, k in combinations(range(n), 3)]
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
-    t = first.select("_key", value, F.explode(tables).alias("at"))
+    choices = list(combinations(range(n), 3))
+    width = max(sum(sizes[i] for i in c) for c in choices)
+
+    def place(number: int, choice: tuple[int, ...]) -> Column:
+        """The three blocks side by side under the number of their choice, as one number, which is short to ship and quick to sort."""
+        out, low = F.lit(number << width).cast("long"), 0
+        for i in choice:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, edges[i]).bitwiseAND(F.lit((1 << sizes[i]) - 1).cast("long")), low))
+            low += sizes[i]
+        return out
+
+    t = first.select("_key", value, F.explode(F.array(*[place(k, c) for k, c in enumerate(choices)])).alias("at"))
     a = t.select("at", F.col("_key").alias("a"), F.col(value).alias("va"))
     b = t.select("at", F.col("_key").alias("b"), F.col(value).alias("vb"))
     x = F.col("va").bitwiseXOR(F.col("vb"))
     # blocks that agree, in order: the first three of them name the choice
     agree = F.filter(F.array(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(F.lit(-1)) for i, m in enumerate(signed)]), lambda i: i >= 0)
-    choice = F.create_map(*[y for i, c in enumerate(combinations(range(n), 3)) for y in (F.lit(",".join(map(str, c))), F.lit(i))])
-    own = F.try_element_at(choice, F.array_join(F.transform(F.slice(agree, 1, 3), lambda i: i.cast("string")), ",")) == F.col("at.i")
+    choice = F.create_map(*[y for k, c in enumerate(choices) for y in (F.lit(",".join(map(str, c))), F.lit(k))])
+    number = F.shiftrightunsigned("at", width) if len(choices) > 1 else F.lit(0)
+    own = F.try_element_at(choice, F.array_join(F.transform(F.slice(agree, 1, 3), lambda i: i.cast("string")), ",")) == number
     met = a.hint("merge").join(b, "at").where((F.col("a") < F.col("b")) & (hamming("va", "vb") <= distance))
     return met.where(own).select("a", "b", hamming("va", "vb").alias("distance"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestry.operators import analyze, dedup, dsl, extract, filters, frontier, output, pacing, pages
-from harvestry.plans import lineage
+from harvestry.plans import lineage, registry
 
 
 def value(spark, c, text):
@@ -286,6 +286,27 @@ def test_close_hashes_against_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_pairs_broadcasts_no_tables(spark, data):
+    """Five hashes for each document, each in 20 tables, are no more than the documents to the optimizer."""
+    df = registry.queries()["simhash_pairs"](spark, data)
+    rows = [tuple(r) for r in df.collect()]
+    assert rows and len(rows) == len(set(rows))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_close_hashes_meet_by_plain_numbers(spark):
+    """What is shipped and sorted are three numbers a row, whatever the distance; the highest bit is one like the others."""
+    values = [0, 3, -1, -4, 1 << 62, -(1 << 63), -(1 << 63) + 7]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
+    for d in (0, 1, 2, 3, 5):
+        pairs = dedup.close_hashes(df, "id", "h", d)
+        far = lambda v, w: bin((v ^ w) & (1 << 64) - 1).count("1")
+        assert {tuple(r) for r in pairs.collect()} == {(i, j, far(v, w)) for i, v in enumerate(values) for j, w in enumerate(values) if i < j and far(v, w) <= d}
+        keys = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "struct" not in keys and "Join Inner" in keys
+
+
 def test_crawl_and_tree(spark):
     links = spark.createDataFrame([("a", 0, "b"), ("a", 1, "c"), ("b", 0, "d"), ("c", 0, "d"), ("d", 0, "a"), ("d", 1, None)], "source string, ord int, url string")
     seeds = spark.createDataFrame([("a",), ("a",), (None,)], "url string")
